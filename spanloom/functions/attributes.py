@@ -21,20 +21,26 @@ UNKNOWN_SERVICE_PREFIX = "unknown_service"
 
 
 def json_string(text: Column) -> Column:
-    """A text as a JSON string literal."""
-    boxed = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(boxed, F.lit(2), F.length(boxed) - 2))
+    """A text as a JSON string literal; only texts that need escapes go through the writer."""
+    escaped = F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def fragment_text(fragment: Column) -> Column:
     """A JSON fragment as text: strings lose their quotes, JSON null becomes NULL."""
     return (
         F.when(fragment == "null", F.lit(None).cast("string"))
-        .when(fragment.startswith('"'), F.get_json_object(F.concat(F.lit("["), fragment, F.lit("]")), "$[0]"))
-        .otherwise(fragment)
+        .when(~fragment.startswith('"'), fragment)
+        .otherwise(_unquoted(fragment))
     )
 
 
+def _unquoted(literal: Column) -> Column:
+    """The text of a JSON string literal; only literals with escapes are parsed."""
+    parsed = F.get_json_object(F.concat(F.lit("["), literal, F.lit("]")), "$[0]")
+    return F.when(literal.contains("\\"), parsed).otherwise(F.substring(literal, F.lit(2), F.length(literal) - 2))
+
+
 def canonical_json(attributes: Column) -> Column:
     """One text per attribute set: keys by length then bytes, so equal sets give equal text."""
     entries = F.transform(
@@ -60,8 +66,7 @@ def merge(base: Column, overlay: Column) -> Column:
 def string_attr(attributes: Column, key: str) -> Column:
     """Value of a key if it is a non-empty string."""
     fragment = attributes[key]
-    text = F.when(fragment.startswith('"'), fragment_text(fragment))
-    return F.when(text != "", text)
+    return F.when(fragment.startswith('"') & (fragment != '""'), _unquoted(fragment))
 
 
 def resolve_service(attributes: Column, default: str | None = None) -> Column:

@@ -49,20 +49,23 @@ def with_steps(points: DataFrame) -> DataFrame:
     )
 
 
+def active_rules(rules: DataFrame, points: DataFrame) -> DataFrame:
+    """Enabled rules with their resolved rate flag, ready to broadcast if few enough."""
+    return small_side(resolve_rates(rules.where("enabled"), points))
+
+
 def join_rules(points: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each point beside every rule that watches its series."""
-    watched = small_side(
-        rules.select(
-            "rule_id",
-            F.col("metric").alias("name"),
-            F.col("service").alias("_service"),
-            "match_attrs",
-            "exclude_attrs",
-            "agg",
-            "rated",
-            "comparator",
-            "window_secs",
-        )
+    """Each point beside every rule (see :func:`active_rules`) that watches its series."""
+    watched = rules.select(
+        "rule_id",
+        F.col("metric").alias("name"),
+        F.col("service").alias("_service"),
+        "match_attrs",
+        "exclude_attrs",
+        "agg",
+        "rated",
+        "comparator",
+        "window_secs",
     )
     nested = F.lit(False)
     for column in ("match_attrs", "exclude_attrs"):
@@ -145,7 +148,7 @@ def evaluate_series(rules: DataFrame, points: DataFrame, now: datetime) -> DataF
 
     There is no upper time bound: points dated after now count as well.
     """
-    active = resolve_rates(rules.where("enabled"), points)
+    active = active_rules(rules, points)
     longest = active.agg(F.max("window_secs")).first()[0] or WINDOW_SECS[1]
     recent = in_range(points, "time", now - timedelta(seconds=longest))
     paired = join_rules(with_steps(recent), active)

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from spanloom.functions.predicates import breached
 from spanloom.functions.times import to_micros
 from spanloom.operators.alerts import (
+    active_rules,
     chosen_aggregate,
     join_rules,
     merged_aggregates,
     partial_aggregates,
-    resolve_rates,
     step_value,
     with_steps,
 )
@@ -40,8 +40,7 @@ def tick_values(
     step = max(tick_secs, MIN_TICK_SECS) * 1_000_000
     t0, t1 = to_micros(first), to_micros(last)
     top = (t1 - t0) // step
-    active = resolve_rates(rules.where("enabled"), points)
-    rows = join_rules(with_steps(points), active)
+    rows = join_rules(with_steps(points), active_rules(rules, points))
 
     at_us, before_us = F.unix_micros("time"), F.unix_micros("prev_time")
     look_back = F.col("window_secs").cast("bigint") * 1_000_000

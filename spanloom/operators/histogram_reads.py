@@ -13,7 +13,6 @@ from spanloom.functions.histograms import QUANTILES, with_quantiles
 from spanloom.functions.times import bucket
 from spanloom.operators.metrics import Facet, named, rank_series, within
 from spanloom.operators.rollups import sum_counts
-from spanloom.operators.scaling import small_side
 
 
 def _per_series(rollups, now, identity, name, hours, start, end, max_hours, base_secs) -> DataFrame:
@@ -52,7 +51,8 @@ def histogram_series(
     first = rows.groupBy("name").agg(
         F.min_by(F.struct("bucket_bounds", "unit"), F.struct("t", "series_key")).alias("_ref")
     )
-    reference = small_side(first.select("name", "_ref.bucket_bounds", "_ref.unit"))
+    # Both sides are small by now: one row per metric, a thousand buckets per metric.
+    reference = first.select("name", "_ref.bucket_bounds", "_ref.unit")
     sized = rows.select("name", "t", "bucket_counts", F.size("bucket_counts").alias("_len"))
     summed = sum_counts(sized, ["name", "t", "_len"])
     matched = summed.join(reference, "name").where(F.col("_len") == F.size("bucket_bounds") + 1)

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.attributes import short_key
-from spanloom.operators.scaling import small_side
 
 # Keys that identify a node, host or container, best first.
 IDENTITY_KEYS = [
@@ -37,7 +36,7 @@ def series_labels(series: DataFrame) -> DataFrame:
     per_key = per_value.groupBy("name", "key").agg(
         F.count("*").alias("values"), F.sum("n").alias("present"), F.max(F.col("v") == "").alias("has_empty")
     )
-    sided = per_key.join(small_side(totals), "name")
+    sided = per_key.join(totals, "name")
     absent = (F.col("present") < F.col("_series")) & ~F.col("has_empty")
     varying = sided.where(F.col("values") + absent.cast("int") > 1)
 
@@ -57,7 +56,7 @@ def series_labels(series: DataFrame) -> DataFrame:
     friendly = F.filter("_keys", lambda k: ~k["_idlike"])
     keys = keys.withColumn("_keys", F.when(F.size(friendly) > 0, friendly).otherwise(F.col("_keys")))
 
-    sides = small_side(totals.join(keys, "name", "left"))
+    sides = totals.join(keys, "name", "left")
     part = F.transform(
         "_keys",
         lambda k: F.concat(short_key(k["key"]), F.lit("="), F.coalesce(F.col("_attrs")[k["key"]], F.lit("∅"))),

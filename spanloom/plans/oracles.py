@@ -127,7 +127,7 @@ def _summary(span_filter: str = "true", having: str = "true", trace_filter: str
         _with(SPANS)
         + f"""
 SELECT trace_id, service, root_name, make_timestamp(s) AS start_time, make_timestamp(e) AS end_time,
-       round((e - s) / 1000.0::DOUBLE, 6) AS duration_ms, span_count, error_count
+       round((e - s) / 1000.0::DOUBLE, 9) AS duration_ms, span_count, error_count
 FROM (SELECT trace_id, max(service) AS service, first(name ORDER BY start_us, span_id) AS root_name,
              min(start_us) AS s, max(end_us) AS e, count(*) AS span_count,
              count(*) FILTER (WHERE status_code = 2) AS error_count
@@ -181,7 +181,7 @@ CASE WHEN {total} = 0 THEN NULL
      WHEN counts[{hit}] = 0 THEN {bounds}[{hit}]
      ELSE round((CASE WHEN {hit} = 1 THEN 0::DOUBLE ELSE {bounds}[{hit} - 1] END)
        + ({bounds}[{hit}] - (CASE WHEN {hit} = 1 THEN 0::DOUBLE ELSE {bounds}[{hit} - 1] END))
-         * ({q} * {total} - (list_sum(counts[1:{hit}]) - counts[{hit}])) / counts[{hit}], 6) END"""
+         * ({q} * {total} - (list_sum(counts[1:{hit}]) - counts[{hit}])) / counts[{hit}], 9) END"""
 
 
 QUANTILES = ", ".join(f"{_quantile(q)} AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
@@ -217,7 +217,7 @@ def _lines(where: str) -> str:
     return (
         _with(METRICS, WIDE, FACET)
         + f"""SELECT name, attrs_json, CAST(series_rank AS INTEGER) AS series_rank, make_timestamp(t_us) AS t,
-round(v, 6) AS v FROM lines WHERE {where}"""
+round(v, 9) AS v FROM lines WHERE {where}"""
     )
 
 
@@ -327,16 +327,16 @@ declared AS (SELECT 'balance-' || c_custkey AS name, c_mktsegment AS service, c_
 """
 
 _ROLL_COLUMNS = """make_timestamp(b) AS bucket, name, series_key, attrs_json, service, kind, unit, is_monotonic,
-  cnt AS "count", round(total, 6) AS sum, round(lo, 6) AS min, round(hi, 6) AS max, round(total / cnt, 6) AS avg"""
+  cnt AS "count", round(total, 9) AS sum, round(lo, 9) AS min, round(hi, 9) AS max, round(total / cnt, 9) AS avg"""
 _ROLL_ARRAYS = f""", CASE WHEN kind = 'histogram' THEN {_TEXT_BOUNDS} END AS bucket_bounds,
   array_to_string(counts, ',') AS bucket_counts"""
 
 ORACLES: dict[str, str] = {
     "red_by_service": _with(SPANS)
     + """SELECT service, count(*) AS spans, count(*) FILTER (WHERE status_code = 2) AS errors,
-round(count(*) FILTER (WHERE status_code = 2) / count(*)::DOUBLE, 6) AS error_rate,
-round(quantile_cont(duration_ms, 0.5), 6) AS p50_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms,
-round(quantile_cont(duration_ms, 0.99), 6) AS p99_ms
+round(count(*) FILTER (WHERE status_code = 2) / count(*)::DOUBLE, 9) AS error_rate,
+round(quantile_cont(duration_ms, 0.5), 9) AS p50_ms, round(quantile_cont(duration_ms, 0.95), 9) AS p95_ms,
+round(quantile_cont(duration_ms, 0.99), 9) AS p99_ms
 FROM seen WHERE service IS NOT NULL GROUP BY service""",
     "trace_summary": _summary(),
     "trace_summary_errors": _summary(having="error_count > 0"),
@@ -347,11 +347,11 @@ FROM seen WHERE service IS NOT NULL GROUP BY service""",
     "trace_search": _summary() + " ORDER BY start_time DESC, trace_id LIMIT 100",
     "trace_spans": _with(SPANS)
     + """SELECT trace_id, span_id, parent_span_id, service, name, kind, make_timestamp(start_us) AS start_time,
-make_timestamp(end_us) AS end_time, round(duration_ms, 6) AS duration_ms, status_code, attrs_json, ingested_at
+make_timestamp(end_us) AS end_time, round(duration_ms, 9) AS duration_ms, status_code, attrs_json, ingested_at
 FROM spans WHERE trace_id = (SELECT trace_id FROM arriving ORDER BY start_us DESC, trace_id DESC LIMIT 1)""",
     "span_dedupe": _with(SPANS)
     + """SELECT trace_id, span_id, parent_span_id, service, name, kind, make_timestamp(start_us) AS start_time,
-make_timestamp(end_us) AS end_time, round(duration_ms, 6) AS duration_ms, status_code, attrs_json, ingested_at
+make_timestamp(end_us) AS end_time, round(duration_ms, 9) AS duration_ms, status_code, attrs_json, ingested_at
 FROM spans""",
     "service_nodes": _with(SPANS)
     + f"""SELECT DISTINCT service FROM spans, span_now
@@ -371,7 +371,7 @@ FROM spans GROUP BY 1, 2""",
     + "SELECT trace_id, span_id, CAST(depth AS BIGINT) AS depth, position FROM ordered",
     "trace_critical_path": _with(SPANS, TREE)
     + """SELECT t.trace_id, bool_or(t.end_us < t.start_us) AS skewed, count(p.span_id) AS path_spans,
-round(sum(CASE WHEN t.parent IS NULL THEN r.subtree_end - t.start_us ELSE 0 END) / 1000.0::DOUBLE, 6) AS critical_ms
+round(sum(CASE WHEN t.parent IS NULL THEN r.subtree_end - t.start_us ELSE 0 END) / 1000.0::DOUBLE, 9) AS critical_ms
 FROM walk t JOIN reach r USING (trace_id, span_id) LEFT JOIN route p USING (trace_id, span_id) GROUP BY 1""",
     "trace_error_spans": _with(SPANS, TREE)
     + """SELECT trace_id, span_id, name, service, CAST(depth AS BIGINT) AS depth, position
@@ -387,9 +387,9 @@ FROM ordered JOIN (SELECT trace_id, span_id, name, service FROM spans WHERE stat
     )
     + "SELECT trace_id, span_id, bool_or(matched) AS matched FROM up GROUP BY 1, 2",
     "trace_geometry": _with(SPANS)
-    + """SELECT s.trace_id, s.span_id, round((start_us - t0) / total::DOUBLE * 100, 6) AS left_pct,
-round(greatest((end_us - start_us) / total::DOUBLE * 100, 0.4::DOUBLE), 6) AS width_pct,
-round(total / 1000.0::DOUBLE, 6) AS trace_ms
+    + """SELECT s.trace_id, s.span_id, round((start_us - t0) / total::DOUBLE * 100, 9) AS left_pct,
+round(greatest((end_us - start_us) / total::DOUBLE * 100, 0.4::DOUBLE), 9) AS width_pct,
+round(total / 1000.0::DOUBLE, 9) AS trace_ms
 FROM spans s JOIN (SELECT trace_id, min(start_us) AS t0, greatest(max(end_us) - min(start_us), 1) AS total
                    FROM spans GROUP BY 1) w USING (trace_id)""",
     "log_search": _with(LOGS)
@@ -417,22 +417,22 @@ FROM spans s JOIN logs l ON l.trace_id = s.trace_id AND l.span_id = s.span_id"""
     + f"SELECT {_ROLL_COLUMNS}{_ROLL_ARRAYS} FROM r",
     "rollup_merge": _with(METRICS, _rollup("r", 86_400_000_000)) + f"SELECT {_ROLL_COLUMNS}{_ROLL_ARRAYS} FROM r",
     "metric_series": _with(METRICS, WIDE)
-    + "SELECT name, make_timestamp(t_us) AS t, round(sum(total) / sum(cnt), 6) AS v FROM wide GROUP BY 1, 2",
+    + "SELECT name, make_timestamp(t_us) AS t, round(sum(total) / sum(cnt), 9) AS v FROM wide GROUP BY 1, 2",
     "metric_series_service": _with(METRICS, _rollup("rolls", 300_000_000))
-    + f"""SELECT name, make_timestamp(b - b % 900000000) AS t, round(sum(total) / sum(cnt), 6) AS v FROM rolls, ev_now
+    + f"""SELECT name, make_timestamp(b - b % 900000000) AS t, round(sum(total) / sum(cnt), 9) AS v FROM rolls, ev_now
 WHERE name = 'event.value' AND service = 'click' AND b BETWEEN now_us - 168 * {HOUR_US} AND now_us GROUP BY 1, 2""",
     "metric_grouped": _with(METRICS)
-    + f"""SELECT name, k AS label, make_timestamp(us - us % 300000000) AS t, round(avg(value), 6) AS v
+    + f"""SELECT name, k AS label, make_timestamp(us - us % 300000000) AS t, round(avg(value), 9) AS v
 FROM points, ev_now WHERE name = 'event.value' AND us >= now_us - 168 * {HOUR_US} GROUP BY 1, 2, 3""",
     "metric_dims": _with(METRICS)
     + f"""SELECT DISTINCT name, unnest(CASE WHEN name = 'event.value' THEN ['k', 'type'] ELSE ['type'] END) AS key
 FROM points, ev_now WHERE us >= now_us - 48 * {HOUR_US}""",
     "metric_exemplars": _with(METRICS)
-    + f"""SELECT name, make_timestamp(us) AS t, round(value, 6) AS v, ex_trace AS trace_id, '1' AS span_id
+    + f"""SELECT name, make_timestamp(us) AS t, round(value, 9) AS v, ex_trace AS trace_id, '1' AS span_id
 FROM points, ev_now WHERE ex_trace IS NOT NULL AND us >= now_us - 168 * {HOUR_US} ORDER BY us, ex_trace LIMIT 200""",
     "exemplar_spans": _with(METRICS, SPANS)
     + f"""SELECT e.trace_id, e.span_id, e.name, e.t, e.v, s.name AS span_name, s.duration_ms, s.status_code
-FROM (SELECT name, make_timestamp(us) AS t, round(value, 6) AS v, ex_trace AS trace_id, '1' AS span_id
+FROM (SELECT name, make_timestamp(us) AS t, round(value, 9) AS v, ex_trace AS trace_id, '1' AS span_id
       FROM points, ev_now WHERE ex_trace IS NOT NULL AND us >= now_us - 168 * {HOUR_US}
       ORDER BY us, ex_trace LIMIT 200) e
 LEFT JOIN spans s ON s.trace_id = e.trace_id AND s.span_id = e.span_id""",
@@ -447,7 +447,7 @@ FROM points GROUP BY name""",
 name = 'event.total' AS rated, CASE name WHEN 'event.value' THEN 'ms' WHEN 'event.total' THEN '1' ELSE 'By' END AS unit,
 count(*) AS series_total, greatest(count(*) - 12, 0) AS truncated FROM sizes GROUP BY name""",
     "metric_latest": _with(METRICS, WIDE, FACET)
-    + """SELECT name, attrs_json, round(arg_max(v, t_us) FILTER (WHERE v IS NOT NULL), 6) AS v
+    + """SELECT name, attrs_json, round(arg_max(v, t_us) FILTER (WHERE v IS NOT NULL), 9) AS v
 FROM lines WHERE series_rank <= 500 GROUP BY 1, 2""",
     "series_labels": _with(METRICS)
     + """SELECT DISTINCT name, attrs_json,
@@ -457,7 +457,7 @@ CASE WHEN name = 'event.value' THEN 'k=' || k || ' · type=' || type ELSE 'type=
 array_to_string(counts, ',') AS bucket_counts, p50, p95, p99 FROM quants""",
     "hist_heatmap": _with(METRICS, WIDE, HIST)
     + """SELECT name, make_timestamp(t_us) AS t, CAST(i - 1 AS INTEGER) AS row, n,
-round(CASE WHEN n > 0 THEN ln(n + 1) / ln(greatest(max(n) OVER (), 1) + 1) ELSE 0 END, 6) AS intensity
+round(CASE WHEN n > 0 THEN ln(n + 1) / ln(greatest(max(n) OVER (), 1) + 1) ELSE 0 END, 9) AS intensity
 FROM (SELECT name, t_us, unnest(counts) AS n, generate_subscripts(counts, 1) AS i FROM dist)""",
     "hist_percentile_lines": _with(METRICS, WIDE, HIST)
     + """SELECT name, make_timestamp(t_us) AS t, label, v FROM (
@@ -476,8 +476,8 @@ FROM sdist GROUP BY 1, 2""",
   SELECT *, row_number() OVER (PARTITION BY name ORDER BY us DESC, series_key, value) AS rk FROM points)""",
     )
     + """SELECT name, arg_min(service, rk) AS service, arg_min(kind, rk) AS kind, arg_min(unit, rk) AS unit,
-make_timestamp(max(us)) AS last_time, round(arg_min(value, rk), 6) AS last_value,
-string_agg(CAST(round(value, 6) AS VARCHAR), ',' ORDER BY rk) AS spark,
+make_timestamp(max(us)) AS last_time, round(arg_min(value, rk), 9) AS last_value,
+string_agg(CAST(round(value, 9) AS VARCHAR), ',' ORDER BY rk) AS spark,
 string_agg(CAST(CAST(cnt AS DOUBLE) AS VARCHAR), ',' ORDER BY rk) AS count_spark,
 array_to_string(arg_min(counts, rk), ',') AS dist, count(DISTINCT attrs_json) AS series_count
 FROM ranked WHERE rk <= 30 GROUP BY name""",
@@ -488,28 +488,28 @@ FROM ranked WHERE rk <= 30 GROUP BY name""",
 steps AS (
   SELECT name, rk, value - lead(value) OVER (PARTITION BY name ORDER BY rk) AS step FROM ranked WHERE rk <= 30)""",
     )
-    + """SELECT name, string_agg(CAST(round(greatest(step, 0), 6) AS VARCHAR), ',' ORDER BY rk DESC) AS steps
+    + """SELECT name, string_agg(CAST(round(greatest(step, 0), 9) AS VARCHAR), ',' ORDER BY rk DESC) AS steps
 FROM steps WHERE step IS NOT NULL GROUP BY name""",
     "alert_eval": _with(METRICS, RULES, TICKS, NOW_EVAL)
-    + """SELECT CAST(rule_id AS BIGINT) AS rule_id, round(value, 6) AS value, breached,
+    + """SELECT CAST(rule_id AS BIGINT) AS rule_id, round(value, 9) AS value, breached,
 CASE WHEN breached THEN culprit END AS attributes FROM evaluated""",
     "alert_series": _with(METRICS, RULES, TICKS, NOW_EVAL)
-    + """SELECT CAST(rule_id AS BIGINT) AS rule_id, series_key, attrs_json, round(series_value, 6) AS series_value
+    + """SELECT CAST(rule_id AS BIGINT) AS rule_id, series_key, attrs_json, round(series_value, 9) AS series_value
 FROM series_values""",
     "alert_ticks": ALERTS
-    + """SELECT CAST(rule_id AS BIGINT) AS rule_id, tick, make_timestamp(at_us) AS at, round(value, 6) AS value
+    + """SELECT CAST(rule_id AS BIGINT) AS rule_id, tick, make_timestamp(at_us) AS at, round(value, 9) AS value
 FROM tick_values""",
     "alert_backtest": ALERTS
-    + """SELECT CAST(rule_id AS BIGINT) AS rule_id, round(value, 6) AS value, make_timestamp(fired) AS fired_at,
+    + """SELECT CAST(rule_id AS BIGINT) AS rule_id, round(value, 9) AS value, make_timestamp(fired) AS fired_at,
 make_timestamp(active) AS active_at, make_timestamp(resolved) AS resolved_at FROM alert_events""",
     "alert_list": ALERTS
     + f"""SELECT CAST(rule_id AS BIGINT) AS rule_id, rule AS name, metric, svc AS service, cmp AS comparator,
-round(threshold, 6) AS threshold, agg, window_s AS window_secs, enabled,
+round(threshold, 9) AS threshold, agg, window_s AS window_secs, enabled,
 make_timestamp({EPOCH_US} + rule_id * 1000000) AS created_at,
 rule_id IN (SELECT rule_id FROM alert_events WHERE resolved IS NULL AND active IS NOT NULL) AS firing, {META}
 FROM rules""",
     "alert_events_feed": ALERTS
-    + f"""SELECT CAST(rule_id AS BIGINT) AS rule_id, rule AS rule_name, metric, round(value, 6) AS value,
+    + f"""SELECT CAST(rule_id AS BIGINT) AS rule_id, rule AS rule_name, metric, round(value, 9) AS value,
 make_timestamp(fired) AS fired_at, make_timestamp(resolved) AS resolved_at, {META}
 FROM alert_events JOIN rules USING (rule_id) WHERE active IS NOT NULL ORDER BY fired DESC, rule_id LIMIT 100""",
     "alert_history": ALERTS
@@ -522,23 +522,23 @@ FROM alert_events, ev_now WHERE active IS NOT NULL GROUP BY 1""",
 WHERE resolved IS NULL AND active IS NOT NULL AND enabled""",
     "alert_step_events": _with(METRICS, RULES, TICKS, NOW_EVAL)
     + """SELECT CAST(rule_id AS BIGINT) AS rule_id,
-round(CASE WHEN action IN ('fire', 'pend', 'activate') THEN value ELSE event_value END, 6) AS value,
+round(CASE WHEN action IN ('fire', 'pend', 'activate') THEN value ELSE event_value END, 9) AS value,
 make_timestamp(coalesce(fired, now_us)) AS fired_at,
 make_timestamp(CASE WHEN action IN ('fire', 'activate') THEN now_us ELSE active END) AS active_at,
 make_timestamp(CASE WHEN action = 'resolve' THEN now_us END) AS resolved_at
 FROM stepped WHERE action IN ('fire', 'pend', 'activate', 'keep', 'resolve')""",
     "alert_step_transitions": _with(METRICS, RULES, TICKS, NOW_EVAL)
     + """SELECT CAST(rule_id AS BIGINT) AS rule_id, rule, metric, svc AS service,
-CASE WHEN action = 'resolve' THEN 'resolved' ELSE 'firing' END AS state, round(value, 6) AS value,
-round(threshold, 6) AS threshold, cmp AS comparator, CASE WHEN action <> 'resolve' THEN culprit END AS attributes
+CASE WHEN action = 'resolve' THEN 'resolved' ELSE 'firing' END AS state, round(value, 9) AS value,
+round(threshold, 9) AS threshold, cmp AS comparator, CASE WHEN action <> 'resolve' THEN culprit END AS attributes
 FROM stepped WHERE action IN ('fire', 'activate', 'resolve')""",
     "rules_reconcile": _with(STORED)
     + """SELECT coalesce(s.rule_id, (SELECT max(rule_id) FROM stored)
   + row_number() OVER (PARTITION BY s.rule_id IS NULL ORDER BY d.name)) AS rule_id, d.name, d.service,
-round(d.threshold, 6) AS threshold, coalesce(s.created_at, TIMESTAMP '2024-01-02') AS created_at
+round(d.threshold, 9) AS threshold, coalesce(s.created_at, TIMESTAMP '2024-01-02') AS created_at
 FROM declared d LEFT JOIN stored s USING (name)""",
     "rules_removed": _with(STORED)
-    + """SELECT name, rule_id, round(threshold, 6) AS threshold, created_at FROM stored
+    + """SELECT name, rule_id, round(threshold, 9) AS threshold, created_at FROM stored
 WHERE name NOT IN (SELECT name FROM declared)""",
     "retention_prune": _with(SPANS, LOGS, METRICS, _rollup("rolls", 300_000_000))
     + f"""SELECT 'spans' AS table_name, count(*) AS kept FROM spans, ev_now WHERE start_us >= now_us - 23 * 24 * {HOUR_US}
@@ -551,11 +551,11 @@ UNION ALL SELECT 'table.rows', 'logs', count(*)::DOUBLE FROM logs
 UNION ALL SELECT 'table.rows', 'metrics', count(*)::DOUBLE FROM points
 UNION ALL SELECT 'table.rows', 'metric_series_rollups', count(*)::DOUBLE FROM rolls
 UNION ALL SELECT 'retention.oldest_raw_metric_age_seconds', 'metrics',
-  round((any_value(now_us) - min(us)) / 1e6, 6) FROM points, ev_now
+  round((any_value(now_us) - min(us)) / 1e6, 9) FROM points, ev_now
 UNION ALL SELECT 'rollup.lag_seconds', 'metric_series_rollups',
-  round((any_value(now_us) - max(b)) / 1e6, 6) FROM rolls, ev_now""",
+  round((any_value(now_us) - max(b)) / 1e6, 9) FROM rolls, ev_now""",
     "otlp_metrics": _with(METRICS)
-    + """SELECT make_timestamp(us) AS time, service, name, kind, round(value, 6) AS value, unit, exemplar_trace_id,
+    + """SELECT make_timestamp(us) AS time, service, name, kind, round(value, 9) AS value, unit, exemplar_trace_id,
 attrs_json, md5(service || '|' || attrs_json) AS series_key FROM (
 SELECT us, event_type AS service, 'event.value' AS name, 'gauge' AS kind, value, 'ms' AS unit,
 lower(lpad(printf('%x', event_id), 32, '0')) AS exemplar_trace_id,
@@ -563,7 +563,7 @@ lower(lpad(printf('%x', event_id), 32, '0')) AS exemplar_trace_id,
     "otlp_traces": _with(SPANS)
     + """SELECT lower(lpad(printf('%x', CAST(trace_id AS BIGINT)), 32, '0')) AS trace_id, lpad(span_id, 16, '0') AS span_id,
 parent_span_id, coalesce(service, 'fallback') AS service, name, kind, make_timestamp(start_us) AS start_time,
-make_timestamp(start_us + dur_us) AS end_time, round(dur_us / 1000.0::DOUBLE, 6) AS duration_ms, status_code,
+make_timestamp(start_us + dur_us) AS end_time, round(dur_us / 1000.0::DOUBLE, 9) AS duration_ms, status_code,
 '{"part": ' || part || ', "k8s.deployment.name": "' || coalesce(service, '') || '"}' AS attrs_json FROM arriving""",
     "otlp_logs": _with(LOGS)
     + """SELECT make_timestamp(us) AS time, trace_id, service, severity_number, body,

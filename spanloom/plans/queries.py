@@ -52,7 +52,7 @@ def _plain(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, TimestampType):
             column = column.cast("timestamp_ntz")
         elif isinstance(field.dataType, DoubleType):
-            column = F.round(column, 6)
+            column = F.round(column, 9)
         elif isinstance(field.dataType, ArrayType):
             column = F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
         out.append(column.alias(field.name))

@@ -88,12 +88,19 @@ def read_sniffed_requests(spark: SparkSession, path: str, signal: str) -> DataFr
 
 def rejected_requests(requests: DataFrame) -> DataFrame:
     """Lines that did not decode, for a dead-letter table."""
-    bad = F.col("request").isNull() | F.col("request")[CORRUPT].isNotNull()
-    return requests.where(bad).select("raw", F.lit("decode").alias("reason"))
+    return requests.where(F.col("request")[CORRUPT].isNotNull()).select("raw", F.lit("decode").alias("reason"))
 
 
-def _good(requests: DataFrame) -> DataFrame:
-    return requests.where(F.col("request").isNotNull() & F.col("request")[CORRUPT].isNull())
+def _decoded(groups: str) -> Column:
+    """The resource groups of a request that decoded.
+
+    The check and the read happen on one lambda variable. As a filter the check would be
+    pushed below the parsing and every line would be parsed several times.
+    """
+    kept = F.transform(
+        F.array("request"), lambda r: F.when(r[CORRUPT].isNull(), r[groups])
+    )
+    return F.get(kept, F.lit(0))
 
 
 def _plain(value, depth: int):
@@ -183,7 +190,7 @@ def with_attributes(df: DataFrame, key_values: str, out: str) -> DataFrame:
 
 def _with_resource(requests: DataFrame, groups: str, default_service: str | None) -> DataFrame:
     """One row per resource group, with its attribute map and service."""
-    per_group = _good(requests).select(F.explode(F.col("request")[groups]).alias("g"))
+    per_group = requests.select(F.explode(_decoded(groups)).alias("g"))
     per_group = per_group.select("g", F.col("g.resource.attributes").alias("_resource_kv"))
     per_group = with_attributes(per_group, "_resource_kv", "_resource").drop("_resource_kv")
     return per_group.withColumn("service", at.resolve_service(F.col("_resource"), default_service))
