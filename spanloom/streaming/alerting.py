@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanloom.operators.alerts import alert_step, evaluate_rules, notifications
 from spanloom.operators.backtest import MIN_TICK_SECS, TICK_SECS
+from spanloom.operators.scaling import small_side
 from spanloom.schemas import EVENTS
 
 TRANSITIONS = (
@@ -35,7 +36,9 @@ def run_tick(
         before = spark.read.schema(EVENTS).parquet(_folder(path, "open", tick - 1))
     else:
         before = spark.createDataFrame([], EVENTS)
-    events, transitions = alert_step(evaluate_rules(rules, points, now), before, now)
+    # One row per rule: taken once, used by all three outputs.
+    evaluated = small_side(evaluate_rules(rules, points, now))
+    events, transitions = alert_step(evaluated, before, now)
     events.where("resolved_at IS NULL").write.mode("overwrite").parquet(_folder(path, "open", tick))
     events.where("resolved_at IS NOT NULL").write.mode("overwrite").parquet(_folder(path, "closed", tick))
     notifications(transitions).write.mode("overwrite").json(_folder(path, "notifications", tick))
@@ -43,7 +46,7 @@ def run_tick(
 
 def read_events(spark: SparkSession, path: str, tick: int) -> DataFrame:
     """All closed events, and those open after the given tick."""
-    closed = spark.read.schema(EVENTS).parquet(f"{path}/closed")
+    closed = spark.read.schema(EVENTS).parquet(f"{path}/closed").drop("tick")
     return closed.unionByName(spark.read.schema(EVENTS).parquet(_folder(path, "open", tick)))
 
 
