@@ -140,7 +140,8 @@ def with_running_sum(
 ) -> DataFrame:
     """Sum of the earlier rows of a key, in two levels like :func:`with_previous`.
 
-    ``chunk`` must not decrease along the order.
+    ``chunk`` must not decrease along the order; keys must not be NULL, so that the join
+    finds the rows where the window left them.
     """
     keys = list(keys)
     rows = df.withColumn("_chunk", chunk)
@@ -153,6 +154,6 @@ def with_running_sum(
     )
     same = F.col("_chunk") == F.col("_kc")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    both = inner.join(totals, same, "left")
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    both = inner.join(totals, same)
     return both.select(*df.columns, (F.col("_inner") + F.coalesce("_base", F.lit(0))).alias(name))

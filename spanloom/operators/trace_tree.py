@@ -46,8 +46,7 @@ def _saved(df: DataFrame) -> DataFrame:
 
 
 def _doubling(state: DataFrame, advance) -> DataFrame:
-    """Apply ``advance`` until no span has a pointer left (``ptr``), or only cycles do."""
-    state = _saved(state)
+    """Apply ``advance`` to a saved state until no pointer (``ptr``) is left, or only cycles are."""
     rounds, limit = 0, None
     while not state.where(F.col("ptr").isNotNull()).isEmpty():
         if rounds >= FREE_ROUNDS and limit is None:
@@ -59,13 +58,16 @@ def _doubling(state: DataFrame, advance) -> DataFrame:
     return state
 
 
-def subtree_aggregate(tree: DataFrame, sums: list[str] = (), maxima: list[str] = ()) -> DataFrame:
+def subtree_aggregate(
+    tree: DataFrame, sums: list[str] = (), maxima: list[str] = (), keep: list[str] = ()
+) -> DataFrame:
     """Sum or maximum of each column over a span and all its descendants.
 
     In round k every span adds what the spans exactly 2^k below have gathered; those
-    are grouped by ancestor first, so wide fan-outs combine before the shuffle.
+    are grouped by ancestor first, so wide fan-outs combine before the shuffle. The
+    tree must be saved; columns in ``keep`` ride along.
     """
-    values = [*sums, *maxima]
+    values = [*sums, *maxima, *keep]
 
     def advance(state: DataFrame) -> DataFrame:
         below = (
@@ -81,6 +83,7 @@ def subtree_aggregate(tree: DataFrame, sums: list[str] = (), maxima: list[str] =
             "ptr",
             *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums],
             *[F.greatest(c, f"_{c}").alias(c) for c in maxima],
+            *keep,
         )
         hop = state.select("trace_id", F.col("span_id").alias("ptr"), F.col("ptr").alias("_next"))
         return grown.join(hop, ["trace_id", "ptr"], "left").select(
@@ -109,7 +112,7 @@ def path_aggregate(tree: DataFrame, sums: list[str] = (), minima: list[str] = ()
             *[F.least(c, f"_{c}").alias(c) for c in minima],
         )
 
-    start = tree.select(*KEY, F.col("parent").alias("ptr"), *values)
+    start = _saved(tree.select(*KEY, F.col("parent").alias("ptr"), *values))
     return _doubling(start, advance).where(F.col("ptr").isNull()).select(*KEY, *values)
 
 
@@ -121,16 +124,16 @@ def analyze_trees(spans: DataFrame) -> DataFrame:
     with a span that ends before it starts is skewed and has no path.
     """
     tree = _saved(link_tree(spans))
-    gathered = subtree_aggregate(
+    nodes = subtree_aggregate(
         tree.withColumns({"subtree_size": F.lit(1).cast("bigint"), "subtree_end_us": F.col("end_us")}),
         sums=["subtree_size"],
         maxima=["subtree_end_us"],
+        keep=["parent", "start_us", "end_us"],
     )
-    nodes = tree.join(gathered, KEY)
 
     placed = with_running_sum(
-        nodes,
-        ["trace_id", "parent"],
+        nodes.withColumn("_under", F.coalesce("parent", F.lit(""))),
+        ["trace_id", "_under"],
         F.floor(F.col("start_us") / F.lit(float(SIBLING_CHUNK_MICROS))).cast("bigint"),
         ["start_us", "span_id"],
         "subtree_size",
@@ -206,7 +209,7 @@ def filter_with_ancestors(spans: DataFrame, text: str = "", errors_only: bool =
     if errors_only:
         hit = hit & F.coalesce(F.col("status_code") == ERROR_STATUS, F.lit(False))
     matches = spans.select(*KEY, hit.cast("int").alias("matched"))
-    tree = link_tree(spans).join(matches, KEY)
+    tree = _saved(link_tree(spans).join(matches, KEY))
     seen = subtree_aggregate(tree.withColumn("visible", F.col("matched")), maxima=["visible"])
     return seen.where("visible = 1").join(matches, KEY).select(*KEY, (F.col("matched") == 1).alias("matched"))
 

@@ -50,7 +50,7 @@ def test_previous_across_chunks(spark):
 
 def test_running_sum_across_chunks(spark):
     rng = random.Random(4)
-    rows = [(None if i % 3 else "a", i, rng.randrange(9)) for i in range(200)]
+    rows = [("b" if i % 3 else "a", i, rng.randrange(9)) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, i bigint, v bigint")
     found = with_running_sum(df, ["k"], F.floor(F.col("i") / 16).cast("bigint"), ["i"], "v", "before")
     expected, sums = {}, {}
