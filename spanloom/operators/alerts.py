@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import attributes as at
 from spanloom.functions.predicates import breached
 from spanloom.functions.times import in_range, instant, seconds_between
-from spanloom.operators.scaling import small_side, with_previous
+from spanloom.operators.scaling import BROADCAST_ROWS, small_side, with_previous
 
 # Limits of a rule.
 AGGREGATES = ["avg", "max", "min", "sum", "last", "increase"]
@@ -18,6 +19,9 @@ COMPARATORS = ["gt", "lt"]
 MAX_FOR_SECS = 10_800
 WINDOW_SECS = (10, 86_400)
 
+# Most metric names that are put into a filter as literals.
+WATCHED_NAMES = 1000
+
 
 def resolve_rates(rules: DataFrame, points: DataFrame) -> DataFrame:
     """Add ``rated``: the rule's own flag, else whether its metric is a monotonic sum.
@@ -49,12 +53,39 @@ def with_steps(points: DataFrame) -> DataFrame:
     )
 
 
+class RuleFacts(NamedTuple):
+    """What planning needs to know about a rule set."""
+
+    names: list[str] | None
+    longest_secs: int
+    nested: bool
+
+
+def rule_facts(rules: DataFrame) -> RuleFacts:
+    """One small look at the rules; a set beyond the limit is aggregated instead of listed."""
+    nested = _any_nested().alias("nested")
+    rows = rules.select("metric", "window_secs", nested).limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        whole = rules.agg(F.max("window_secs").alias("longest"), F.max(nested).alias("nested")).first()
+        return RuleFacts(None, whole["longest"], whole["nested"])
+    names = sorted({row["metric"] for row in rows})
+    longest = max((row["window_secs"] for row in rows), default=WINDOW_SECS[0])
+    return RuleFacts(names if len(names) <= WATCHED_NAMES else None, longest, any(row["nested"] for row in rows))
+
+
+def only_watched(points: DataFrame, rules: DataFrame, facts: RuleFacts) -> DataFrame:
+    """Points of the metrics the rules name; few names become a filter of the scan."""
+    if facts.names is not None:
+        return points.where(F.col("name").isin(facts.names))
+    return points.join(rules.select(F.col("metric").alias("name")).distinct(), "name", "left_semi")
+
+
 def active_rules(rules: DataFrame, points: DataFrame) -> DataFrame:
     """Enabled rules with their resolved rate flag, ready to broadcast if few enough."""
     return small_side(resolve_rates(rules.where("enabled"), points))
 
 
-def join_rules(points: DataFrame, rules: DataFrame) -> DataFrame:
+def join_rules(points: DataFrame, rules: DataFrame, nested_predicates: bool) -> DataFrame:
     """Each point beside every rule (see :func:`active_rules`) that watches its series."""
     watched = rules.select(
         "rule_id",
@@ -67,16 +98,13 @@ def join_rules(points: DataFrame, rules: DataFrame) -> DataFrame:
         "comparator",
         "window_secs",
     )
-    nested = F.lit(False)
-    for column in ("match_attrs", "exclude_attrs"):
-        nested = nested | F.coalesce(at.has_nested(F.col(column)), F.lit(False))
+    nested = _any_nested()
     paired = points.join(watched, "name").where(
         F.col("_service").isNull() | (F.col("service") == F.col("_service"))
     )
     plain = paired.where(~nested).where(_passes(at.contains_scalars))
     # Nested predicates need a recursive comparison; only rules that have one pay for it.
-    deep_rules = rules.where(_any_nested()).limit(1).count()
-    if not deep_rules:
+    if not nested_predicates:
         return plain
     deep = paired.where(nested).where(
         _passes(lambda have, want: at.contains_nested(at.canonical_json(have), at.canonical_json(want)))
@@ -148,10 +176,11 @@ def evaluate_series(rules: DataFrame, points: DataFrame, now: datetime) -> DataF
 
     There is no upper time bound: points dated after now count as well.
     """
-    active = active_rules(rules, points)
-    longest = active.agg(F.max("window_secs")).first()[0] or WINDOW_SECS[1]
-    recent = in_range(points, "time", now - timedelta(seconds=longest))
-    paired = join_rules(with_steps(recent), active)
+    enabled = rules.where("enabled")
+    facts = rule_facts(enabled)
+    points = only_watched(points, enabled, facts)
+    recent = in_range(points, "time", now - timedelta(seconds=facts.longest_secs))
+    paired = join_rules(with_steps(recent), active_rules(rules, points), facts.nested)
     floor_us = F.unix_micros(instant(now)) - F.col("window_secs").cast("bigint") * 1_000_000
     paired = paired.where(F.unix_micros("time") >= floor_us)
     has_previous = F.coalesce(F.unix_micros("prev_time") >= floor_us, F.lit(False))
@@ -166,30 +195,23 @@ def evaluate_series(rules: DataFrame, points: DataFrame, now: datetime) -> DataF
 
 
 def evaluate_rules(rules: DataFrame, points: DataFrame, now: datetime) -> DataFrame:
-    """Value, breach and most responsible series of every enabled rule."""
+    """Value, breach and most responsible series of every enabled rule.
+
+    The responsible series has the largest (gt) or smallest (lt) aggregate of its own; it
+    comes from the same pass over the series as the rule's value.
+    """
     series = evaluate_series(rules, points, now)
+    toward = F.when(F.col("comparator") == "lt", F.col("series_value")).otherwise(-F.col("series_value"))
+    culprit = F.min_by("attrs_json", F.struct(toward.alias("x"), "series_key")).alias("attrs_json")
     totals = (
         series.groupBy("rule_id", "agg")
-        .agg(*merged_aggregates())
-        .select("rule_id", chosen_aggregate().alias("value"))
+        .agg(*merged_aggregates(), culprit)
+        .select("rule_id", chosen_aggregate().alias("value"), "attrs_json")
     )
     enabled = rules.where("enabled")
-    scored = enabled.join(totals, "rule_id", "left").withColumn(
-        "breached", breached(F.col("value"), F.col("comparator"), F.col("threshold"))
-    )
-    return scored.join(attribute_breach(series), "rule_id", "left").select(
-        *enabled.columns,
-        "value",
-        "breached",
-        F.when(F.col("breached"), F.col("attrs_json")).alias("attributes"),
-    )
-
-
-def attribute_breach(series: DataFrame) -> DataFrame:
-    """The series with the largest (gt) or smallest (lt) aggregate, per rule."""
-    toward = F.when(F.col("comparator") == "lt", F.col("series_value")).otherwise(-F.col("series_value"))
-    return series.groupBy("rule_id").agg(
-        F.min_by("attrs_json", F.struct(toward.alias("x"), "series_key")).alias("attrs_json")
+    hit = breached(F.col("value"), F.col("comparator"), F.col("threshold"))
+    return enabled.join(totals, "rule_id", "left").select(
+        *enabled.columns, "value", hit.alias("breached"), F.when(hit, F.col("attrs_json")).alias("attributes")
     )
 
 

@@ -20,7 +20,9 @@ from spanloom.operators.alerts import (
     chosen_aggregate,
     join_rules,
     merged_aggregates,
+    only_watched,
     partial_aggregates,
+    rule_facts,
     step_value,
     with_steps,
 )
@@ -40,7 +42,10 @@ def tick_values(
     step = max(tick_secs, MIN_TICK_SECS) * 1_000_000
     t0, t1 = to_micros(first), to_micros(last)
     top = (t1 - t0) // step
-    rows = join_rules(with_steps(points), active_rules(rules, points))
+    enabled = rules.where("enabled")
+    facts = rule_facts(enabled)
+    points = only_watched(points, enabled, facts)
+    rows = join_rules(with_steps(points), active_rules(rules, points), facts.nested)
 
     at_us, before_us = F.unix_micros("time"), F.unix_micros("prev_time")
     look_back = F.col("window_secs").cast("bigint") * 1_000_000

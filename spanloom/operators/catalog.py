@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom import params
 from spanloom.functions.times import in_range
+from spanloom.operators.scaling import small_side
 
 def _values_newest_first(condition, column: str):
     """Values in rank order where the condition holds; NULL, not empty, when nothing qualifies."""
@@ -17,6 +18,27 @@ def _values_newest_first(condition, column: str):
     return F.transform(F.when(F.size(cells) > 0, F.array_sort(cells)), lambda x: x["v"])
 
 
+def newest_per_name(rows: DataFrame, order: list, keep: int) -> DataFrame:
+    """The newest ``keep`` rows of each name, numbered from one in ``_rank``.
+
+    Counts per (name, hour) tell how far back the newest rows reach, so only the rows of
+    the last few busy hours are sorted and not the whole table.
+    """
+    hour = F.floor(F.unix_micros("time") / F.lit(3.6e9)).cast("bigint")
+    newer = W.partitionBy("name").orderBy(F.desc("_hour")).rowsBetween(W.unboundedPreceding, -1)
+    reach = (
+        rows.groupBy("name", hour.alias("_hour"))
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+        .where(F.col("_newer") < keep)
+        .groupBy("name")
+        .agg(F.min("_hour").alias("_from"))
+    )
+    recent = rows.join(small_side(reach), "name").where(hour >= F.col("_from")).drop("_from")
+    ranked = recent.withColumn("_rank", F.row_number().over(W.partitionBy("name").orderBy(*order)))
+    return ranked.where(F.col("_rank") <= keep)
+
+
 def metric_catalog(
     points: DataFrame,
     *,
@@ -27,18 +49,15 @@ def metric_catalog(
 ) -> DataFrame:
     """One row per metric name from its newest points.
 
-    Ranking keeps thirty rows per name and input partition before the shuffle. There is
-    no default window. ``dist`` is the newest histogram of the name whatever the filters.
+    There is no default window. ``dist`` is the newest histogram of the name whatever the
+    filters.
     """
     rows = points
     if service is not None:
         rows = rows.where(F.col("service") == service)
     rows = in_range(rows, "time", start, end)
     order = [F.desc("time"), F.col("series_key"), F.col("value")]
-    by_name = W.partitionBy("name").orderBy(*order)
-    recent = rows.withColumn("_rank", F.row_number().over(by_name)).where(
-        F.col("_rank") <= params.SPARK_POINTS
-    )
+    recent = newest_per_name(rows, order, params.SPARK_POINTS)
     valued = F.col("value").isNotNull()
     listed = recent.groupBy("name").agg(
         F.min_by(F.struct("service", "kind", "unit", F.col("value").alias("last_value")), "_rank").alias("n"),
@@ -47,11 +66,9 @@ def metric_catalog(
         _values_newest_first(valued & F.col("count").isNotNull(), "count").alias("count_spark"),
         F.count_distinct(F.coalesce("attrs_json", F.lit(""))).alias("series_count"),
     )
-    newest_counts = (
-        points.where(F.col("bucket_counts").isNotNull())
-        .withColumn("_rank", F.row_number().over(W.partitionBy("name").orderBy(F.desc("time"), "series_key")))
-        .where("_rank = 1")
-        .select("name", F.col("bucket_counts").alias("_counts"))
+    counted = points.where(F.col("bucket_counts").isNotNull())
+    newest_counts = newest_per_name(counted, [F.desc("time"), F.col("series_key")], 1).select(
+        "name", F.col("bucket_counts").alias("_counts")
     )
     return (
         listed.join(newest_counts, "name", "left")

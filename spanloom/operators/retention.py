@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.times import instant
 
 MAX_SWEEP_AGE_SECS = 7200
+RETIRED = "_retired_"
 
 
 @dataclass(frozen=True)
@@ -72,37 +73,51 @@ def prune(tables: dict[str, DataFrame], now: datetime, days: int, raw_hours: int
     return kept
 
 
+def _recover(fs, path_of, names: list[str]) -> None:
+    """Finish or undo the replacement of a day that an earlier sweep left half done."""
+    for name in names:
+        if name.startswith(RETIRED):
+            day = name.removeprefix(RETIRED)
+            if day in names:
+                fs.delete(path_of(name), True)
+            else:
+                fs.rename(path_of(name), path_of(day))
+
+
 def sweep_table(spark: SparkSession, path: str, column: str, cutoff: datetime, date_column: str = "date") -> int:
     """Prune a table stored by date: whole days are dropped, the boundary day is rewritten.
 
-    Only the boundary day's data is read and written. The rewritten day lands beside the
-    table first and replaces the old folder by rename.
+    Only the boundary day's data is written. The new day lands beside the table first;
+    the old day steps aside by rename and goes last, so a sweep that dies on the way
+    loses nothing: the next one restores or removes what is left over.
     """
-    table = spark.read.parquet(path)
-    old_days = table.where(F.col(date_column) <= F.lit(cutoff.date()))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path_of(name: str):
+        return hadoop.Path(root, name)
+
+    def names() -> list[str]:
+        return [status.getPath().getName() for status in fs.listStatus(root)]
+
+    _recover(fs, path_of, names())
+    old_days = spark.read.parquet(path).where(F.col(date_column) <= F.lit(cutoff.date()))
     kept, expired = split_expired(old_days, column, cutoff)
     pruned = expired.count()
     if not pruned:
         return 0
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     day = f"{date_column}={cutoff.date().isoformat()}"
-    boundary = jvm.org.apache.hadoop.fs.Path(root, day)
-    staged = None
-    if fs.exists(boundary):
-        staged = jvm.org.apache.hadoop.fs.Path(root, f"_staged_{cutoff:%Y%m%dT%H%M%S}")
-        kept.where(F.col(date_column) == F.lit(cutoff.date())).drop(date_column).write.mode("overwrite").parquet(
-            staged.toString()
-        )
-    for status in fs.listStatus(root):
-        folder = status.getPath()
-        label = folder.getName()
-        if label.startswith(f"{date_column}=") and label < day:
-            fs.delete(folder, True)
-    if staged is not None:
-        fs.delete(boundary, True)
-        fs.rename(staged, boundary)
+    if day in names():
+        staged, retired = path_of(f"_staged_{day}"), path_of(f"{RETIRED}{day}")
+        boundary = kept.where(F.col(date_column) == F.lit(cutoff.date())).drop(date_column)
+        boundary.write.mode("overwrite").parquet(staged.toString())
+        fs.rename(path_of(day), retired)
+        fs.rename(staged, path_of(day))
+        fs.delete(retired, True)
+    for name in names():
+        if name.startswith(f"{date_column}=") and name < day:
+            fs.delete(path_of(name), True)
     return pruned
 
 

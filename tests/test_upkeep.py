@@ -44,6 +44,11 @@ def test_sweep_on_storage(spark, tmp_path):
     left = storage.read_table(spark, path, schemas.SPANS)
     assert left.count() == 13 and left.where(F.col("start_time") < F.lit(cutoff)).count() == 0
     assert retention.sweep_table(spark, path, "start_time", cutoff) == 0
+    # A sweep died after it moved the boundary day aside: the next one puts it back.
+    day = cutoff.date().isoformat()
+    (tmp_path / "spans" / f"date={day}").rename(tmp_path / "spans" / f"_retired_date={day}")
+    assert retention.sweep_table(spark, path, "start_time", cutoff) == 0
+    assert storage.read_table(spark, path, schemas.SPANS).count() == 13
 
 
 def test_failing_table_does_not_stop_the_rest(spark, tmp_path):
