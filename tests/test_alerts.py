@@ -11,9 +11,11 @@ from spanloom.schemas import EVENTS
 from spanloom.sources.rules import InvalidRules, normalize_rules, read_rules
 
 
-def value(spark, pts, **over):
-    row = evaluate_rules(rules(spark, rule(**over)), points(spark, pts), NOW).first()
-    return row["value"], row["breached"]
+def values(spark, pts, *overs):
+    """Value and breach of one rule per set of options, all evaluated together."""
+    declared = rules(spark, *[rule(i, **over) for i, over in enumerate(overs)])
+    rows = evaluate_rules(declared, points(spark, pts), NOW).collect()
+    return [(r["value"], r["breached"]) for r in sorted(rows, key=lambda r: r["rule_id"])]
 
 
 def counter(*levels, step=10, **over):
@@ -25,45 +27,80 @@ def counter(*levels, step=10, **over):
 
 def test_aggregates(spark):
     pts = [dict(value=10, time=ago(seconds=30)), dict(value=100, time=ago(seconds=20)), dict(value=40, time=ago(seconds=10))]
-    for agg, expected in (("avg", 50.0), ("max", 100.0), ("min", 10.0), ("sum", 150.0), ("last", 40.0)):
-        assert value(spark, pts, agg=agg)[0] == expected
-    assert value(spark, pts, agg="max", threshold=80)[1]
-    assert not value(spark, pts, threshold=50)[1]
-    assert value(spark, [dict(value=-5)], comparator="lt", threshold=0)[1]
-    assert value(spark, [dict(value=90, time=ago(hours=1))]) == (None, False)
-    # Points dated after now count.
-    assert value(spark, [dict(value=90, time=NOW + timedelta(hours=1))]) == (90.0, True)
-    assert value(spark, pts, service="other") == (None, False)
+    pts += [
+        dict(name="neg", value=-5),
+        dict(name="old", value=90, time=ago(hours=1)),
+        # Points dated after now count.
+        dict(name="future", value=90, time=NOW + timedelta(hours=1)),
+    ]
+    found = values(
+        spark,
+        pts,
+        dict(agg="avg"),
+        dict(agg="max", threshold=80),
+        dict(agg="min"),
+        dict(agg="sum"),
+        dict(agg="last"),
+        dict(metric="neg", comparator="lt", threshold=0),
+        dict(metric="old"),
+        dict(metric="future"),
+        dict(service="other"),
+    )
+    assert found == [
+        (50.0, False), (100.0, True), (10.0, False), (150.0, True), (40.0, False), (-5.0, True), (None, False),
+        (90.0, True), (None, False),
+    ]
 
 
 def test_scopes(spark):
-    pts = [dict(value=90, attrs={"role": "replica"}), dict(value=10, attrs={"role": "primary"})]
-    assert value(spark, pts, agg="max", threshold=80)[1]
-    assert value(spark, pts, agg="max", threshold=80, match_attrs={"role": "primary"}) == (10.0, False)
-    assert value(spark, pts, agg="max", threshold=80, exclude_attrs={"role": "replica"}) == (10.0, False)
-    typed = [dict(value=90, attrs={"n": 5})]
-    assert value(spark, typed, match_attrs={"n": "5"}) == (None, False)
-    assert value(spark, typed, match_attrs={"n": 5})[1]
-    nested = [dict(value=90, attrs={"o": {"x": 1, "y": [1, 2]}}), dict(value=70, attrs={"o": {"x": 2}})]
-    assert value(spark, nested, match_attrs={"o": {"y": [2]}})[0] == 90.0
-    assert value(spark, nested, exclude_attrs={"o": {"y": [2]}})[0] == 70.0
+    pts = [dict(value=90, attrs={"role": "replica"}), dict(value=10, attrs={"role": "primary"}), dict(name="t", value=90, attrs={"n": 5})]
+    high = dict(agg="max", threshold=80)
+    assert values(
+        spark,
+        pts,
+        high,
+        dict(high, match_attrs={"role": "primary"}),
+        dict(high, exclude_attrs={"role": "replica"}),
+        dict(metric="t", match_attrs={"n": "5"}),
+        dict(metric="t", match_attrs={"n": 5}),
+    ) == [(90.0, True), (10.0, False), (10.0, False), (None, False), (90.0, True)]
+
+
+def test_nested_scopes(spark):
+    pts = [dict(value=90, attrs={"o": {"x": 1, "y": [1, 2]}}), dict(value=70, attrs={"o": {"x": 2}})]
+    found = values(spark, pts, dict(match_attrs={"o": {"y": [2]}}), dict(exclude_attrs={"o": {"y": [2]}}), dict())
+    assert [v for v, _ in found] == [90.0, 70.0, 80.0]
 
 
 def test_rates(spark):
-    assert value(spark, counter(100, 400))[0] == pytest.approx(30.0)
-    assert value(spark, counter(100, 400), rate=False, agg="max")[0] == 400.0
-    assert value(spark, counter(1_000_000, 10))[0] == 0.0
-    assert value(spark, counter(400)) == (None, False)
-    two = counter(0, 100, attrs={"s": "a"}) + counter(1000, 1000, attrs={"s": "b"})
-    assert value(spark, two)[0] == pytest.approx(5.0)
+    pts = counter(100, 400) + counter(1_000_000, 10, name="reset") + counter(400, name="lone")
+    pts += counter(0, 100, name="two", attrs={"s": "a"}) + counter(1000, 1000, name="two", attrs={"s": "b"})
+    found = values(
+        spark, pts, dict(), dict(rate=False, agg="max"), dict(metric="reset"), dict(metric="lone"), dict(metric="two")
+    )
+    assert [v for v, _ in found] == [pytest.approx(30.0), 400.0, 0.0, None, pytest.approx(5.0)]
 
 
 def test_increase(spark):
-    assert value(spark, counter(5, 8, 2, 4), agg="increase")[0] == 5.0
-    assert value(spark, counter(5), agg="increase") == (0.0, False)
-    assert value(spark, counter(5, name="other"), agg="increase") == (None, False)
-    # The point before the look-back gives no step.
-    assert value(spark, counter(5, 105, step=200), agg="increase", window_secs=300)[0] == 0.0
+    pts = counter(5, 8, 2, 4) + counter(5, name="lone") + counter(5, 105, step=200, name="wide")
+    found = values(
+        spark,
+        pts,
+        dict(agg="increase"),
+        dict(agg="increase", metric="lone"),
+        dict(agg="increase", metric="absent"),
+        # The point before the look-back gives no step.
+        dict(agg="increase", metric="wide", window_secs=300),
+    )
+    assert [v for v, _ in found] == [5.0, 0.0, None, 0.0]
+
+
+def test_many_rules_go_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("spanloom.operators.alerts.BROADCAST_ROWS", 1)
+    monkeypatch.setattr("spanloom.operators.alerts.small_side", lambda df: df)
+    assert values(spark, counter(100, 400), dict(), dict(rate=False), dict(metric="none")) == [
+        (pytest.approx(30.0), False), (250.0, True), (None, False),
+    ]
 
 
 def test_attribution(spark):
