@@ -570,7 +570,9 @@ def _kv(key: str, field: str, value):
 def _request(df: DataFrame, top: str, scope: str, resource, item: str, record) -> DataFrame:
     scoped = F.array(F.struct(F.array(record).alias(item)))
     group = F.struct(F.struct(F.array(resource).alias("attributes")).alias("resource"), scoped.alias(scope))
-    return df.select(F.to_json(F.struct(F.array(group).alias(top))).alias("value"))
+    lines = df.select(F.to_json(F.struct(F.array(group).alias(top))).alias("value"))
+    # The benchmark tables are single files with few row groups.
+    return otlp.spread_lines(lines, df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _nanos(time: str, extra=0):

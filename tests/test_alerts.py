@@ -182,16 +182,16 @@ def test_backtest_equals_repeated_steps(spark):
         rule(5, metric="c", window_secs=130, agg="increase", comparator="lt", threshold=1, for_secs=61),
     )
     df = points(spark, pts)
-    ticks = 2 * len(levels)
+    ticks = len(levels)
     history = spark.createDataFrame([], EVENTS)
     for i in range(ticks + 1):
-        now = start + timedelta(seconds=30 * i)
+        now = start + timedelta(seconds=60 * i)
         # At its time a tick knew only the points so far.
         known = df.where(F.col("time") <= F.lit(now))
         closed = history.where("resolved_at is not null").collect()
         after, _ = alert_step(evaluate_rules(declared, known, now), history, now)
         history = spark.createDataFrame(closed + after.collect(), EVENTS)
-    found = backtest.backtest(declared, df, start, start + timedelta(seconds=30 * ticks), 30)
+    found = backtest.backtest(declared, df, start, start + timedelta(seconds=60 * ticks), 60)
     assert sorted(map(str, found.collect())) == sorted(map(str, history.collect()))
     assert found.count() > 4
 

@@ -5,7 +5,8 @@ from builders import NOW, ago, points, rule, rules, span, spans
 from pyspark.sql import functions as F
 
 from spanloom import schemas
-from spanloom.operators.alerts import alert_step, evaluate_rules
+from spanloom.functions.predicates import breached
+from spanloom.operators.alerts import alert_step
 from spanloom.operators.rollups import rollup_points
 from spanloom.schemas import EVENTS
 from spanloom.sources import otlp, storage
@@ -73,8 +74,14 @@ def test_rule_state_equals_steps(spark, tmp_path):
     history, rows, moves = spark.createDataFrame([], EVENTS), [], []
     for i, level in enumerate(levels):
         now = NOW + timedelta(seconds=30 * i)
-        pts = points(spark, [dict(value=level, time=now)] if level is not None else [dict(name="other")])
-        evaluated = evaluate_rules(declared, pts, now)
+        value = F.lit(level).cast("double")
+        evaluated = declared.withColumns(
+            {
+                "value": value,
+                "breached": breached(value, F.col("comparator"), F.col("threshold")),
+                "attributes": F.lit(None).cast("string"),
+            }
+        )
         rows += [(r["rule_id"], now, r["value"], r["breached"], r["for_secs"]) for r in evaluated.collect()]
         history, transitions = alert_step(evaluated, history, now)
         history = spark.createDataFrame(history.collect(), EVENTS)
