@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators.scaling import with_running_sum
+
+# Leading hash digits that split the numbering of new rules into chunks (4096 of them).
+HASH_DIGITS = 3
+
 # Columns a declaration sets; identity and creation time stay with the stored rule.
 DECLARED = [
     "metric",
@@ -25,17 +30,20 @@ DECLARED = [
 def reconcile_rules(declared: DataFrame, stored: DataFrame, created_at) -> DataFrame:
     """The new rule table: declared rules by name, known names keep their id.
 
-    New ids follow the highest stored id in name order. Rules no longer declared are
-    gone. Rule sets are configuration, so numbering the new ones in one place is fine.
+    New ids follow the highest stored id, in the order of the names' hashes, so that they
+    can be numbered in many tasks. Rules no longer declared are gone.
     """
     old = stored.select("name", F.col("rule_id").alias("_id"), F.col("created_at").alias("_at"))
     kept = declared.select("name", *DECLARED).join(old, "name", "left")
     known = kept.where(F.col("_id").isNotNull())
     fresh = kept.where(F.col("_id").isNull())
     highest = stored.agg(F.coalesce(F.max("rule_id"), F.lit(0)).alias("m")).first()["m"]
-    numbered = fresh.withColumn(
-        "_id", (F.row_number().over(W.orderBy("name")) + highest).cast("bigint")
-    ).withColumn("_at", created_at)
+    hashed = fresh.withColumns({"_hash": F.md5("name"), "_one": F.lit(1).cast("bigint")})
+    chunk = F.conv(F.substring("_hash", 1, HASH_DIGITS), 16, 10).cast("bigint")
+    placed = with_running_sum(hashed, [], chunk, ["_hash", "name"], "_one", "_before")
+    numbered = placed.select(
+        "name", *DECLARED, (F.col("_before") + highest + 1).alias("_id"), created_at.alias("_at")
+    )
     return known.unionByName(numbered).select(
         F.col("_id").alias("rule_id"), "name", *DECLARED, F.col("_at").alias("created_at")
     )

@@ -534,7 +534,7 @@ round(threshold, 9) AS threshold, cmp AS comparator, CASE WHEN action <> 'resolv
 FROM stepped WHERE action IN ('fire', 'activate', 'resolve')""",
     "rules_reconcile": _with(STORED)
     + """SELECT coalesce(s.rule_id, (SELECT max(rule_id) FROM stored)
-  + row_number() OVER (PARTITION BY s.rule_id IS NULL ORDER BY d.name)) AS rule_id, d.name, d.service,
+  + row_number() OVER (PARTITION BY s.rule_id IS NULL ORDER BY md5(d.name), d.name)) AS rule_id, d.name, d.service,
 round(d.threshold, 9) AS threshold, coalesce(s.created_at, TIMESTAMP '2024-01-02') AS created_at
 FROM declared d LEFT JOIN stored s USING (name)""",
     "rules_removed": _with(STORED)
