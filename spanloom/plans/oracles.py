@@ -439,6 +439,12 @@ LEFT JOIN spans s ON s.trace_id = e.trace_id AND s.span_id = e.span_id""",
     "metric_meta": _with(METRICS)
     + """SELECT name, arg_max(kind, us) AS kind, bool_or(is_monotonic) AS is_monotonic, arg_max(unit, us) AS unit
 FROM points GROUP BY name""",
+    "sql_functions": _with(METRICS)
+    + """SELECT make_timestamp(us - us % 86400000000) AS day, series_key, min(counts[1] + 1) AS least_first,
+count(*) AS hours FROM points WHERE name = 'event.size' GROUP BY 1, 2""",
+    "spans_in_window": _with(SPANS, METRICS)
+    + f"""SELECT service, count(*) AS spans, make_timestamp(max(end_us)) AS last_end FROM spans, ev_now
+WHERE start_us BETWEEN {EPOCH_US} AND now_us GROUP BY 1""",
     "metric_facet_gauge": _lines("name = 'event.value' AND series_rank <= 500"),
     "metric_facet_rate": _lines("name = 'event.total' AND series_rank <= 500"),
     "metric_facet_chart": _lines("name = 'event.value' AND series_rank <= 12"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, TimestampType
 
 from spanloom import params
-from spanloom.functions import predicates
+from spanloom.functions import predicates, sqlfunctions
 from spanloom.functions.times import newest
 from spanloom.operators import (
     alert_views,
@@ -324,6 +324,28 @@ def metric_meta(spark, sf_dir):
     return metrics.metric_meta(sample.metrics(spark, sf_dir), _rollups(spark, sf_dir))
 
 
+@query
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions inside a plain SQL aggregation."""
+    sqlfunctions.register(spark)
+    sample.histogram_points(spark, sf_dir).createOrReplaceTempView("size_points")
+    return spark.sql(
+        """
+        SELECT metric_bucket(time, 86400.0D) AS day, metric_series_key(service, attrs_json) AS series_key,
+               min(array_add(bucket_counts, array(1L))[0]) AS least_first, count(*) AS hours
+        FROM size_points GROUP BY 1, 2
+        """
+    )
+
+
+@query
+def spans_in_window(spark, sf_dir):
+    """Spans started inside a chart's window, per service."""
+    window = params.Window(EPOCH, _event_now(spark, sf_dir))
+    found = correlate.spans_in_window(sample.spans(spark, sf_dir), window)
+    return found.groupBy("service").agg(F.count("*").alias("spans"), F.max("end_time").alias("last_end"))
+
+
 def _facet(spark, sf_dir, name=None, **options):
     now = _event_now(spark, sf_dir)
     return metrics.metric_facet(

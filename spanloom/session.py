@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings of the context, which only a new session can take. Iterative operators leave
+# a checkpoint per round; this lets Spark delete the ones no plan needs any more.
+CONTEXT_SETTINGS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -24,9 +28,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(app_name: str = "spanloom", **extra: str) -> SparkSession:
+def build_session(app_name: str = "spanloom", extra: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **CONTEXT_SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
