@@ -8,6 +8,9 @@ duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as contract  # noqa: E402
 
+from spanloom.plans.oracles import ORACLES  # noqa: E402
+from spanloom.plans.queries import REGISTRY  # noqa: E402
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "nation region customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -29,14 +32,15 @@ def canonical(rows, columns, order):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(REGISTRY) == set(ORACLES)
+    assert set(REGISTRY) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_matches_sql(spark, sql, name):
-    df = contract.queries()[name](spark, SF_DIR)
+    df = REGISTRY[name](spark, SF_DIR)
     order = sorted(df.columns)
-    cursor = sql.execute(contract.oracle_sql()[name])
+    cursor = sql.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == order
     expected = canonical(cursor.fetchall(), columns, order)
