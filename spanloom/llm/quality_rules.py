@@ -63,12 +63,11 @@ class Rule:
 
 def _repeated_words(words: Column) -> Column:
     """Words inside windows of eight words that occur twice or more in the text."""
-    # Hashes of 1, 2, 4 and then 8 words: each round joins two neighbours of the last one.
-    hashes = words
-    for step in (1, 2, 4):
-        hashes = let(
-            hashes, lambda hs, step=step: F.transform(hs, lambda h, i: F.xxhash64(h, F.get(hs, i + step)))
-        )
+    # Hashes of 2, 4 and then 8 words: each round joins two neighbours of the last one.
+    def joined(hashes: Column, step: int) -> Column:
+        return let(hashes, lambda hs: F.transform(hs, lambda h, i: F.xxhash64(h, F.get(hs, i + step))))
+
+    hashes = joined(joined(joined(words, 1), 2), 4)
     hashes = F.slice(hashes, 1, F.size(words) - (WINDOW - 1))
 
     def covered(ordered: Column) -> Column:
