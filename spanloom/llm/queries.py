@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import quality_rules
+from spanloom.llm import decontaminate, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(_table(spark, sf_dir, "documents"))
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(_table(spark, sf_dir, "benchmark"))
+    found = decontaminate.report(_table(spark, sf_dir, "documents"), index)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rules = quality_rules.learn(docs, _table(spark, sf_dir, "labels"))
@@ -24,6 +45,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Query] = {
+    "op1_simhash": op1_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
