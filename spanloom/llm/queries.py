@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, quality_rules, simhash
+from spanloom.llm import decontaminate, packed_ids, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op2_packed_ids(
+    spark: SparkSession, sf_dir: str, vocabulary_file: str = public_tokenizers.path("word_bpe_49k.json")
+) -> DataFrame:
+    packed = packed_ids.write(
+        _table(spark, sf_dir, "documents"), lambda: packed_ids.word_encoder(vocabulary_file), 49_408, end_id=2
+    )
+    return packed_ids.read(spark, packed)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(_table(spark, sf_dir, "benchmark"))
     found = decontaminate.report(_table(spark, sf_dir, "documents"), index)
@@ -46,6 +56,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_packed_ids": op2_packed_ids,
     "op6_decontaminate": op6_decontaminate,
     "op9_quality_rules": op9_quality_rules,
 }
