@@ -156,8 +156,10 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **option
     joined = texts.join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "label", statistics(F.col("text")).alias("s"))
     stats = F.col("s")
     columns = [make(stats).cast("double").alias(name) for name, make in FEATURES.items()]
-    passed = joined.where(let(stats, lambda s: ~base_failed(s)))
-    rows = passed.dropDuplicates(["doc_id"]).orderBy("doc_id").select("label", *columns).collect()
+    # As a filter this would move below the join, and so cost the statistics of every row.
+    failed = base_failed(stats).alias("failed")
+    found = joined.dropDuplicates(["doc_id"]).orderBy("doc_id").select("label", failed, *columns).collect()
+    rows = [r for r in found if not r["failed"]]
     if not rows:
         return []
     table = np.array([[r[name] for name in FEATURES] for r in rows], dtype=float)

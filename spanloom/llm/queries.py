@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, packed_ids, quality_rules, simhash
+from spanloom.llm import decontaminate, line_dedup, packed_ids, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,10 +54,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the numbers of the lines that go, comma-joined."""
+    docs = _table(spark, sf_dir, "documents")
+    gone = line_dedup.repeated_lines(docs).withColumnRenamed("doc_id", "doc")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.size(F.split("text", "\n")).alias("n_lines"))
+    same = rows["doc_id"].eqNullSafe(gone["doc"]) & (rows["digest"] == gone["text_hash"])
+    return rows.join(gone, same, "left").select(
+        "doc_id",
+        F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
+    )
+
+
 REGISTRY: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_packed_ids": op2_packed_ids,
     "op6_decontaminate": op6_decontaminate,
     "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {}
