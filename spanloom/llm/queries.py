@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, line_dedup, packed_ids, quality_rules, simhash
+from spanloom.llm import decontaminate, line_dedup, packed_ids, quality_rules, simhash, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,23 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def digests(coded: DataFrame) -> DataFrame:
+    """Per document the number of ids and hashes of the ids and of the decoded bytes."""
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_word_bpe(
+    spark: SparkSession, sf_dir: str, vocabulary_file: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
+) -> DataFrame:
+    ranks = word_bpe.read_ranks(vocabulary_file)
+    return digests(word_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rules = quality_rules.learn(docs, _table(spark, sf_dir, "labels"))
@@ -72,6 +89,7 @@ REGISTRY: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_packed_ids": op2_packed_ids,
     "op6_decontaminate": op6_decontaminate,
+    "op7_word_bpe": op7_word_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
