@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from spanloom.llm.components import stars
-from spanloom.llm.shared import store
+from spanloom.llm.shared import free_name, store
 
 BITS = 64
 SHINGLE = 3
@@ -172,24 +172,46 @@ def links(
     return near.select(F.col("fp").alias("a"), F.col("resident").alias("b")).union(tied.select("fp", "resident"))
 
 
-def classes(
+def classified(
     docs: DataFrame,
     threshold: int = THRESHOLD,
     shingle: int = SHINGLE,
     code: tuple[str, ...] = DEFAULT_CODE,
     crowd: int = CROWD,
 ) -> DataFrame:
+    """doc_id, text_hash, fp and root for every row; equal roots are one component."""
+    rows = store(
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text"), shingle).alias("fp")),
+        "fingerprints",
+    )
+    prints = store(rows.select("fp").distinct(), "prints")
+    roots = stars(links(prints, threshold, code, crowd)).withColumnRenamed("node", "fp")
+    return rows.join(roots, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, fp and component_id (least doc_id reachable) for every row of ``docs``.
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows
     appear again with equal results; a null doc_id never names a component that has
     another one.
     """
-    rows = store(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "fingerprints")
-    prints = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = stars(links(prints, threshold, code, crowd)).withColumnRenamed("node", "fp")
-    member = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(member.join(named, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id"
-    )
+    rows = classified(docs, **options)
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each component, with all columns: the one of the least doc_id.
+
+    Null ids come last; rows that repeat an id are told apart by a hash of the text, and
+    of rows equal in both any one stays.
+    """
+    doc, digest, first = (free_name(x, docs.columns) for x in ("_doc", "_digest", "_first"))
+    rows = classified(docs, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = rows.groupBy("root").agg(F.min(order).alias(first)).select(f"{first}.doc_id", f"{first}.text_hash")
+    chosen = least.distinct().toDF(doc, digest)
+    hashed = docs.withColumn(first, F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(chosen[doc]) & (hashed[first] == chosen[digest])
+    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", first]).drop(first)
