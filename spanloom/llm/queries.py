@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, line_dedup, packed_ids, quality_rules, simhash, word_bpe
+from spanloom.llm import decontaminate, line_dedup, packed_ids, pii, quality_rules, secret_scan, simhash, word_bpe
+from spanloom.llm.shared import spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_table(spark, sf_dir, "documents"))
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -32,6 +37,17 @@ def op2_packed_ids(
     return packed_ids.read(spark, packed)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.scan(docs, pii.fit(docs))
+    return found.select(
+        "doc_id",
+        *[_count("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(spans_text(F.col("base"), pii.KINDS), 256).alias("base_sha256"),
+        spans_text(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(_table(spark, sf_dir, "benchmark"))
     found = decontaminate.report(_table(spark, sf_dir, "documents"), index)
@@ -63,6 +79,17 @@ def op7_word_bpe(
     return digests(word_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    names = secret_scan.KINDS
+    return found.select(
+        "doc_id",
+        *[_count("base", k).alias(f"n_{names[k]}") for k in range(3)],
+        F.sha2(spans_text(F.col("base"), names), 256).alias("base_sha256"),
+        spans_text(F.col("spans"), names).alias("spans"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rules = quality_rules.learn(docs, _table(spark, sf_dir, "labels"))
@@ -88,8 +115,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_packed_ids": op2_packed_ids,
+    "op3_pii": op3_pii,
     "op6_decontaminate": op6_decontaminate,
     "op7_word_bpe": op7_word_bpe,
+    "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }

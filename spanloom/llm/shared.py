@@ -90,27 +90,35 @@ def running_sums(numbers: Column) -> Column:
     return F.when(F.size(numbers) > 0, let(numbers, chunked)).otherwise(none)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches of a Java pattern, leftmost and non-overlapping: array of (start, end, match).
+_MATCHES = "array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>"
 
-    Positions count code points, the end is exclusive. The pattern must not match an
-    empty string. The text between matches comes from ``split`` by the same pattern, which
-    searches in the same way, so match ``k`` starts after the first ``k + 1`` gaps and
-    the ``k`` matches before it.
+
+def matches(text: Column, pattern: str, context: int = 24) -> Column:
+    """All matches of a Java pattern, leftmost and non-overlapping, with their places.
+
+    Array of (start, end, match, before, after): positions count code points, the end is
+    exclusive; before and after are up to ``context`` characters beside the match, not
+    reaching into the neighbouring ones. The pattern must not match an empty string. The text
+    between matches comes from ``split`` by the same pattern, which searches in the same
+    way, so match ``k`` starts after the first ``k + 1`` gaps and the ``k`` matches before it.
     """
-    kind = "array<struct<start:bigint,end:bigint,match:string>>"
 
     def placed(parts: Column) -> Column:
         length = lambda x: F.char_length(x).cast("bigint")
-        steps = F.zip_with(
-            F.slice(parts["gaps"], 1, F.size(parts["found"])),
-            parts["found"],
-            lambda gap, found: length(gap) + length(found),
-        )
-        return F.zip_with(
-            parts["found"],
+        found, gaps = parts["found"], parts["gaps"]
+        steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, m: length(gap) + length(m))
+        return let(
             running_sums(steps),
-            lambda found, end: F.struct((end - length(found)).alias("start"), end.alias("end"), found.alias("match")),
+            lambda ends: F.transform(
+                found,
+                lambda m, k: F.struct(
+                    (F.get(ends, k) - length(m)).alias("start"),
+                    F.get(ends, k).alias("end"),
+                    m.alias("match"),
+                    F.right(F.get(gaps, k), F.lit(context)).alias("before"),
+                    F.left(F.get(gaps, k + 1), F.lit(context)).alias("after"),
+                ),
+            ),
         )
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -119,5 +127,30 @@ def matches(text: Column, pattern: str) -> Column:
         lambda f: F.when(
             F.size(f) > 0,
             let(F.struct(f.alias("found"), F.split(text, pattern, -1).alias("gaps")), placed),
-        ).otherwise(F.array().cast(kind)),
-    ).cast(kind)
+        ).otherwise(F.array().cast(_MATCHES)),
+    ).cast(_MATCHES)
+
+
+_SPANS = "array<struct<kind:int,start:bigint,end:bigint>>"
+
+
+def spans_of(found: Column, kind: int) -> Column:
+    """(kind, start, end) of an array of matches."""
+    return F.transform(
+        found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
+    ).cast(_SPANS)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``others``."""
+    return F.filter(
+        spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    )
+
+
+def spans_text(spans: Column, kinds: list[str]) -> Column:
+    """``kind:start:end`` of each span in the given order, comma-joined."""
+    names = F.array(*[F.lit(k) for k in kinds])
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ","
+    )
