@@ -29,6 +29,7 @@ from spanloom.llm.shared import free_name, let, store, words_of
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
+FILTER_BITS = 1 << 26
 
 _PLACE = DecimalType(30, 0)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -77,8 +78,9 @@ def _variants(batches):
     for batch in batches:
         out: list[tuple] = []
         for row in batch.itertuples(index=False):
-            n = len(row.words)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in row.words), dtype=np.uint64, count=n)
+            words = row.line.split(" ")
+            n = len(words)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=n)
             powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, _BASE, dtype=np.uint64))))
             upto = np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers)))
             left_out = (upto[:-1] + (upto[-1] - upto[1:]) * _INVERSE).view(np.int64)
@@ -116,17 +118,49 @@ def within_one_edit(a, b) -> bool:
     while start < len(a) and a[start] == b[start]:
         start += 1
     skip = start + 1 if len(a) == len(b) else start
-    return list(a[skip:]) == list(b[start + 1 :])
+    return a[skip:] == b[start + 1 :]
 
 
-def _neighbours(docs: DataFrame, distinct: DataFrame, min_words: int, near_words: int) -> DataFrame:
+def _seen(hashes: DataFrame, bits: int):
+    """A test that holds for every hash of a one-column table and for few others.
+
+    A bitmap of ``bits`` bits, built in pages and sent to the tasks: its size is fixed
+    whatever the table holds. With far more hashes than bits it lets all through, and the
+    join behind it does all the work.
+    """
+    page = 1 << 16
+    column = hashes.columns[0]
+    spots = hashes.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("bit")).distinct()
+    paged = spots.select(F.floor(F.col("bit") / page).alias("page"), (F.col("bit") % page).alias("at"))
+
+    def fill(group: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(page, dtype=np.uint8)
+        flags[group["at"].to_numpy()] = 1
+        return pd.DataFrame({"page": group["page"].iloc[:1], "bytes": [np.packbits(flags).tobytes()]})
+
+    bitmap = bytearray(bits // 8)
+    for row in paged.groupBy("page").applyInPandas(fill, "page bigint, bytes binary").collect():
+        bitmap[row["page"] * page // 8 : (row["page"] + 1) * page // 8] = row["bytes"]
+    packed = bytes(bitmap)
+
+    @pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        at = values.to_numpy() & (bits - 1)
+        return pd.Series((np.frombuffer(packed, dtype=np.uint8)[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    return test
+
+
+def _neighbours(
+    docs: DataFrame, distinct: DataFrame, min_words: int, near_words: int, filter_bits: int
+) -> DataFrame:
     """(h1, h2, place): lines with the place of their earliest earlier neighbour."""
 
     @pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within_one_edit(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    keyed = distinct.where(F.col("n") >= near_words).select("h1", "h2", F.posexplode("keys").alias("role", "key"))
+    keyed = distinct.where(F.col("n") >= near_words).select("h1", F.posexplode("keys").alias("role", "key"))
     own = F.sum(F.when(F.col("role") <= _OWN_RIGHT, 1).otherwise(0))
     longer = F.sum(F.when(F.col("role") > _OWN_RIGHT, 1).otherwise(0))
     shared = keyed.groupBy("key").agg(own.alias("own"), longer.alias("longer"))
@@ -134,15 +168,16 @@ def _neighbours(docs: DataFrame, distinct: DataFrame, min_words: int, near_words
     met = keyed.join(shared, "key")
     several, both = F.col("own") > 1, (F.col("own") > 0) & (F.col("longer") > 0)
     role = F.col("role")
-    flags = met.groupBy("h1", "h2").agg(
+    flags = met.groupBy("h1").agg(
         F.max((role == _OWN_LEFT) & several).alias("own_left"),
         F.max((role == _OWN_RIGHT) & several).alias("own_right"),
         F.max((role == _LONG_LEFT) & both).alias("long_left"),
         F.max((role == _LONG_RIGHT) & both).alias("long_right"),
         F.max((role <= _OWN_RIGHT) & both).alias("own_whole"),
     )
-    wanted = flags.join(distinct.select("h1", "h2", "first"), ["h1", "h2"])
-    texts = lines(docs, min_words).select("place", "h1", "h2", "words").join(wanted, ["h1", "h2"])
+    wanted = store(flags.join(distinct.select("h1", "h2", "first"), "h1"), "wanted")
+    lined = lines(docs, min_words).select("place", "h1", "h2", F.array_join("words", " ").alias("line"))
+    texts = lined.where(_seen(wanted.select("h1"), filter_bits)(F.col("h1"))).join(wanted, ["h1", "h2"])
     # Rows that repeat an id and a line share the place of that line.
     texts = store(texts.where(F.col("place") == F.col("first")).drop("place").dropDuplicates(["h1", "h2"]), "lines")
 
@@ -159,14 +194,16 @@ def _neighbours(docs: DataFrame, distinct: DataFrame, min_words: int, near_words
     other = F.when(F.col("i") >= 0, F.col("any")).when(F.col("whole"), F.col("leaf")).otherwise(F.col("centre"))
     found = both.select("h1", "h2", "first", other.alias("other")).where(F.col("other.first") < F.col("first"))
     found = found.groupBy("h1", "h2").agg(F.min("other").alias("other"))
-    here = texts.select("h1", "h2", "words")
-    there = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("earlier"))
+    here = texts.select("h1", "h2", "line")
+    there = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("earlier"))
     pairs = found.select("h1", "h2", "other.first", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
-    checked = pairs.join(here, ["h1", "h2"]).join(there, ["o1", "o2"]).where(near("words", "earlier"))
+    checked = pairs.join(here, ["h1", "h2"]).join(there, ["o1", "o2"]).where(near("line", "earlier"))
     return checked.select("h1", "h2", F.col("first").alias("place"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def repeated_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, filter_bits: int = FILTER_BITS
+) -> DataFrame:
     """(doc_id, text_hash, removed): the sorted numbers, from 0, of the lines that go.
 
     Only documents that lose a line appear. Rows that repeat an id and a text share their
@@ -184,7 +221,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     distinct = store(
         distinct.select("h1", "h2", "times", "first", "n", F.array("k0", "k1", "k2", "k3").alias("keys")), "distinct"
     )
-    near = _neighbours(docs, distinct, min_words, near_words)
+    near = _neighbours(docs, distinct, min_words, near_words, filter_bits)
     again = distinct.where("times > 1").select("h1", "h2", F.col("first").alias("place"))
     bounds = again.union(near).groupBy("h1", "h2").agg(F.min("place").alias("earliest"))
     gone = all_lines.drop("words").join(bounds, ["h1", "h2"]).where(F.col("place") > F.col("earliest"))
