@@ -98,8 +98,9 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, let(hashes, count)).otherwise(F.lit(0).cast("bigint"))
 
 
-def statistics(text: Column) -> Column:
-    """Counts of one text as a struct of bigint fields (null: all zero)."""
+def statistics(text: Column, distinct: bool = False) -> Column:
+    """Counts of one text as a struct of bigint fields (null: all zero); ``distinct`` adds
+    the number of different words."""
     text = F.coalesce(text, F.lit(""))
     without = text
     for symbol in SYMBOLS:
@@ -117,6 +118,7 @@ def statistics(text: Column) -> Column:
             F.regexp_count(text, F.lit("[A-Z]")).cast("bigint").alias("n_upper"),
             F.regexp_count(text, F.lit("[!?]")).cast("bigint").alias("n_marks"),
             F.regexp_count(text, F.lit("[0-9]")).cast("bigint").alias("n_digits"),
+            *([F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct")] if distinct else []),
         )
 
     return let(words_of(text), of_words)
