@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, line_dedup, packed_ids, pii, quality_rules, rule_ensemble, secret_scan, simhash, word_bpe
+from spanloom.llm import decontaminate, html_text, line_dedup, packed_ids, pii, quality_rules, rule_ensemble, secret_scan, simhash, word_bpe
 from spanloom.llm.shared import spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score(docs, rule_ensemble.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_texts(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(_table(spark, sf_dir, "benchmark"))
     found = decontaminate.report(_table(spark, sf_dir, "documents"), index)
@@ -122,6 +127,7 @@ REGISTRY: dict[str, Query] = {
     "op2_packed_ids": op2_packed_ids,
     "op3_pii": op3_pii,
     "op4_rule_ensemble": op4_rule_ensemble,
+    "op5_html_text": op5_html_text,
     "op6_decontaminate": op6_decontaminate,
     "op7_word_bpe": op7_word_bpe,
     "op8_secret_scan": op8_secret_scan,
