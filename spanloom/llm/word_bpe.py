@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.shared import store
 
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 32 << 20
 BUCKET_WORDS = 250_000
-_FLUSH_BYTES = 8 << 20
+_FLUSH_BYTES = 4 << 20
+_LEVEL = 9
 _encodings: dict[tuple, object] = {}
 
 
@@ -78,9 +79,27 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def squeeze_ranks(ranks: np.ndarray) -> bytes:
+    """Ranks as one byte each, 255 standing for a larger one that follows in byte planes.
+
+    Frequent words have small ranks, so most numbers are one byte that compresses well.
+    """
+    first = np.minimum(ranks, 255).astype(np.uint8)
+    packed = zstandard.ZstdCompressor(level=_LEVEL).compress(first.tobytes())
+    return len(packed).to_bytes(8, "little") + packed + squeeze(ranks[first == 255] - np.uint32(255))
+
+
+def unsqueeze_ranks(data: bytes) -> np.ndarray:
+    size = 8 + int.from_bytes(data[:8], "little")
+    first = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:size]), dtype=np.uint8)
+    ranks = first.astype(np.uint32)
+    ranks[first == 255] += unsqueeze(data[size:])
+    return ranks
+
+
 def join_words(words: list[bytes]) -> tuple[bytes, bytes]:
     lengths = np.fromiter(map(len, words), dtype=np.uint32, count=len(words))
-    return squeeze(lengths), zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+    return squeeze(lengths), zstandard.ZstdCompressor(level=_LEVEL).compress(b"".join(words))
 
 
 def split_words(lengths: bytes, data: bytes) -> list[bytes]:
@@ -128,7 +147,7 @@ def _chunker(pattern: str, chunk_chars: int):
                 np.array([i or 0 for i in ids], dtype="<i8").tobytes(),
                 np.array([i is None for i in ids], dtype=np.uint8).tobytes(),
                 np.array([len(p) for p in parts], dtype="<i8").tobytes(),
-                squeeze(rank[places] if len(places) else np.zeros(0, dtype=np.uint32)),
+                squeeze_ranks(rank[places] if len(places) else np.zeros(0, dtype=np.uint32)),
             )
             names = [x.split()[0] for x in _CHUNK.split(", ")]
             return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(names, row, strict=True)})
@@ -228,7 +247,7 @@ def _documents(row: dict, table: list[bytes]) -> Iterator[pa.RecordBatch]:
     doc_ids = np.frombuffer(row["doc_ids"], dtype="<i8")
     no_ids = np.frombuffer(row["no_ids"], dtype=np.uint8)
     sizes = np.frombuffer(row["sizes"], dtype="<i8")
-    places = unsqueeze(row["places"])
+    places = unsqueeze_ranks(row["places"])
     out: dict[str, list] = {"doc_id": [], "ids": [], "decoded": []}
     at = waiting = 0
     for k, size in enumerate(sizes.tolist()):
