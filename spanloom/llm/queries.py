@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontaminate, html_text, line_dedup, packed_ids, pii, quality_rules, rule_ensemble, secret_scan, simhash, word_bpe
-from spanloom.llm.shared import spans_text
+from spanloom.llm.shared import small_batches, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _count(spans: str, kind: int) -> Column:

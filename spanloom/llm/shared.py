@@ -43,6 +43,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound what goes to Python at once: rows hold whole texts, so few of them suffice.
+
+    The settings hold for the session; they change no result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/")
 
