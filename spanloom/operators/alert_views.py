@@ -50,14 +50,14 @@ def event_feed(
 ) -> DataFrame:
     """Events that fired, newest first, with their rule."""
     names = small_side(rules.select("rule_id", F.col("name").alias("rule_name"), "metric"))
-    return (
+    feed = (
         events.where(F.col("active_at").isNotNull())
         .join(names, "rule_id")
         .join(_meta(points, rollups), "metric", "left")
         .select("rule_id", "rule_name", "metric", "value", "fired_at", "resolved_at", "kind", "unit")
         .orderBy(F.desc("fired_at"), "rule_id")
-        .limit(params.clamp_limit(limit, params.EVENT_LIMIT))
     )
+    return params.top(feed, limit)
 
 
 def rule_history(events: DataFrame, now: datetime, days: int = HISTORY_DAYS) -> DataFrame:

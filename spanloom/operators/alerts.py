@@ -16,8 +16,6 @@ from spanloom.operators.scaling import BROADCAST_ROWS, small_side, with_previous
 # Limits of a rule.
 AGGREGATES = ["avg", "max", "min", "sum", "last", "increase"]
 COMPARATORS = ["gt", "lt"]
-MAX_FOR_SECS = 10_800
-WINDOW_SECS = (10, 86_400)
 
 # Most metric names that are put into a filter as literals.
 WATCHED_NAMES = 1000
@@ -69,7 +67,7 @@ def rule_facts(rules: DataFrame) -> RuleFacts:
         whole = rules.agg(F.max("window_secs").alias("longest"), F.max(nested).alias("nested")).first()
         return RuleFacts(None, whole["longest"], whole["nested"])
     names = sorted({row["metric"] for row in rows})
-    longest = max((row["window_secs"] for row in rows), default=WINDOW_SECS[0])
+    longest = max((row["window_secs"] for row in rows), default=0)
     return RuleFacts(names if len(names) <= WATCHED_NAMES else None, longest, any(row["nested"] for row in rows))
 
 

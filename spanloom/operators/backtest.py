@@ -27,10 +27,16 @@ from spanloom.operators.alerts import (
     with_steps,
 )
 
-MIN_TICK_SECS = 5
 TICK_SECS = 30
 
 
+def checked_tick(tick_secs: int) -> int:
+    """The tick as it is; a grid of no or of part seconds is an error."""
+    if tick_secs < 1 or tick_secs != int(tick_secs):
+        raise ValueError(f"a tick of {tick_secs} seconds")
+    return int(tick_secs)
+
+
 def tick_values(
     rules: DataFrame, points: DataFrame, first: datetime, last: datetime, tick_secs: int = TICK_SECS
 ) -> DataFrame:
@@ -39,7 +45,7 @@ def tick_values(
     At a tick only points up to the tick are known. A step between two points counts
     while both are inside the look-back.
     """
-    step = max(tick_secs, MIN_TICK_SECS) * 1_000_000
+    step = checked_tick(tick_secs) * 1_000_000
     t0, t1 = to_micros(first), to_micros(last)
     top = (t1 - t0) // step
     enabled = rules.where("enabled")
@@ -104,7 +110,7 @@ def backtest(
     A tick without data counts as recovered. A run that ends before its dwell time has
     passed leaves nothing; a run still open at the last tick stays pending or firing.
     """
-    step_secs = max(tick_secs, MIN_TICK_SECS)
+    step_secs = checked_tick(tick_secs)
     top = (to_micros(last) - to_micros(first)) // (step_secs * 1_000_000)
     values = tick_values(rules, points, first, last, tick_secs)
     limits = rules.where("enabled").select(

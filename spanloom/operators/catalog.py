@@ -47,9 +47,9 @@ def metric_catalog(
     end: datetime | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """One row per metric name from its newest points.
+    """One row per metric name: its newest points and the number of its attribute sets.
 
-    There is no default window. ``dist`` is the newest histogram of the name whatever the
+    There is no default window; ``limit`` keeps the first names of the alphabet. ``dist`` is the newest histogram of the name whatever the
     filters.
     """
     rows = points
@@ -64,13 +64,15 @@ def metric_catalog(
         F.max("time").alias("last_time"),
         _values_newest_first(valued, "value").alias("spark"),
         _values_newest_first(valued & F.col("count").isNotNull(), "count").alias("count_spark"),
-        F.count_distinct(F.coalesce("attrs_json", F.lit(""))).alias("series_count"),
     )
+    # Equal sets combine before the shuffle; a metric's sets are counted by their number.
+    sets = rows.select("name", F.coalesce("attrs_json", F.lit("")).alias("attrs_json")).distinct()
+    listed = listed.join(sets.groupBy("name").agg(F.count("*").alias("series_count")), "name")
     counted = points.where(F.col("bucket_counts").isNotNull())
     newest_counts = newest_per_name(counted, [F.desc("time"), F.col("series_key")], 1).select(
         "name", F.col("bucket_counts").alias("_counts")
     )
-    return (
+    out = (
         listed.join(newest_counts, "name", "left")
         .select(
             "name",
@@ -85,8 +87,8 @@ def metric_catalog(
             "series_count",
         )
         .orderBy("name")
-        .limit(params.clamp_limit(limit, params.METRIC_LIMIT))
     )
+    return params.top(out, limit)
 
 
 def counter_steps(spark_values):

@@ -39,7 +39,7 @@ def histogram_series(
     hours: int | None = None,
     start: datetime | None = None,
     end: datetime | None = None,
-    max_hours: int = params.METRIC_MAX_HOURS,
+    max_hours: float | None = None,
     base_secs: float = params.BUCKET_SECS,
 ) -> DataFrame:
     """Summed counts over all series per output bucket, with percentiles.
@@ -71,8 +71,8 @@ def histogram_facet(
     hours: int | None = None,
     start: datetime | None = None,
     end: datetime | None = None,
-    cap: int = params.FACET_CAP,
-    max_hours: int = params.METRIC_MAX_HOURS,
+    cap: int | None = None,
+    max_hours: float | None = None,
     base_secs: float = params.BUCKET_SECS,
 ) -> Facet:
     """Percentiles per (attribute set, output bucket) and each series' newest counts."""

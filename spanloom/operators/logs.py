@@ -36,7 +36,7 @@ def filter_logs(
 
 
 def search_logs(logs: DataFrame, now: datetime, *, limit: int | None = None, **filters) -> DataFrame:
-    """Newest matching records first (a distributed top-k, not a full sort)."""
+    """Newest matching records first; with a limit a distributed top-k, not a full sort."""
     rows = filter_logs(logs, now, **filters)
     order = [F.desc("time"), F.col("trace_id"), F.col("span_id"), F.col("body")]
-    return rows.orderBy(*order).limit(params.clamp_limit(limit, params.LOG_LIMIT))
+    return params.top(rows.orderBy(*order), limit)

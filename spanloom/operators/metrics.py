@@ -40,12 +40,11 @@ def metric_series(
     hours: int | None = None,
     start: datetime | None = None,
     end: datetime | None = None,
-    max_hours: int | None = None,
+    max_hours: float | None = None,
     base_secs: float = params.BUCKET_SECS,
 ) -> DataFrame:
     """Count-weighted mean per output bucket over all series of a metric."""
-    ceiling = params.series_max_hours() if max_hours is None else max_hours
-    window = params.metric_window(now, hours, params.SERIES_HOURS, ceiling, start, end)
+    window = params.metric_window(now, hours, params.SERIES_HOURS, max_hours, start, end)
     rows = within(named(rollups, name), "bucket", window)
     if service is not None:
         rows = rows.where(F.col("service") == service)
@@ -57,9 +56,13 @@ def metric_series(
     )
 
 
-def metric_dims(points: DataFrame, now: datetime, *, name: str | None = None) -> DataFrame:
-    """Attribute keys of the points of the last two days."""
-    recent = in_range(named(points, name), "time", now - timedelta(hours=params.DIMS_HOURS))
+def metric_dims(
+    points: DataFrame, now: datetime, *, name: str | None = None, hours: float | None = None
+) -> DataFrame:
+    """Attribute keys of all points, or of those of the last ``hours``."""
+    recent = named(points, name)
+    if hours is not None:
+        recent = in_range(recent, "time", now - timedelta(hours=hours))
     keys = recent.select("name", F.explode(F.map_keys("attributes")).alias("key")).distinct()
     return keys.orderBy("name", "key")
 
@@ -70,14 +73,14 @@ def grouped_series(
     key: str,
     *,
     name: str | None = None,
-    hours: int | None = None,
+    hours: float | None = None,
+    start: datetime | None = None,
     width_secs: float = params.BUCKET_SECS,
 ) -> DataFrame:
     """Mean raw value per (attribute value, bucket), for points that have the key."""
-    back = params.clamp(params.FACET_HOURS if hours is None else hours, 1, params.METRIC_MAX_HOURS)
-    rows = in_range(named(points, name), "time", now - timedelta(hours=back)).where(
-        F.map_contains_key("attributes", key)
-    )
+    if start is None:
+        start = now - timedelta(hours=params.FACET_HOURS if hours is None else hours)
+    rows = in_range(named(points, name), "time", start).where(F.map_contains_key("attributes", key))
     label = at.fragment_text(F.col("attributes")[key]).alias("label")
     return (
         rows.groupBy("name", label, bucket(F.col("time"), width_secs).alias("t"))
@@ -95,23 +98,22 @@ def metric_exemplars(
     hours: int | None = None,
     start: datetime | None = None,
     end: datetime | None = None,
-    cap: int = params.EXEMPLAR_CAP,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Points that carry a trace exemplar, oldest first, at most ``cap`` of them."""
-    window = params.metric_window(now, hours, params.FACET_HOURS, params.METRIC_MAX_HOURS, start, end)
+    """Points that carry a trace exemplar, oldest first; the first ``limit`` if given."""
+    window = params.metric_window(now, hours, params.FACET_HOURS, None, start, end)
     rows = within(named(points, name), "time", window).where(F.col("exemplar_trace_id").isNotNull())
     if service is not None:
         rows = rows.where(F.col("service") == service)
-    return (
+    return params.top(
         rows.select(
             "name",
             F.col("time").alias("t"),
             F.col("value").alias("v"),
             F.col("exemplar_trace_id").alias("trace_id"),
             F.col("exemplar_span_id").alias("span_id"),
-        )
-        .orderBy("t", "trace_id", "span_id", "name")
-        .limit(cap)
+        ).orderBy("t", "trace_id", "span_id", "name"),
+        limit,
     )
 
 
@@ -130,13 +132,16 @@ def metric_meta(points: DataFrame, rollups: DataFrame, name: str | None = None)
     return newest.select("name", "m.kind", "m.is_monotonic", "m.unit")
 
 
-def rank_series(points: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Series with the most points first: the kept ones, and totals per metric."""
+def rank_series(points: DataFrame, cap: int | None) -> tuple[DataFrame, DataFrame]:
+    """Series with the most points first: all or the first ``cap``, and totals per metric."""
     sizes = points.groupBy("name", "attrs_json").agg(F.count("*").alias("n_points"))
     order = W.partitionBy("name").orderBy(F.desc("n_points"), "attrs_json")
-    kept = sizes.withColumn("series_rank", F.row_number().over(order)).where(F.col("series_rank") <= cap)
+    kept = sizes.withColumn("series_rank", F.row_number().over(order))
     totals = sizes.groupBy("name").agg(F.count("*").alias("series_total"))
-    return kept, totals.withColumn("truncated", F.greatest(F.col("series_total") - cap, F.lit(0)))
+    left = F.lit(0).cast("bigint")
+    if cap is not None:
+        kept, left = kept.where(F.col("series_rank") <= cap), F.greatest(F.col("series_total") - cap, left)
+    return kept, totals.withColumn("truncated", left)
 
 
 def metric_facet(
@@ -148,9 +153,9 @@ def metric_facet(
     hours: int | None = None,
     start: datetime | None = None,
     end: datetime | None = None,
-    cap: int = params.FACET_CAP,
+    cap: int | None = None,
     base_secs: float = params.BUCKET_SECS,
-    max_hours: int = params.METRIC_MAX_HOURS,
+    max_hours: float | None = None,
 ) -> Facet:
     """One line per attribute set: the mean level, or the rate of a monotonic sum.
 
@@ -180,7 +185,7 @@ def metric_facet(
     return _facet(stepped, meta, cap)
 
 
-def _facet(stepped: DataFrame, meta: DataFrame, cap: int) -> Facet:
+def _facet(stepped: DataFrame, meta: DataFrame, cap: int | None) -> Facet:
     dt = seconds_between(F.col("t"), F.col("_t"))
     rising = (dt > 0) & (F.col("level") >= F.col("_level"))
     rate = F.when(

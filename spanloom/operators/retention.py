@@ -73,23 +73,34 @@ def prune(tables: dict[str, DataFrame], now: datetime, days: int, raw_hours: int
     return kept
 
 
+def _move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
+
+
+def _remove(fs, path) -> None:
+    if not fs.delete(path, True):
+        raise OSError(f"could not delete {path}")
+
+
 def _recover(fs, path_of, names: list[str]) -> None:
     """Finish or undo the replacement of a day that an earlier sweep left half done."""
     for name in names:
         if name.startswith(RETIRED):
             day = name.removeprefix(RETIRED)
             if day in names:
-                fs.delete(path_of(name), True)
+                _remove(fs, path_of(name))
             else:
-                fs.rename(path_of(name), path_of(day))
+                _move(fs, path_of(name), path_of(day))
 
 
 def sweep_table(spark: SparkSession, path: str, column: str, cutoff: datetime, date_column: str = "date") -> int:
     """Prune a table stored by date: whole days are dropped, the boundary day is rewritten.
 
-    Only the boundary day's data is written. The new day lands beside the table first;
-    the old day steps aside by rename and goes last, so a sweep that dies on the way
-    loses nothing: the next one restores or removes what is left over.
+    Only the boundary day's data is written, with the folders it has below the day. The
+    new day lands beside the table first; the old day steps aside by rename and goes last,
+    and a rename or delete that does not succeed ends the sweep, so a sweep that dies on
+    the way loses nothing: the next one restores or removes what is left over.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
@@ -98,8 +109,8 @@ def sweep_table(spark: SparkSession, path: str, column: str, cutoff: datetime, d
     def path_of(name: str):
         return hadoop.Path(root, name)
 
-    def names() -> list[str]:
-        return [status.getPath().getName() for status in fs.listStatus(root)]
+    def names(of=root) -> list[str]:
+        return [status.getPath().getName() for status in fs.listStatus(of)]
 
     _recover(fs, path_of, names())
     old_days = spark.read.parquet(path).where(F.col(date_column) <= F.lit(cutoff.date()))
@@ -110,14 +121,15 @@ def sweep_table(spark: SparkSession, path: str, column: str, cutoff: datetime, d
     day = f"{date_column}={cutoff.date().isoformat()}"
     if day in names():
         staged, retired = path_of(f"_staged_{day}"), path_of(f"{RETIRED}{day}")
+        below = {name.partition("=")[0] for name in names(path_of(day)) if "=" in name}
         boundary = kept.where(F.col(date_column) == F.lit(cutoff.date())).drop(date_column)
-        boundary.write.mode("overwrite").parquet(staged.toString())
-        fs.rename(path_of(day), retired)
-        fs.rename(staged, path_of(day))
-        fs.delete(retired, True)
+        boundary.write.mode("overwrite").partitionBy(*below).parquet(staged.toString())
+        _move(fs, path_of(day), retired)
+        _move(fs, staged, path_of(day))
+        _remove(fs, retired)
     for name in names():
         if name.startswith(f"{date_column}=") and name < day:
-            fs.delete(path_of(name), True)
+            _remove(fs, path_of(name))
     return pruned
 
 

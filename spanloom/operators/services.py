@@ -65,18 +65,27 @@ def service_list(
     return _window(spans, now, start, end, max_hours).select("service").distinct().orderBy("service")
 
 
-def service_nodes(spans: DataFrame, now: datetime, hours: float = params.SERVICE_MAP_HOURS) -> DataFrame:
-    recent = in_range(spans, "start_time", now - timedelta(hours=hours), strict=True)
+def _recent(spans: DataFrame, now: datetime, hours: float, start: datetime | None) -> DataFrame:
+    """Spans that began after ``start``, else in the last ``hours``."""
+    return in_range(spans, "start_time", now - timedelta(hours=hours) if start is None else start, strict=True)
+
+
+def service_nodes(
+    spans: DataFrame, now: datetime, hours: float = params.SERVICE_MAP_HOURS, start: datetime | None = None
+) -> DataFrame:
+    recent = _recent(spans, now, hours, start)
     return recent.where(F.col("service").isNotNull()).select("service").distinct().orderBy("service")
 
 
-def service_edges(spans: DataFrame, now: datetime, hours: float = params.SERVICE_MAP_HOURS) -> DataFrame:
+def service_edges(
+    spans: DataFrame, now: datetime, hours: float = params.SERVICE_MAP_HOURS, start: datetime | None = None
+) -> DataFrame:
     """Calls between different services: recent child spans against parents of any age.
 
     Children are counted per (trace, parent, service) before the join, so a parent with
     very many children costs one row per service and not one per call.
     """
-    recent = in_range(spans, "start_time", now - timedelta(hours=hours), strict=True)
+    recent = _recent(spans, now, hours, start)
     calls = (
         recent.where(F.col("service").isNotNull() & F.col("parent_span_id").isNotNull())
         .groupBy("trace_id", "parent_span_id", F.col("service").alias("target"))

@@ -81,4 +81,4 @@ def summarize_traces(
 def search_traces(spans: DataFrame, now: datetime, *, limit: int | None = None, **filters) -> DataFrame:
     """Newest traces first, by the start of the trace."""
     found = summarize_traces(spans, now, **filters)
-    return found.orderBy(F.desc("start_time"), "trace_id").limit(params.clamp_limit(limit, params.TRACE_LIMIT))
+    return params.top(found.orderBy(F.desc("start_time"), "trace_id"), limit)

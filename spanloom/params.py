@@ -1,4 +1,8 @@
-"""Windows, ceilings and limits of the read operators (driver-side arithmetic only)."""
+"""Windows and limits of the read operators (driver-side arithmetic only).
+
+A read without a start covers a default window. What a caller asks for is never cut: a
+ceiling or a limit holds only where the caller states one.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,17 @@ import math
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
-# Defaults and ceilings of the read surface.
+from pyspark.sql import DataFrame
+
+# Default windows of the read surface.
 BUCKET_SECS = 300.0
 TARGET_POINTS = 1000
 DEFAULT_LIST_HOURS = 24
-DEFAULT_LOOKBACK_HOURS = 168
-MAX_LOOKBACK_HOURS = 8760
-METRIC_MAX_HOURS = 168
 SERIES_HOURS = 24
 FACET_HOURS = 6
-DIMS_HOURS = 48
 SERVICE_MAP_HOURS = 1
-EXEMPLAR_CAP = 200
-FACET_CAP = 500
 CHART_CAP = 12
 SPARK_POINTS = 30
-TRACE_LIMIT = (100, 1000)
-LOG_LIMIT = (200, 2000)
-METRIC_LIMIT = (200, 2000)
-EVENT_LIMIT = (100, 1000)
 
 
 class Window(NamedTuple):
@@ -32,51 +28,35 @@ class Window(NamedTuple):
     hi: datetime
 
 
-def clamp(value, low, high):
-    return max(low, min(high, value))
-
-
-def clamp_limit(limit: int | None, rule: tuple[int, int]) -> int:
-    default, ceiling = rule
-    return clamp(default if limit is None else limit, 1, ceiling)
-
-
-def lookback_hours(raw: str | int | None = None) -> int:
-    """Ceiling on how far back span and log reads reach; bad input means the default."""
-    try:
-        hours = int(raw)
-    except (TypeError, ValueError):
-        hours = DEFAULT_LOOKBACK_HOURS
-    return clamp(hours, 1, MAX_LOOKBACK_HOURS)
-
-
-def series_max_hours(retention_days: str | int | None = None) -> int:
-    """Ceiling of rollup series reads: the retention window, else a week."""
-    try:
-        days = int(retention_days)
-    except (TypeError, ValueError):
-        days = 0
-    return days * 24 if days > 0 else METRIC_MAX_HOURS
+def top(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows in the order of ``df``; all of them for None."""
+    if limit is None:
+        return df
+    if limit < 1:
+        raise ValueError(f"a limit of {limit} rows")
+    return df.limit(limit)
 
 
-def list_floor(now: datetime, start: datetime | None, max_hours: int | None = None) -> datetime:
-    """Lower bound of span and log lists: the asked start, never below the ceiling."""
+def list_floor(now: datetime, start: datetime | None, max_hours: float | None = None) -> datetime:
+    """Lower bound of span and log lists: the asked start, or a day back; not below
+    ``max_hours`` before now where that is given."""
     asked = start if start is not None else now - timedelta(hours=DEFAULT_LIST_HOURS)
-    return max(asked, now - timedelta(hours=lookback_hours(max_hours)))
+    return asked if max_hours is None else max(asked, now - timedelta(hours=max_hours))
 
 
 def metric_window(
     now: datetime,
-    hours: int | None,
-    default_hours: int,
-    max_hours: int,
+    hours: float | None,
+    default_hours: float,
+    max_hours: float | None = None,
     start: datetime | None = None,
     end: datetime | None = None,
 ) -> Window:
+    """From ``start``, or ``hours`` back, to ``end`` or now; at most ``max_hours`` if given."""
     hi = end if end is not None else now
     if start is None:
-        start = hi - timedelta(hours=clamp(default_hours if hours is None else hours, 1, max_hours))
-    return Window(max(start, hi - timedelta(hours=max_hours)), hi)
+        start = hi - timedelta(hours=default_hours if hours is None else hours)
+    return Window(start if max_hours is None else max(start, hi - timedelta(hours=max_hours)), hi)
 
 
 def output_bucket_secs(span_secs: float, base: float = BUCKET_SECS) -> float:

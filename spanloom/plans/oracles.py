@@ -7,7 +7,6 @@ own function, trees by recursion, alert ticks by joining every tick with its loo
 from __future__ import annotations
 
 EPOCH_US = 1_704_067_200_000_000
-YEAR_US = 8760 * 3_600_000_000
 HOUR_US = 3_600_000_000
 
 SPANS = f"""
@@ -38,8 +37,7 @@ spans AS (
   FROM arriving WHERE rn = 1),
 span_now AS (SELECT max(start_us) AS now_us FROM arriving),
 seen AS (
-  SELECT s.* FROM spans s, span_now n
-  WHERE s.start_us >= greatest({EPOCH_US}, n.now_us - {YEAR_US}))
+  SELECT * FROM spans WHERE start_us >= {EPOCH_US})
 """
 
 LOGS = f"""
@@ -355,12 +353,12 @@ make_timestamp(end_us) AS end_time, round(duration_ms, 9) AS duration_ms, status
 FROM spans""",
     "service_nodes": _with(SPANS)
     + f"""SELECT DISTINCT service FROM spans, span_now
-WHERE service IS NOT NULL AND start_us > now_us - {YEAR_US}""",
+WHERE service IS NOT NULL AND start_us > {EPOCH_US}""",
     "service_list": _with(SPANS) + "SELECT DISTINCT service FROM seen WHERE service IS NOT NULL",
     "service_edges": _with(SPANS)
     + f"""SELECT p.service AS source, c.service AS target, count(*) AS calls
 FROM spans c JOIN spans p ON c.parent_span_id = p.span_id AND c.trace_id = p.trace_id, span_now
-WHERE c.start_us > now_us - {YEAR_US} AND p.service <> c.service GROUP BY 1, 2""",
+WHERE c.start_us > {EPOCH_US} AND p.service <> c.service GROUP BY 1, 2""",
     "span_labels": _with(SPANS)
     + """SELECT coalesce(['unspecified', 'internal', 'server', 'client', 'producer', 'consumer'][kind + 1],
 CAST(kind AS VARCHAR)) AS kind,
@@ -418,23 +416,22 @@ FROM spans s JOIN logs l ON l.trace_id = s.trace_id AND l.span_id = s.span_id"""
     "rollup_merge": _with(METRICS, _rollup("r", 86_400_000_000)) + f"SELECT {_ROLL_COLUMNS}{_ROLL_ARRAYS} FROM r",
     "metric_series": _with(METRICS, WIDE)
     + "SELECT name, make_timestamp(t_us) AS t, round(sum(total) / sum(cnt), 9) AS v FROM wide GROUP BY 1, 2",
-    "metric_series_service": _with(METRICS, _rollup("rolls", 300_000_000))
-    + f"""SELECT name, make_timestamp(b - b % 900000000) AS t, round(sum(total) / sum(cnt), 9) AS v FROM rolls, ev_now
-WHERE name = 'event.value' AND service = 'click' AND b BETWEEN now_us - 168 * {HOUR_US} AND now_us GROUP BY 1, 2""",
+    "metric_series_service": _with(METRICS, WIDE)
+    + """SELECT name, make_timestamp(t_us) AS t, round(sum(total) / sum(cnt), 9) AS v FROM wide
+WHERE name = 'event.value' AND service = 'click' GROUP BY 1, 2""",
     "metric_grouped": _with(METRICS)
     + f"""SELECT name, k AS label, make_timestamp(us - us % 300000000) AS t, round(avg(value), 9) AS v
-FROM points, ev_now WHERE name = 'event.value' AND us >= now_us - 168 * {HOUR_US} GROUP BY 1, 2, 3""",
+FROM points, ev_now WHERE name = 'event.value' GROUP BY 1, 2, 3""",
     "metric_dims": _with(METRICS)
     + f"""SELECT DISTINCT name, unnest(CASE WHEN name = 'event.value' THEN ['k', 'type'] ELSE ['type'] END) AS key
-FROM points, ev_now WHERE us >= now_us - 48 * {HOUR_US}""",
+FROM points""",
     "metric_exemplars": _with(METRICS)
     + f"""SELECT name, make_timestamp(us) AS t, round(value, 9) AS v, ex_trace AS trace_id, '1' AS span_id
-FROM points, ev_now WHERE ex_trace IS NOT NULL AND us >= now_us - 168 * {HOUR_US} ORDER BY us, ex_trace LIMIT 200""",
+FROM points, ev_now WHERE ex_trace IS NOT NULL""",
     "exemplar_spans": _with(METRICS, SPANS)
     + f"""SELECT e.trace_id, e.span_id, e.name, e.t, e.v, s.name AS span_name, s.duration_ms, s.status_code
 FROM (SELECT name, make_timestamp(us) AS t, round(value, 9) AS v, ex_trace AS trace_id, '1' AS span_id
-      FROM points, ev_now WHERE ex_trace IS NOT NULL AND us >= now_us - 168 * {HOUR_US}
-      ORDER BY us, ex_trace LIMIT 200) e
+      FROM points, ev_now WHERE ex_trace IS NOT NULL) e
 LEFT JOIN spans s ON s.trace_id = e.trace_id AND s.span_id = e.span_id""",
     "metric_meta": _with(METRICS)
     + """SELECT name, arg_max(kind, us) AS kind, bool_or(is_monotonic) AS is_monotonic, arg_max(unit, us) AS unit
@@ -445,8 +442,8 @@ count(*) AS hours FROM points WHERE name = 'event.size' GROUP BY 1, 2""",
     "spans_in_window": _with(SPANS, METRICS)
     + f"""SELECT service, count(*) AS spans, make_timestamp(max(end_us)) AS last_end FROM spans, ev_now
 WHERE start_us BETWEEN {EPOCH_US} AND now_us GROUP BY 1""",
-    "metric_facet_gauge": _lines("name = 'event.value' AND series_rank <= 500"),
-    "metric_facet_rate": _lines("name = 'event.total' AND series_rank <= 500"),
+    "metric_facet_gauge": _lines("name = 'event.value'"),
+    "metric_facet_rate": _lines("name = 'event.total'"),
     "metric_facet_chart": _lines("name = 'event.value' AND series_rank <= 12"),
     "metric_facet_summary": _with(METRICS, WIDE, FACET)
     + """SELECT name, CASE name WHEN 'event.value' THEN 'gauge' WHEN 'event.total' THEN 'sum' ELSE 'histogram' END AS kind,
@@ -454,7 +451,7 @@ name = 'event.total' AS rated, CASE name WHEN 'event.value' THEN 'ms' WHEN 'even
 count(*) AS series_total, greatest(count(*) - 12, 0) AS truncated FROM sizes GROUP BY name""",
     "metric_latest": _with(METRICS, WIDE, FACET)
     + """SELECT name, attrs_json, round(arg_max(v, t_us) FILTER (WHERE v IS NOT NULL), 9) AS v
-FROM lines WHERE series_rank <= 500 GROUP BY 1, 2""",
+FROM lines GROUP BY 1, 2""",
     "series_labels": _with(METRICS)
     + """SELECT DISTINCT name, attrs_json,
 CASE WHEN name = 'event.value' THEN 'k=' || k || ' · type=' || type ELSE 'type=' || type END AS label FROM points""",
@@ -485,7 +482,8 @@ FROM sdist GROUP BY 1, 2""",
 make_timestamp(max(us)) AS last_time, round(arg_min(value, rk), 9) AS last_value,
 string_agg(CAST(round(value, 9) AS VARCHAR), ',' ORDER BY rk) AS spark,
 string_agg(CAST(CAST(cnt AS DOUBLE) AS VARCHAR), ',' ORDER BY rk) AS count_spark,
-array_to_string(arg_min(counts, rk), ',') AS dist, count(DISTINCT attrs_json) AS series_count
+array_to_string(arg_min(counts, rk), ',') AS dist,
+(SELECT count(DISTINCT attrs_json) FROM points p WHERE p.name = ranked.name) AS series_count
 FROM ranked WHERE rk <= 30 GROUP BY name""",
     "catalog_counter_glyph": _with(
         METRICS,
@@ -517,7 +515,7 @@ FROM rules""",
     "alert_events_feed": ALERTS
     + f"""SELECT CAST(rule_id AS BIGINT) AS rule_id, rule AS rule_name, metric, round(value, 9) AS value,
 make_timestamp(fired) AS fired_at, make_timestamp(resolved) AS resolved_at, {META}
-FROM alert_events JOIN rules USING (rule_id) WHERE active IS NOT NULL ORDER BY fired DESC, rule_id LIMIT 100""",
+FROM alert_events JOIN rules USING (rule_id) WHERE active IS NOT NULL """,
     "alert_history": ALERTS
     + f"""SELECT CAST(rule_id AS BIGINT) AS rule_id,
 count(*) FILTER (WHERE fired >= now_us - 7 * 24 * {HOUR_US}) AS recent_fires,

@@ -38,9 +38,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 EPOCH = datetime(2024, 1, 1)
-YEAR = params.MAX_LOOKBACK_HOURS
 TICK_SECS = 3600
-ALL_TIME = {"start": EPOCH, "max_hours": YEAR}
+ALL_TIME = {"start": EPOCH}
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def span_dedupe(spark, sf_dir):
 
 @query
 def service_nodes(spark, sf_dir):
-    return services.service_nodes(sample.spans(spark, sf_dir), _span_now(spark, sf_dir), hours=YEAR)
+    return services.service_nodes(sample.spans(spark, sf_dir), _span_now(spark, sf_dir), start=EPOCH)
 
 
 @query
@@ -157,7 +156,7 @@ def service_list(spark, sf_dir):
 
 @query
 def service_edges(spark, sf_dir):
-    return services.service_edges(sample.spans(spark, sf_dir), _span_now(spark, sf_dir), hours=YEAR)
+    return services.service_edges(sample.spans(spark, sf_dir), _span_now(spark, sf_dir), start=EPOCH)
 
 
 @query
@@ -208,7 +207,7 @@ def trace_geometry(spark, sf_dir):
 @query
 def log_search(spark, sf_dir):
     now = _log_now(spark, sf_dir)
-    found = logs.search_logs(sample.logs(spark, sf_dir), now, **ALL_TIME, text="tion_")
+    found = logs.search_logs(sample.logs(spark, sf_dir), now, **ALL_TIME, text="tion_", limit=200)
     return found.drop("attributes", "severity_text")
 
 
@@ -288,13 +287,13 @@ def metric_series(spark, sf_dir):
 @query
 def metric_series_service(spark, sf_dir):
     now = _event_now(spark, sf_dir)
-    return metrics.metric_series(_rollups(spark, sf_dir), now, name="event.value", service="click", hours=168)
+    return metrics.metric_series(_rollups(spark, sf_dir), now, name="event.value", service="click", **ALL_TIME)
 
 
 @query
 def metric_grouped(spark, sf_dir):
     now = _event_now(spark, sf_dir)
-    return metrics.grouped_series(sample.metrics(spark, sf_dir), now, "k", name="event.value", hours=168)
+    return metrics.grouped_series(sample.metrics(spark, sf_dir), now, "k", name="event.value", **ALL_TIME)
 
 
 @query
@@ -306,7 +305,7 @@ def metric_dims(spark, sf_dir):
 def metric_exemplars(spark, sf_dir):
     now = _event_now(spark, sf_dir)
     return metrics.metric_exemplars(
-        sample.metrics(spark, sf_dir), now, name="event.value", start=now - timedelta(hours=168)
+        sample.metrics(spark, sf_dir), now, name="event.value", start=EPOCH
     )
 
 
@@ -314,7 +313,7 @@ def metric_exemplars(spark, sf_dir):
 def exemplar_spans(spark, sf_dir):
     now = _event_now(spark, sf_dir)
     points = metrics.metric_exemplars(
-        sample.metrics(spark, sf_dir), now, name="event.value", start=now - timedelta(hours=168)
+        sample.metrics(spark, sf_dir), now, name="event.value", start=EPOCH
     )
     return correlate.exemplar_spans(points, sample.spans(spark, sf_dir))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators.alerts import AGGREGATES, COMPARATORS, MAX_FOR_SECS, WINDOW_SECS
+from spanloom.operators.alerts import AGGREGATES, COMPARATORS
 
 DECLARATION = (
     "name string, metric string, service string, comparator string, threshold double, agg string, "
@@ -36,13 +36,13 @@ def _predicate(text: Column) -> Column:
 def problems(declared: DataFrame) -> DataFrame:
     """Declared rules that break a constraint, with the constraint."""
     blank = (F.trim(F.coalesce("name", F.lit(""))) == "") | (F.trim(F.coalesce("metric", F.lit(""))) == "")
-    wrong_dwell = F.col("for_secs").isNotNull() & ~F.col("for_secs").between(1, MAX_FOR_SECS)
     problem = (
         F.when(blank, "name and metric are required")
         .when(~F.coalesce(F.col("comparator").isin(COMPARATORS), F.lit(False)), "comparator must be gt or lt")
         .when(F.col("threshold").isNull(), "threshold is required")
         .when(~F.coalesce("agg", F.lit("avg")).isin(AGGREGATES), "unknown aggregate")
-        .when(wrong_dwell, f"for_secs must be between 1 and {MAX_FOR_SECS}")
+        .when(F.coalesce("window_secs", F.lit(1)) < 1, "window_secs must be at least 1")
+        .when(F.coalesce("for_secs", F.lit(1)) < 1, "for_secs must be at least 1")
     )
     return declared.select("name", problem.alias("problem")).where(F.col("problem").isNotNull())
 
@@ -52,7 +52,6 @@ def normalize_rules(declared: DataFrame) -> DataFrame:
     bad = problems(declared).limit(5).collect()
     if bad:
         raise InvalidRules("; ".join(f"{row['name']!r}: {row['problem']}" for row in bad))
-    low, high = WINDOW_SECS
     return declared.select(
         "name",
         "metric",
@@ -60,7 +59,7 @@ def normalize_rules(declared: DataFrame) -> DataFrame:
         "comparator",
         "threshold",
         F.coalesce("agg", F.lit("avg")).alias("agg"),
-        F.least(F.greatest(F.coalesce("window_secs", F.lit(300)), F.lit(low)), F.lit(high)).alias("window_secs"),
+        F.coalesce("window_secs", F.lit(300)).alias("window_secs"),
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
         _predicate(F.col("match")).alias("match_attrs"),
         _predicate(F.col("exclude")).alias("exclude_attrs"),

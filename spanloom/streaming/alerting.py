@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanloom.operators.alerts import alert_step, evaluate_rules, notifications
-from spanloom.operators.backtest import MIN_TICK_SECS, TICK_SECS
-from spanloom.operators.scaling import small_side
+from spanloom.operators.backtest import TICK_SECS, checked_tick
 from spanloom.schemas import EVENTS
 
 TRANSITIONS = (
@@ -36,8 +35,9 @@ def run_tick(
         before = spark.read.schema(EVENTS).parquet(_folder(path, "open", tick - 1))
     else:
         before = spark.createDataFrame([], EVENTS)
-    # One row per rule: taken once, used by all three outputs.
-    evaluated = small_side(evaluate_rules(rules, points, now))
+    # Written once: points may arrive meanwhile, and all three outputs must agree.
+    evaluate_rules(rules, points, now).write.mode("overwrite").parquet(_folder(path, "evaluated", tick))
+    evaluated = spark.read.parquet(_folder(path, "evaluated", tick))
     events, transitions = alert_step(evaluated, before, now)
     events.where("resolved_at IS NULL").write.mode("overwrite").parquet(_folder(path, "open", tick))
     events.where("resolved_at IS NOT NULL").write.mode("overwrite").parquet(_folder(path, "closed", tick))
@@ -65,7 +65,7 @@ def start_alert_loop(
     def tick(_: DataFrame, batch_id: int) -> None:
         run_tick(spark, load_rules(), load_points(), path, batch_id, clock())
 
-    pace = {"processingTime": f"{max(tick_secs, MIN_TICK_SECS)} seconds"}
+    pace = {"processingTime": f"{checked_tick(tick_secs)} seconds"}
     return timer.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(**pace).start()
 
 

@@ -245,14 +245,14 @@ def test_rule_file(spark, tmp_path):
     a, b = read_rules(spark, str(path)).orderBy("name").collect()
     assert (a["agg"], a["window_secs"], a["enabled"], a["match_attrs"], a["for_secs"]) == ("avg", 300, True, None, None)
     assert (b["window_secs"], b["service"], b["match_attrs"], b["exclude_attrs"], b["enabled"]) == (
-        10, None, {"k": '"v"', "n": "5"}, None, False,
+        5, None, {"k": '"v"', "n": "5"}, None, False,
     )
 
 
 @pytest.mark.parametrize(
     "bad",
     [
-        {"name": " "}, {"metric": ""}, {"comparator": "ge"}, {"agg": "p99"}, {"for_secs": 0}, {"for_secs": 10801},
+        {"name": " "}, {"metric": ""}, {"comparator": "ge"}, {"agg": "p99"}, {"for_secs": 0}, {"window_secs": 0},
         {"threshold": None},
     ],
 )

@@ -67,9 +67,10 @@ def test_series_weighted_mean(spark):
 
 
 def test_series_ceiling(spark):
-    df = rollups(spark, [dict(bucket=ago(days=d), sum=1.0) for d in (1, 3, 6, 8)])
-    assert metrics.metric_series(df, NOW, name="m", hours=2160).count() == 3
-    assert metrics.metric_series(df, NOW, name="m", hours=2160, max_hours=240).count() == 4
+    df = rollups(spark, [dict(bucket=ago(days=d), sum=1.0) for d in (1, 3, 6, 8, 900)])
+    assert metrics.metric_series(df, NOW, name="m", hours=24 * 1000).count() == 5
+    assert metrics.metric_series(df, NOW, name="m", hours=2160).count() == 4
+    assert metrics.metric_series(df, NOW, name="m", hours=2160, max_hours=168).count() == 3
 
 
 def test_facet_rate(spark):
@@ -153,7 +154,8 @@ def test_dims_grouped_exemplars(spark):
             dict(attrs={"zone": "z"}, time=ago(days=3)),
         ],
     )
-    assert [r["key"] for r in metrics.metric_dims(df, NOW, name="m").collect()] == ["cpu", "pod"]
+    assert [r["key"] for r in metrics.metric_dims(df, NOW, name="m", hours=48).collect()] == ["cpu", "pod"]
+    assert [r["key"] for r in metrics.metric_dims(df, NOW, name="m").collect()] == ["cpu", "pod", "zone"]
     assert [(r["label"], r["v"]) for r in metrics.grouped_series(df, NOW, "pod", name="m").collect()] == [("a", 2.0)]
     assert [tuple(r)[2:] for r in metrics.metric_exemplars(df, NOW, name="m").collect()] == [(1.0, "abc", "d")]
 

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from spanloom import params
 
 NOW = datetime(2024, 5, 1, 12)
@@ -15,23 +17,22 @@ def test_output_bucket():
 
 
 def test_metric_window():
-    assert params.metric_window(NOW, None, 6, 168) == (NOW - timedelta(hours=6), NOW)
+    assert params.metric_window(NOW, None, 6) == (NOW - timedelta(hours=6), NOW)
+    assert params.metric_window(NOW, 10_000, 6).lo == NOW - timedelta(hours=10_000)
     assert params.metric_window(NOW, 10_000, 6, 168).lo == NOW - timedelta(hours=168)
     end = NOW - timedelta(days=1)
-    assert params.metric_window(NOW, None, 6, 168, end=end) == (end - timedelta(hours=6), end)
-    wide = params.metric_window(NOW, None, 6, 168, start=NOW - timedelta(days=30))
-    assert wide.lo == NOW - timedelta(hours=168)
-
-
-def test_ceilings_and_limits():
-    assert params.lookback_hours(None) == 168
-    assert params.lookback_hours("bad") == 168
-    assert params.lookback_hours(0) == 1
-    assert params.lookback_hours(99_999) == 8760
-    assert params.series_max_hours(30) == 720
-    assert params.series_max_hours(0) == 168
-    assert params.clamp_limit(None, params.TRACE_LIMIT) == 100
-    assert params.clamp_limit(0, params.TRACE_LIMIT) == 1
-    assert params.clamp_limit(10**6, params.LOG_LIMIT) == 2000
-    assert params.list_floor(NOW, NOW - timedelta(days=30), 48) == NOW - timedelta(hours=48)
+    assert params.metric_window(NOW, None, 6, end=end) == (end - timedelta(hours=6), end)
+    wide = params.metric_window(NOW, None, 6, start=NOW - timedelta(days=1000))
+    assert wide.lo == NOW - timedelta(days=1000)
+
+
+def test_nothing_is_cut_unasked(spark):
+    old = NOW - timedelta(days=3000)
+    assert params.list_floor(NOW, old) == old
+    assert params.list_floor(NOW, old, 48) == NOW - timedelta(hours=48)
     assert params.list_floor(NOW, None) == NOW - timedelta(hours=24)
+    rows = spark.range(5000)
+    assert params.top(rows, None).count() == 5000
+    assert params.top(rows, 4000).count() == 4000
+    with pytest.raises(ValueError):
+        params.top(rows, 0)

@@ -60,6 +60,34 @@ def test_span_dedupe(spark, tmp_path):
     assert storage.read_table(spark, out, schemas.SPANS).count() == 10
 
 
+def test_late_and_repeated_spans_are_kept_once(spark, tmp_path):
+    """Copies days apart in arrival, spans far older than any delay, and a batch run again."""
+    extra = {"status_message": F.lit(None).cast("string"), "ingested_at": F.lit(NOW), "kind": F.lit(1)}
+    batches = [
+        [span("t", "1", start=ago(days=1)), span("t", "2", start=ago(days=40))],
+        [span("t", "3", start=ago(seconds=1))],
+        [span("t", "1", start=ago(days=1)), span("t", "2", start=ago(days=40)), span("t", "4", start=ago(days=900))],
+    ]
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "c"))
+    for rows in batches:
+        df = spans(spark, rows).withColumns(extra)
+        df.coalesce(1).write.mode("append").parquet(source)
+        ingest.start_span_ingest(stream(spark, source, df.schema), out, check, trigger=ONCE).awaitTermination()
+    stored = storage.read_table(spark, out, schemas.SPANS)
+    assert sorted(r["span_id"] for r in stored.collect()) == ["1", "2", "3", "4"]
+
+
+def test_log_ingest_keeps_late_rows(spark, tmp_path):
+    names = [f.name for f in schemas.LOGS.fields]
+    rows = [(ago(days=d), str(d)) for d in (0, 1, 700)]
+    df = spark.createDataFrame(rows, "time timestamp, body string")
+    df = df.select(*[F.col(n) if n in df.columns else F.lit(None).cast(schemas.LOGS[n].dataType).alias(n) for n in names])
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    files(df, source, 2)
+    ingest.start_log_ingest(stream(spark, source, df.schema), out, str(tmp_path / "c"), ONCE).awaitTermination()
+    assert {r["body"] for r in storage.read_table(spark, out, schemas.LOGS).collect()} == {"0", "1", "700"}
+
+
 def test_otlp_stream(spark, tmp_path):
     request = {"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "1", "spanId": str(i)} for i in range(3)]}]}]}
     (tmp_path / "a.jsonl").write_text(json.dumps(request))

@@ -61,6 +61,8 @@ def test_windows(spark):
     assert ids(traces.search_traces(df, NOW, start=ago(days=30), max_hours=48)) == ["new"]
     assert ids(traces.search_traces(df, NOW, start=ago(days=30))) == ["new", "old"]
     assert ids(traces.search_traces(df, NOW, start=ago(days=5), end=ago(days=1))) == ["old"]
+    years = spans(spark, [span(str(i), "1", start=ago(days=100 * i)) for i in range(1, 12)])
+    assert len(ids(traces.search_traces(years, NOW, start=ago(days=1100)))) == 11
 
 
 def test_trace_spans_in_order(spark):

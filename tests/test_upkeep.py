@@ -60,6 +60,21 @@ def test_failing_table_does_not_stop_the_rest(spark, tmp_path):
     assert caught.value.failed == ["spans"] and caught.value.pruned == {"logs": 1}
 
 
+def test_sweep_of_streamed_tables_and_rollups(spark, tmp_path):
+    path, rolled = str(tmp_path / "s"), str(tmp_path / "r")
+    for i in range(20):
+        storage.append_batch(spans(spark, [span("t", str(i), start=ago(days=i))]), "spans", path, i)
+    storage.append(spans(spark, [span("u", "1", start=ago(days=7, hours=1))]), "spans", path)
+    for i in (1, 9):
+        storage.write_partials(rollup_points(points(spark, [dict(time=ago(days=i))])), rolled, i)
+    paths = {"spans": path, "metric_series_rollups": rolled}
+    assert retention.sweep(spark, paths, NOW, 7, 0) == {"spans": 13, "metric_series_rollups": 1}
+    left = storage.read_table(spark, path, schemas.SPANS)
+    assert left.count() == 8 and left.where(F.col("start_time") < F.lit(ago(days=7))).count() == 0
+    assert storage.read_rollups(spark, rolled).count() == 1
+    assert retention.sweep(spark, paths, NOW, 7, 0) == {"spans": 0, "metric_series_rollups": 0}
+
+
 def test_stall(spark):
     log = spark.createDataFrame([(ago(hours=3), True, 5), (ago(minutes=1), False, 0)], "finished_at timestamp, ok boolean, rows bigint")
     row = retention.stalled(log, ago(days=1), NOW).first()
