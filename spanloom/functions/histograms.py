@@ -18,11 +18,13 @@ def array_add(left: Column, right: Column) -> Column:
 
 
 def running_counts(counts: Column) -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.transform(
-        counts,
-        lambda _, i: F.aggregate(F.slice(counts, F.lit(1), i + 1), zero, lambda acc, c: acc + c),
-    )
+    """Running sums, carried through one fold."""
+    seed = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("all"))
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.struct((acc["sum"] + c).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + c)).alias("all"))
+
+    return F.aggregate(counts, seed, step, lambda acc: acc["all"])
 
 
 def interpolate(bounds: Column, counts: Column, running: Column, q: float) -> Column:

@@ -22,16 +22,21 @@ VARIANTS = ["kind", "unit", "is_monotonic", "bucket_bounds"]
 
 
 def collected_counts(cells: Column) -> Column:
-    """Counts array from (position, count) cells; equal positions add up, no cell gives NULL."""
+    """Counts array from (position, count) cells; equal positions add up, no cell gives NULL.
+
+    One fold over the sorted cells: the last position is held open until the next one comes.
+    """
     zero = F.lit(0).cast("bigint")
-    top = F.array_max(F.transform(cells, lambda x: x["pos"]))
-    summed = F.transform(
-        F.sequence(F.lit(0), top),
-        lambda i: F.aggregate(
-            F.filter(cells, lambda x: x["pos"] == i), zero, lambda acc, x: acc + F.coalesce(x["c"], zero)
-        ),
-    )
-    return F.when(F.size(cells) > 0, summed)
+    seed = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(-1).alias("pos"), zero.alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        count, same = F.coalesce(x["c"], zero), x["pos"] == acc["pos"]
+        closed = F.when(same | (acc["pos"] < 0), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["sum"])))
+        total = F.when(same, acc["sum"] + count).otherwise(count)
+        return F.struct(closed.alias("done"), x["pos"].alias("pos"), total.alias("sum"))
+
+    folded = F.aggregate(F.sort_array(cells), seed, step, lambda acc: F.concat(acc["done"], F.array(acc["sum"])))
+    return F.when(F.size(cells) > 0, folded)
 
 
 def sum_counts(

@@ -591,9 +591,7 @@ def _kv(key: str, field: str, value):
 def _request(df: DataFrame, top: str, scope: str, resource, item: str, record) -> DataFrame:
     scoped = F.array(F.struct(F.array(record).alias(item)))
     group = F.struct(F.struct(F.array(resource).alias("attributes")).alias("resource"), scoped.alias(scope))
-    lines = df.select(F.to_json(F.struct(F.array(group).alias(top))).alias("value"))
-    # The benchmark tables are single files with few row groups.
-    return otlp.spread_lines(lines, df.sparkSession.sparkContext.defaultParallelism)
+    return df.select(F.to_json(F.struct(F.array(group).alias(top))).alias("value"))
 
 
 def _nanos(time: str, extra=0):
@@ -602,7 +600,7 @@ def _nanos(time: str, extra=0):
 
 @query
 def otlp_metrics(spark, sf_dir):
-    """Every event as a request with a gauge point and a histogram point."""
+    """Every event as a request with a gauge point."""
     events = sample.table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     attributes = F.array(
         _kv("k", "intValue", F.get_json_object("props", "$.k")), _kv("user", "stringValue", F.col("user_id").cast("string"))

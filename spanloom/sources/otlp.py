@@ -175,8 +175,8 @@ def _nested_raw(value: Column) -> Column:
 def with_attributes(df: DataFrame, key_values: str, out: str) -> DataFrame:
     """A map of JSON fragments from a list of key-values.
 
-    Pairs without a value are skipped and the last of equal keys wins. Only the texts of
-    nested values go through Python.
+    Pairs without a value are skipped and the last of equal keys wins. The texts of nested
+    values go through Python, for other rows as empty lists.
     """
     pairs = F.coalesce(F.col(key_values), F.array().cast(KEY_VALUES))
     valued = F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
