@@ -113,6 +113,8 @@ def sweep_table(spark: SparkSession, path: str, column: str, cutoff: datetime, d
         return [status.getPath().getName() for status in fs.listStatus(of)]
 
     _recover(fs, path_of, names())
+    if not any(name.startswith(f"{date_column}=") for name in names()):
+        return 0
     old_days = spark.read.parquet(path).where(F.col(date_column) <= F.lit(cutoff.date()))
     kept, expired = split_expired(old_days, column, cutoff)
     pruned = expired.count()
@@ -123,10 +125,13 @@ def sweep_table(spark: SparkSession, path: str, column: str, cutoff: datetime, d
         staged, retired = path_of(f"_staged_{day}"), path_of(f"{RETIRED}{day}")
         below = {name.partition("=")[0] for name in names(path_of(day)) if "=" in name}
         boundary = kept.where(F.col(date_column) == F.lit(cutoff.date())).drop(date_column)
-        boundary.write.mode("overwrite").partitionBy(*below).parquet(staged.toString())
-        _move(fs, path_of(day), retired)
-        _move(fs, staged, path_of(day))
-        _remove(fs, retired)
+        if boundary.isEmpty():
+            _remove(fs, path_of(day))
+        else:
+            boundary.write.mode("overwrite").partitionBy(*below).parquet(staged.toString())
+            _move(fs, path_of(day), retired)
+            _move(fs, staged, path_of(day))
+            _remove(fs, retired)
     for name in names():
         if name.startswith(f"{date_column}=") and name < day:
             _remove(fs, path_of(name))

@@ -329,6 +329,14 @@ _ROLL_COLUMNS = """make_timestamp(b) AS bucket, name, series_key, attrs_json, se
 _ROLL_ARRAYS = f""", CASE WHEN kind = 'histogram' THEN {_TEXT_BOUNDS} END AS bucket_bounds,
   array_to_string(counts, ',') AS bucket_counts"""
 
+_RETENTION = (
+    _with(SPANS, LOGS, METRICS, _rollup("rolls", 300_000_000))
+    + f"""SELECT 'spans' AS table_name, count(*) AS kept FROM spans, ev_now WHERE start_us >= now_us - 23 * 24 * {HOUR_US}
+UNION ALL SELECT 'logs', count(*) FROM logs
+UNION ALL SELECT 'metrics', count(*) FROM points, ev_now WHERE us >= now_us - 6 * {HOUR_US}
+UNION ALL SELECT 'metric_series_rollups', count(*) FROM rolls, ev_now WHERE b >= now_us - 7 * 24 * {HOUR_US}"""
+)
+
 ORACLES: dict[str, str] = {
     "red_by_service": _with(SPANS)
     + """SELECT service, count(*) AS spans, count(*) FILTER (WHERE status_code = 2) AS errors,
@@ -544,11 +552,15 @@ FROM declared d LEFT JOIN stored s USING (name)""",
     "rules_removed": _with(STORED)
     + """SELECT name, rule_id, round(threshold, 9) AS threshold, created_at FROM stored
 WHERE name NOT IN (SELECT name FROM declared)""",
-    "retention_prune": _with(SPANS, LOGS, METRICS, _rollup("rolls", 300_000_000))
-    + f"""SELECT 'spans' AS table_name, count(*) AS kept FROM spans, ev_now WHERE start_us >= now_us - 23 * 24 * {HOUR_US}
-UNION ALL SELECT 'logs', count(*) FROM logs
-UNION ALL SELECT 'metrics', count(*) FROM points, ev_now WHERE us >= now_us - 6 * {HOUR_US}
-UNION ALL SELECT 'metric_series_rollups', count(*) FROM rolls, ev_now WHERE b >= now_us - 7 * 24 * {HOUR_US}""",
+    "span_ingest_stream": _with(SPANS)
+    + "SELECT trace_id, count(*) AS spans, count(DISTINCT span_id) AS distinct_spans FROM spans GROUP BY 1",
+    "log_ingest_stream": _with(LOGS)
+    + """SELECT service, severity_number, count(*) AS records, make_timestamp(min(us)) AS oldest,
+make_timestamp(max(us)) AS newest FROM logs GROUP BY 1, 2""",
+    "metric_ingest_stream": _with(METRICS, _rollup("r", 86_400_000_000))
+    + f"SELECT {_ROLL_COLUMNS}{_ROLL_ARRAYS} FROM r",
+    "retention_sweep": _RETENTION,
+    "retention_prune": _RETENTION,
     "table_health": _with(SPANS, LOGS, METRICS, _rollup("rolls", 300_000_000))
     + """SELECT 'table.rows' AS name, 'spans' AS "table", count(*)::DOUBLE AS value FROM spans
 UNION ALL SELECT 'table.rows', 'logs', count(*)::DOUBLE FROM logs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, TimestampType
 
-from spanloom import params
+from spanloom import params, schemas
 from spanloom.functions import predicates, sqlfunctions
 from spanloom.functions.times import newest
 from spanloom.operators import (
@@ -30,9 +31,10 @@ from spanloom.operators import (
     trace_tree,
     traces,
 )
-from spanloom.session import configure
-from spanloom.sources import otlp
+from spanloom.session import configure, ensure_checkpoint_dir
+from spanloom.sources import otlp, storage
 from spanloom.sources import sample_tables as sample
+from spanloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -578,6 +580,77 @@ def table_health(spark, sf_dir):
     )
 
 
+# --- streams and sweeps over stored tables ----------------------------------
+
+ONCE = {"availableNow": True}
+
+
+def _folder(spark) -> str:
+    """A new folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def _as_stream(df: DataFrame, folder: str) -> DataFrame:
+    """The rows as files, read again as a stream of several batches."""
+    df.write.parquet(f"{folder}/in")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+
+
+@query
+def span_ingest_stream(spark, sf_dir):
+    """All spans, copies included, through the ingest stream: each key is stored once."""
+    folder = _folder(spark)
+    rows = _as_stream(sample.arriving_spans(spark, sf_dir), folder)
+    ingest.start_span_ingest(rows, f"{folder}/out", f"{folder}/c", sample.ARRIVAL, ONCE).awaitTermination()
+    stored = storage.read_table(spark, f"{folder}/out", schemas.SPANS)
+    return stored.select("trace_id", "span_id").groupBy("trace_id").agg(
+        F.count("*").alias("spans"), F.count_distinct("span_id").alias("distinct_spans")
+    )
+
+
+@query
+def log_ingest_stream(spark, sf_dir):
+    folder = _folder(spark)
+    rows = _as_stream(sample.logs(spark, sf_dir).withColumn("ingested_at", F.col("time")), folder)
+    ingest.start_log_ingest(rows, f"{folder}/out", f"{folder}/c", ONCE).awaitTermination()
+    stored = storage.read_table(spark, f"{folder}/out", schemas.LOGS)
+    return stored.groupBy("service", "severity_number").agg(
+        F.count("*").alias("records"), F.min("time").alias("oldest"), F.max("time").alias("newest")
+    )
+
+
+@query
+def metric_ingest_stream(spark, sf_dir):
+    """The rollups that the metric stream keeps, merged: equal to those of one pass."""
+    folder = _folder(spark)
+    rows = _as_stream(sample.metrics(spark, sf_dir), folder)
+    ingest.start_metric_ingest(rows, f"{folder}/raw", f"{folder}/out", f"{folder}/c", ONCE, 86400.0).awaitTermination()
+    return _rollup_columns(storage.read_rollups(spark, f"{folder}/out"))
+
+
+@query
+def retention_sweep(spark, sf_dir):
+    """The four tables written, swept and read back; figures as in ``retention_prune``."""
+    folder = _folder(spark)
+    tables = {
+        "spans": sample.spans(spark, sf_dir),
+        "logs": sample.logs(spark, sf_dir),
+        "metrics": sample.metrics(spark, sf_dir),
+        "metric_series_rollups": _rollups(spark, sf_dir),
+    }
+    paths = {name: f"{folder}/{name}" for name in tables}
+    for name, rows in tables.items():
+        storage.append_batch(rows, name, paths[name], 0)
+    now = _event_now(spark, sf_dir)
+    retention.sweep(spark, paths, now, 7, 6, retention.Windows(spans_days=23, logs_days=0))
+    kinds = (schemas.SPANS, schemas.LOGS, schemas.METRICS, schemas.ROLLUPS)
+    counts = [
+        storage.read_table(spark, path, kind).agg(F.count("*").alias("kept")).select(F.lit(name).alias("table_name"), "kept")
+        for (name, path), kind in zip(paths.items(), kinds, strict=True)
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
 # --- ingest: the tables as OTLP/JSON requests, flattened again --------------
 
 
