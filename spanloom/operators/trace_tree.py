@@ -3,7 +3,7 @@
 A trace may be as large as the table, so nothing here gathers a trace in one place.
 Values travel along parent links by pointer doubling: in round k every span knows its
 ancestor 2^k steps up, so a tree of depth d takes log2(d) rounds of joins. Each round
-ends in a reliable checkpoint, which keeps the plan short and survives lost executors.
+ends in a table in shared storage, which keeps the plan short and survives lost executors.
 
 Span ids are unique within a trace (see ``dedupe_spans``). Spans on a parent cycle have
 no root; they are left out, as nothing reaches them from a root.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.predicates import ERROR_STATUS
 from spanloom.operators.scaling import with_running_sum
-from spanloom.session import ensure_checkpoint_dir
+from spanloom.session import written
 
 KEY = ["trace_id", "span_id"]
 # Rounds after which the largest trace is measured, to tell deep trees from cycles.
@@ -41,21 +41,23 @@ def link_tree(spans: DataFrame) -> DataFrame:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return written(df, "tree")
 
 
-def _doubling(state: DataFrame, advance) -> DataFrame:
-    """Apply ``advance`` to a saved state until no pointer (``ptr``) is left, or only cycles are."""
-    rounds, limit = 0, None
-    while not state.where(F.col("ptr").isNotNull()).isEmpty():
+def _rounds(start: DataFrame, advance):
+    """Saved states, one per round, until no pointer (``ptr``) is left or only cycles are.
+
+    ``advance`` gets the states so far and gives the rows of the next one.
+    """
+    states, limit = [start], None
+    while not states[-1].where(F.col("ptr").isNotNull()).isEmpty():
+        rounds = len(states) - 1
         if rounds >= FREE_ROUNDS and limit is None:
-            limit = state.groupBy("trace_id").count().agg(F.max("count")).first()[0]
+            limit = start.groupBy("trace_id").count().agg(F.max("count")).first()[0]
         if limit is not None and 2**rounds > limit:
             break
-        state = _saved(advance(state))
-        rounds += 1
-    return state
+        states.append(_saved(advance(states)))
+    return states
 
 
 def subtree_aggregate(
@@ -91,21 +93,32 @@ def subtree_aggregate(
         )
 
     start = tree.select(*KEY, F.col("parent").alias("ptr"), *values)
-    return _doubling(start, advance).select(*KEY, *values)
+    return _rounds(start, lambda states: advance(states[-1]))[-1].select(*KEY, *values)
 
 
 def path_aggregate(tree: DataFrame, sums: list[str] = (), minima: list[str] = ()) -> DataFrame:
-    """Sum or minimum of each column from a span up to its root; spans on a cycle drop out."""
+    """Sum or minimum of each column from a span up to its root; spans on a cycle drop out.
+
+    A span whose pointer is gone is finished: it is written once, in the round that
+    finished it, and later rounds only look it up.
+    """
     values = [*sums, *minima]
 
-    def advance(state: DataFrame) -> DataFrame:
-        hop = state.select(
+    def finished(states: list[DataFrame]) -> DataFrame:
+        out = states[0].where(F.col("ptr").isNull())
+        for state in states[1:]:
+            out = out.unionByName(state.where(F.col("ptr").isNull()))
+        return out
+
+    def advance(states: list[DataFrame]) -> DataFrame:
+        live = states[-1].where(F.col("ptr").isNotNull())
+        hop = live.unionByName(finished(states)).select(
             "trace_id",
             F.col("span_id").alias("ptr"),
             F.col("ptr").alias("_next"),
             *[F.col(c).alias(f"_{c}") for c in values],
         )
-        return state.join(hop, ["trace_id", "ptr"], "left").select(
+        return live.join(hop, ["trace_id", "ptr"], "left").select(
             *KEY,
             F.col("_next").alias("ptr"),
             *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums],
@@ -113,7 +126,7 @@ def path_aggregate(tree: DataFrame, sums: list[str] = (), minima: list[str] = ()
         )
 
     start = _saved(tree.select(*KEY, F.col("parent").alias("ptr"), *values))
-    return _doubling(start, advance).where(F.col("ptr").isNull()).select(*KEY, *values)
+    return finished(_rounds(start, advance)).select(*KEY, *values)
 
 
 def analyze_trees(spans: DataFrame) -> DataFrame:

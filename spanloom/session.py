@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator assumes. Partition counts are left to AQE: a high
 # initial number with coalescing lets one setting serve megabytes and terabytes.
@@ -54,3 +55,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="spanloom-checkpoint-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet below the checkpoint folder and read again.
+
+    This cuts the lineage in storage that all executors share, and unlike a checkpoint
+    computes the rows once. The files belong to the run, like the folder they are in.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
