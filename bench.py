@@ -1,7 +1,8 @@
 """Headline queries over the benchmark tables; prints one JSON line.
 
 BENCH_SF_DIR, BENCH_CPUS and BENCH_RUNS choose the tables, the local cores and the
-number of timed runs per query (the median counts, after one warm-up query).
+number of timed runs per query (the median counts, after one warm-up query);
+BENCH_WORK_DIR is the folder for intermediate tables.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -58,6 +60,7 @@ def main() -> None:
         .appName("bench")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_WORK_DIR") or tempfile.mkdtemp(prefix="bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import written
+
 BROADCAST_ROWS = 20_000
 CHUNK_SECS = 3600
 
@@ -47,22 +49,32 @@ def _cell(value: Column) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    quantiles: dict[str, float],
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Interpolated percentiles per key without gathering a key's values anywhere.
 
-    Pass one counts rows per (key, cell), which combines before the shuffle. The
-    cumulative counts name the few cells that hold the wanted ranks. Pass two counts
-    distinct values of those cells only and reads the ranks off. Keys must not be NULL.
+    Pass one counts rows per (key, cell), which combines before the shuffle; the counts are
+    written, so the input is read twice in all. The cumulative counts name the few cells
+    that hold the wanted ranks. Pass two counts distinct values of those cells only and reads
+    the ranks off. ``totals`` are numbers per row to be summed per key in pass one, rows
+    without a value included. Keys must not be NULL.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    celled = rows.withColumn("_cell", _cell(F.col("_v")))
+    totals = totals or {}
+    figures = [number.cast("bigint").alias(f"_t_{name}") for name, number in totals.items()]
+    every = df.select(*keys, F.col(value).cast("double").alias("_v"), *figures)
+    every = every.withColumn("_cell", F.when(F.col("_v").isNotNull(), _cell(F.col("_v"))))
+    sums = [F.sum(f"_t_{name}").alias(f"_t_{name}") for name in totals]
+    cells = written(every.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"), *sums), "cells")
+    celled = every.where(F.col("_v").isNotNull()).select(*keys, "_v", "_cell")
 
     by_key = Window.partitionBy(*keys)
     counted = (
-        celled.groupBy(*keys, "_cell")
-        .agg(F.count("*").alias("_n"))
+        cells.where(F.col("_cell").isNotNull())
         .withColumn("_upto", F.sum("_n").over(by_key.orderBy("_cell")))
         .withColumn("_total", F.sum("_n").over(by_key))
         .withColumn("_before", F.col("_upto") - F.col("_n"))
@@ -100,7 +112,10 @@ def exact_percentiles(
         exact = rank(q, F.col("_total"))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (hi - lo) * (exact - F.floor(exact))).alias(name))
-    return found.select(*keys, *out)
+    if not totals:
+        return found.select(*keys, *out)
+    summed = cells.groupBy(*keys).agg(*[F.sum(f"_t_{name}").alias(name) for name in totals])
+    return summed.join(found.select(*keys, *out), keys, "left")
 
 
 def with_previous(

@@ -35,15 +35,16 @@ def red_by_service(
     exact two-pass search.
     """
     rows = _window(spans, now, start, end, max_hours)
-    figures = [
-        F.count("*").alias("spans"),
-        F.count_if(is_error(F.col("status_code"))).alias("errors"),
-    ]
+    failed = is_error(F.col("status_code"))
     if approx:
-        figures += [F.percentile_approx("duration_ms", q, 10_000).alias(n) for n, q in LATENCY.items()]
-    out = rows.groupBy("service").agg(*figures)
-    if not approx:
-        out = out.join(exact_percentiles(rows, ["service"], "duration_ms", LATENCY), "service", "left")
+        out = rows.groupBy("service").agg(
+            F.count("*").alias("spans"),
+            F.count_if(failed).alias("errors"),
+            *[F.percentile_approx("duration_ms", q, 10_000).alias(n) for n, q in LATENCY.items()],
+        )
+    else:
+        totals = {"spans": F.lit(1), "errors": F.when(failed, 1).otherwise(0)}
+        out = exact_percentiles(rows, ["service"], "duration_ms", LATENCY, totals)
     return out.withColumn("error_rate", F.try_divide(F.col("errors").cast("double"), F.col("spans"))).select(
         "service", "spans", "errors", "error_rate", *LATENCY
     )
