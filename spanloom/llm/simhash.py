@@ -36,6 +36,7 @@ SHINGLE = 3
 SEED = 42
 THRESHOLD = 2
 CROWD = 64
+TASK_ROWS = 20_000
 _BLOCK = 1 << 16
 _ROWS = 2048
 
@@ -153,6 +154,8 @@ def links(
     ``prints`` has the distinct fingerprints in ``fp``. Every linked pair with a resident of
     an uncrowded anchor is an edge; residents of crowded ones are joined through points.
     """
+    # A row is few bytes and much work: tasks are dealt by rows, not by bytes.
+    prints = prints.select("fp").repartition(1 + prints.count() // TASK_ROWS)
     home = store(replicas(prints, code, 0), "homes")
     full = home.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor")
     few = home.join(full, "anchor", "left_anti").withColumnRenamed("fp", "resident")
