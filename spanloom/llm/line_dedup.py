@@ -39,7 +39,7 @@ _OWN_LEFT, _OWN_RIGHT, _LONG_LEFT, _LONG_RIGHT = range(4)
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, line_no, place, h1, h2, words) of all lines that take part.
+    """(doc_id, text_hash, line_no, place, h1, h2, words, line) of all lines that take part.
 
     ``place`` orders lines: the id times 2**32 plus the number; null ids come first.
     """
@@ -51,14 +51,16 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
     shaped = rows.select("doc_id", "text_hash", "line_no", words_of(F.col("line")).alias("words"))
-    return shaped.where(F.size("words") >= min_words).select(
+    kept = shaped.where(F.size("words") >= min_words).withColumn("line", F.array_join("words", " "))
+    return kept.select(
         "doc_id",
         "text_hash",
         "line_no",
         (doc * F.lit(1 << 32).cast(DecimalType(10, 0)) + number).cast(_PLACE).alias("place"),
-        F.xxhash64("words").alias("h1"),
-        F.xxhash64(F.lit(1), "words").alias("h2"),
+        F.xxhash64("line").alias("h1"),
+        F.xxhash64(F.lit(1), "line").alias("h2"),
         "words",
+        "line",
     )
 
 
@@ -176,7 +178,7 @@ def _neighbours(
         F.max((role <= _OWN_RIGHT) & both).alias("own_whole"),
     )
     wanted = store(flags.join(distinct.select("h1", "h2", "first"), "h1"), "wanted")
-    lined = lines(docs, min_words).select("place", "h1", "h2", F.array_join("words", " ").alias("line"))
+    lined = lines(docs, min_words).select("place", "h1", "h2", "line")
     texts = lined.where(_seen(wanted.select("h1"), filter_bits)(F.col("h1"))).join(wanted, ["h1", "h2"])
     # Rows that repeat an id and a line share the place of that line.
     texts = store(texts.where(F.col("place") == F.col("first")).drop("place").dropDuplicates(["h1", "h2"]), "lines")
@@ -224,7 +226,7 @@ def repeated_lines(
     near = _neighbours(docs, distinct, min_words, near_words, filter_bits)
     again = distinct.where("times > 1").select("h1", "h2", F.col("first").alias("place"))
     bounds = again.union(near).groupBy("h1", "h2").agg(F.min("place").alias("earliest"))
-    gone = all_lines.drop("words").join(bounds, ["h1", "h2"]).where(F.col("place") > F.col("earliest"))
+    gone = all_lines.drop("words", "line").join(bounds, ["h1", "h2"]).where(F.col("place") > F.col("earliest"))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
