@@ -200,7 +200,9 @@ def classes(docs: DataFrame, **options) -> DataFrame:
     another one.
     """
     rows = classified(docs, **options)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that the join has plain exchanges on both sides and a large component can be
+    # split; right above an aggregate it could not.
+    least = store(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "root").select("doc_id", "fp", "component_id")
 
 
