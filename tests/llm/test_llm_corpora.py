@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spanloom.llm import components, html_text, line_dedup, packed_ids, queries, simhash, word_bpe
+from spanloom.llm import components, html_text, line_dedup, packed_ids, queries, similar, simhash, word_bpe
 
 SF_DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, fp string, root string, h1 int, line string, _doc string"
@@ -122,6 +122,48 @@ def test_representatives_keep_one_per_group(spark):
     assert simhash.representatives(df.where("false")).count() == simhash.classes(df.where("false")).count() == 0
 
 
+def near_docs():
+    """Copies with a few changed words, on either side of similarity 0.8."""
+    rng = random.Random(17)
+    docs = []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        docs.append((10 * i, " ".join(words)))
+        for k in range(1, 4):
+            for at in rng.sample(range(200), rng.randint(1, 8)):
+                words[at] = f"new{rng.randrange(5000)}"
+            docs.append((10 * i + k, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_near_documents_equal_brute_force(spark, crowd):
+    docs = [*odd_docs(), *near_docs()]
+    sets = [similar.shingles(t) for _, t in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if similar.similarity(sets[i], sets[j]) >= 0.8]
+    assert sum(1 for i, j in near if (brute.fingerprint(docs[i][1]) ^ brute.fingerprint(docs[j][1])).bit_count() > 2) > 20
+    root = list(range(len(docs)))
+    for i, j in near:
+        low = min(root[i], root[j])
+        root = [low if r in (root[i], root[j]) else r for r in root]
+    groups = {}
+    for (doc, _), r in zip(docs, root, strict=True):
+        groups.setdefault(r, []).append(doc)
+    expected = sorted(str(min((d for d in g if d is not None), default=None)) for g in groups.values())
+    df = table(spark, docs)
+    out = similar.representatives(df, crowd=crowd)
+    assert out.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == expected
+    assert similar.representatives(df.where("false")).count() == 0
+
+
+def test_near_stage_takes_five_words_and_similarity(spark):
+    rows = spark.createDataFrame(near_docs(), "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.unique_documents(spark, rows, SF_DIR).collect()}
+    assert kept == {r["doc_id"] for r in similar.representatives(rows).collect()}
+    assert len(kept) < simhash.representatives(rows).count()
+
+
 # -- repeated lines ---------------------------------------------------------------------
 
 
