@@ -2,7 +2,7 @@
 
 The second part slides a window over each candidate string and keeps the counts of the
 characters in it; one character comes in, one goes out, and the sum of c * log2(c) that the
-Shannon entropy needs changes by those two counts alone. Each character class (hex, base64)
+Shannon entropy needs changes by those two counts alone. Each character class (hex of each case, base64)
 has its own threshold, and allow-listed shapes are passed over. All of it is column
 expressions within the row, so it needs no shuffle.
 """
@@ -31,16 +31,22 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 #: (name, alphabet, least entropy in bits over a window of 20 characters)
 CLASSES = [
     ("hex", "0123456789abcdef", 3.0),
+    ("upper hex", "0123456789ABCDEF", 3.0),
+    ("mixed hex", "0123456789abcdefABCDEF", 3.2),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9),
 ]
 
+# A part of a path reads as words and numbers; drawn characters change case and sort anywhere.
+_WORD = r"(?:(?:[A-Z][a-z]{2,}+){2,4}+|[A-Z]?+[a-z]++|[A-Z]++)[0-9]{0,4}+|[0-9]++"
+_PART = rf"[._-]*+(?:{_WORD})(?:[._-]++(?:{_WORD}))*+[._-]*+"
+
 #: Shapes that are no secrets: plain words and compounds, numbers, UUIDs, paths, rulers.
 ALLOWED = [
     r"^[A-Za-z]*+$",
     r"^[0-9+/_=-]*+$",
     r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?$",
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"^/?(?:[A-Za-z0-9_.-]{1,15}/){2,}[A-Za-z0-9_.-]*$",
+    rf"^/?+(?:{_PART}/){{2,}}+(?:{_PART})?+$",
 ]
 
 
@@ -116,8 +122,7 @@ def entropy_spans(text: Column, classes=None, allowed: list[str] | None = None)
             high = high | (top_entropy(m["match"], alphabet) >= least)
         return ~known & high
 
-    # Without a digit among twenty such characters there is nothing but words.
-    likely = text.rlike(r"[A-Za-z0-9+/_=-]{20}") & text.rlike("[0-9]")
+    likely = text.rlike(r"[A-Za-z0-9+/_=-]{20}")
     empty = spans_of(matches(F.lit(""), CANDIDATE), 3)
     return F.when(likely, spans_of(F.filter(matches(text, CANDIDATE), suspect), 3)).otherwise(empty)
 

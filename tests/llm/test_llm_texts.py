@@ -308,6 +308,23 @@ def test_entropy_equals_brute_force_and_allow_list(spark):
     assert [spans(rows[i]) for i in range(6)] == [[(3, 4, 26)], [], [], [], [], []]
 
 
+def test_secrets_of_every_case_and_with_slashes(spark):
+    texts = [
+        "9F86D081884C7D659A2F",
+        "9f86D081884c7D659a2FeAa0",
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+        "qWeRtY+uIoPaSdFgHjKl+ZxCvBnM",
+        "qWeRtY+uIoPaSdFgHjKl+ZxCvBnM in room 1",
+        "src/main/java/org/OurClassName/part-2/x86_64",
+        "/usr/share/doc/README/2024-01-05/notes",
+        "ABCDEFABCDEFABCDEFABCDEF",
+        "plain words without anything else",
+    ]
+    rows = dict(secret_scan.scan(table(spark, numbered(texts))).select("doc_id", "spans").collect())
+    whole = [len(t.split(" ")[0]) for t in texts[:5]]
+    assert [spans(rows[i]) for i in range(9)] == [*[[(3, 0, n)] for n in whole], [], [], [], []]
+
+
 # -- benchmark items --------------------------------------------------------------------
 
 
