@@ -177,13 +177,22 @@ class WordEncoder:
 
     Between an ASCII letter and ASCII marks other than an apostrophe its splitter always
     cuts, so such a word is remembered as its letters and its marks.
+
+    With ``special`` the added tokens of the file get their ids where a text holds them, as
+    written, like in the library; without, they are ordinary text.
     """
 
-    def __init__(self, path: str, memo_words: int = _MEMO_WORDS):
+    def __init__(self, path: str, memo_words: int = _MEMO_WORDS, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # what goes to the library is ordinary text
+        added = self.tokenizer.get_added_tokens_decoder() if special else {}
+        self.added = {t.content.encode(): np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that are not matched as written")
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if added else None
         self.memo_words = memo_words
         self.memo: dict[bytes, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -224,6 +233,13 @@ class WordEncoder:
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
         """UTF-8 texts to uint32 ids; null is empty. White space is that of bytes.split()."""
         for text in texts:
+            if text and self.cut and self.cut.search(text):
+                # Every second part is an added token.
+                parts = self.cut.split(text)
+                parts[::2] = [p.tobytes() for p in self.encode(parts[::2])]
+                parts[1::2] = [self.added[p] for p in parts[1::2]]
+                yield np.frombuffer(b"".join(parts), dtype="<u4")
+                continue
             words = text.lower().split() if text else []
             missing = {w for w in words if w not in self.memo}
             if missing:
@@ -238,7 +254,7 @@ def word_encoder(path: str) -> WordEncoder:
     """One per Python worker, kept between its tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path,) not in _encoders:
-        _encoders[(path,)] = WordEncoder(path)
+        _encoders[(path,)] = WordEncoder(path, special=True)
     return _encoders[(path,)]
 
 

@@ -257,6 +257,17 @@ def test_word_encoder_equals_the_library():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_get_their_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), packed_ids.word_encoder(path)
+    rng = random.Random(5)
+    alphabet = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", *"aB .!É\u0301", "don't"]
+    texts = ["a <|endoftext|> b", *["".join(rng.choices(alphabet, k=rng.randint(0, 15))) for _ in range(2000)]]
+    found = [e.tolist() for e in encoder.encode([t.encode() for t in texts])]
+    assert found[0] == [320, 49407, 321]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packed_table(spark):
     docs = odd_docs()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
