@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, html_text, line_dedup, packed_ids, pii, quality_rules, rule_ensemble, secret_scan, simhash, word_bpe
+from spanloom.llm import (
+    decontaminate,
+    html_text,
+    line_dedup,
+    packed_ids,
+    pii,
+    quality_rules,
+    rank_profiles,
+    rule_ensemble,
+    secret_scan,
+    simhash,
+    turn_repair,
+    whitening,
+    word_bpe,
+)
 from spanloom.llm.shared import small_batches, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +136,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repairs(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = rank_profiles.held_out(F.col("doc_id"))
+    found = rank_profiles.predict(docs, rank_profiles.fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 REGISTRY: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_packed_ids": op2_packed_ids,
@@ -133,5 +163,8 @@ REGISTRY: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_whitening": op12_whitening,
+    "op13_rank_profiles": op13_rank_profiles,
 }
 ORACLES: dict[str, str] = {}

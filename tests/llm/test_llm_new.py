@@ -1,0 +1,347 @@
+"""Turn repair, whitening and language profiles against brute force and held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import queries, rank_profiles, turn_repair, whitening
+
+SF_DIR = "/root/testdata/sf0.001"
+SPACE = " \t\n\x0b\x0c\r"
+
+
+# -- turn repair ------------------------------------------------------------------------
+
+
+def brute_damage(rows):
+    """(conv, turn, role, text) -> conv -> sorted rows after damage."""
+    out = {}
+    for conv, turn, role, text in rows:
+        shown = lambda v: " " if v is None else str(v)
+        kept = out.setdefault(conv, [])
+        fate = zlib.crc32(f"{shown(conv)}:{shown(turn)}".encode()) % 20
+        role, text = shown(role), shown(text)
+        if fate == 0:
+            continue
+        if fate == 1:
+            text = ""
+        if fate == 2:
+            text = re.sub("[.!?]", "", text)
+        if fate == 4:
+            role = "user"
+        kept += [(turn, role, text)] * (2 if fate == 3 else 1)
+    for kept in out.values():
+        kept.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    return out
+
+
+def brute_faults(kept):
+    seen, faults = set(), []
+    for _, role, text in kept:
+        if not text.strip(SPACE):
+            faults.append("blank")
+        elif (role, text) in seen:
+            faults.append("duplicate")
+        else:
+            faults.append("" if text.strip(SPACE)[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return faults
+
+
+def brute_repair(rows, faults):
+    """Least (cost, edits, lines) over all prefixes by relaxing every edit until nothing changes."""
+    follows = {"": "u", "s": "u", "u": "a", "a": "u"}
+    full = {"u": "user", "a": "assistant"}
+    best = {(0, ""): (0, "", ())}
+    for i in range(len(rows) + 1):
+        for _ in range(3):
+            for state in ("", "s", "u", "a"):
+                if (i, state) not in best:
+                    continue
+                cost, edits, lines = best[i, state]
+                to = follows[state]
+                found = [(i, to, cost + 2, edits + "I", (*lines, f"{full[to]}:"))]
+                if i < len(rows):
+                    _, role, text = rows[i]
+                    found.append((i + 1, state, cost + 3, edits + "D", lines))
+                    if faults[i] not in ("blank", "duplicate"):
+                        more = int(faults[i] == "truncated")
+                        found.append((i + 1, to, cost + 2 + more, edits + "R", (*lines, f"{full[to]}:{text}")))
+                        if role[:1] == to or (role[:1] == "s" and state == ""):
+                            found.append((i + 1, role[:1], cost + more, edits + "K", (*lines, f"{role}:{text}")))
+                for at, after, *value in found:
+                    if (at, after) not in best or tuple(value) < best[at, after]:
+                        best[at, after] = tuple(value)
+    ends = [best[len(rows), s] for s in ("", "a") if (len(rows), s) in best]
+    return min(ends)
+
+
+def brute_conversation(kept):
+    faults = brute_faults(kept)
+    turns = sorted({t for t, *_ in kept if t is not None})
+    initials = [role[:1] for _, role, _ in kept]
+    cost, audit, lines = brute_repair(kept, faults)
+    return {
+        "gaps": turns[-1] - turns[0] + 1 - len(turns) if turns else 0,
+        "blank": faults.count("blank"),
+        "duplicate": faults.count("duplicate"),
+        "truncated": faults.count("truncated"),
+        "illegal": sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False)),
+        "cost": cost,
+        "audit": audit,
+        "repaired_sha256": hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+    }
+
+
+def plain_edits(rows):
+    """Least (cost, edits) of a row pattern from the plain recurrence."""
+    turned = [(None, {"x": "tool"}.get(r.lower(), r.lower()), "") for r in rows]
+    faults = ["blank" if r == "d" else "truncated" if r.isupper() else "" for r in rows]
+    return brute_repair(turned, faults)[:2]
+
+
+def test_search_finds_the_least_edits():
+    rng = random.Random(5)
+    for _ in range(600):
+        rows = "".join(rng.choices("suaxSUAXd", weights=[1, 4, 4, 1, 1, 2, 2, 1, 2], k=rng.randrange(12)))
+        assert turn_repair.repair(rows) == plain_edits(rows), rows
+
+
+def test_long_patterns_are_chained():
+    rng = random.Random(6)
+    for size in (63, 64, 65, 200, 700):
+        rows = "".join(rng.choices("suaxSUAXd", weights=[1, 9, 9, 1, 1, 2, 2, 1, 2], k=size))
+        assert turn_repair.repair(rows) == plain_edits(rows)
+    for rows in ("s" * 300, "d" * 300, "u" * 300, "x" * 150 + "A" * 150):
+        assert turn_repair.repair(rows) == plain_edits(rows)
+
+
+def odd_conversations():
+    rng = random.Random(9)
+    rows = [(None, 1, "user", "No id."), (None, None, None, None), (1, None, "user", "x"), (1, None, "assistant", "y.")]
+    rows += [(2, t, "user" if t % 2 == 0 else "assistant", f"Turn {t}.") for t in range(400)]
+    rows += [(3, t, "user", "Same again?") for t in range(90)]
+    rows += [(4, 7, "user", "Copy.")] * 60
+    rows += [(5, 1, "", ""), (5, 2, "user", " \t\n"), (5, 3, "assistant", "é ß 😀!"), (5, 3, "assistant", "Tie."), (5, 3, "tool", "Tie.")]
+    rows += [(6, 1, "system", "long " * 20_000 + "."), (6, 2, "user", "Yes.")]
+    for conv in range(10, 60):
+        for t in range(rng.randrange(1, 9)):
+            text = rng.choice(["Fine.", "Well", "Who?", "", f"Words {t} {conv}."])
+            rows.append((conv, t + rng.randrange(2), rng.choice(["user", "assistant", "system", "tool"]), text))
+    return rows
+
+
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string, cost string, part string, n int"
+
+
+def check_conversations(found, rows):
+    wanted = {conv: brute_conversation(kept) for conv, kept in brute_damage(rows).items()}
+    assert Counter(r["conv_id"] for r in found) == Counter(wanted.keys())
+    for row in found:
+        values = {k: row[k] for k in wanted[row["conv_id"]]}
+        assert values == wanted[row["conv_id"]], row["conv_id"]
+
+
+@pytest.mark.parametrize("piece_rows, piece_chars", [(turn_repair.PIECE_ROWS, turn_repair.PIECE_CHARS), (3, 50), (17, 1 << 20)])
+def test_odd_conversations_equal_brute_force(spark, piece_rows, piece_chars):
+    rows = odd_conversations()
+    table = spark.createDataFrame([(*r, None, None, None) for r in rows], CONVERSATIONS).repartition(3)
+    found = turn_repair.repairs(turn_repair.damaged(table), piece_rows, piece_chars).collect()
+    check_conversations(found, rows)
+
+
+def test_no_conversations(spark):
+    assert turn_repair.repairs(turn_repair.damaged(spark.createDataFrame([], CONVERSATIONS))).collect() == []
+
+
+def test_registered_turn_repair(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    check_conversations(queries.op11_turn_repair(spark, SF_DIR).collect(), rows)
+
+
+# -- whitening --------------------------------------------------------------------------
+
+
+def test_factor_and_rotations_give_eigenvalues():
+    rng = np.random.default_rng(2)
+    for d, rank in ((1, 1), (7, 7), (20, 5), (64, 64)):
+        b = rng.normal(size=(d, rank)) * np.logspace(0, -4, rank)
+        a = b @ b.T
+        order, factor = whitening.pivoted_cholesky(a)
+        assert np.allclose(factor @ factor.T, a[np.ix_(order, order)], atol=1e-12)
+        assert factor.shape[1] == rank
+        values, axes = whitening.eigen(a, 4)
+        exact = np.linalg.eigvalsh(a)[::-1][: min(4, rank)]
+        assert np.allclose(values, exact, rtol=1e-10)
+        assert np.allclose(axes @ a, values[:, None] * axes, atol=1e-12)
+    assert len(whitening.eigen(np.zeros((3, 3)), 4)[0]) == 0
+
+
+def brute_whitening(rows, components=4):
+    fine = [(k, v) for k, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    ints = [(k, tuple(int(np.floor(256 * float(c))) for c in v)) for k, v in fine]
+    lengths = Counter(len(x) for x in {x for _, x in ints})
+    d = max(lengths, key=lambda length: (lengths[length], length))
+    ints = [(k, x) for k, x in ints if len(x) == d]
+    listed = sorted({x for _, x in ints})
+    n, sums = len(listed), [sum(c) for c in zip(*listed, strict=True)]
+    a = np.array([[n * c - s for c, s in zip(x, sums, strict=True)] for x in listed], dtype=float) / n
+    v = a.T @ a / n
+    values, vectors = np.linalg.eigh(v)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    out = []
+    for k, x in ints:
+        y = np.array([n * c - s for c, s in zip(x, sums, strict=True)], dtype=float) / n
+        deviation = sum((n * c - s) ** 2 for c, s in zip(x, sums, strict=True))
+        for j, e in enumerate(values):
+            if e > 1e-9 * max(values[0], 1e-300):
+                out.append((k, j + 1, n, deviation, abs(y @ vectors[:, j]) / np.sqrt(e), e / np.trace(v)))
+    return sorted(out, key=str)
+
+
+def check_whitening(found, rows):
+    wanted = brute_whitening(rows)
+    got = [(r["vec_id"], r["component"], r["n"], r["deviation"], abs(r["whitened"]), r["explained"]) for r in found]
+    assert len(got) == len(wanted)
+    key = lambda r: (str(r[0]), r[1], r[3], r[4])
+    for a, b in zip(sorted(got, key=key), sorted(wanted, key=key), strict=True):
+        assert a[:4] == b[:4]
+        assert a[4] == pytest.approx(b[4], abs=1e-8) and a[5] == pytest.approx(b[5], rel=1e-9)
+    assert all(r["identity_error"] < 1e-9 for r in found)
+
+
+VECTORS = "vec_id bigint, embedding array<float>, label int, n string, component string"
+
+
+def test_odd_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(80)]
+    rows += [(100, None), (101, []), (102, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (103, [float("nan")] + [0.0] * 5)]
+    rows += [(104, [float("inf")] + [0.0] * 5), (105, [1.0, 2.0]), (None, rows[3][1]), (5, rows[7][1]), (106, [-0.0] * 6), (107, [0.0] * 6)]
+    rows += [(108, [300.5, -90.0, 1e-9, -1e-9, 0.25, 40.0])]
+    table = spark.createDataFrame([(*r, 1, None, None) for r in rows], VECTORS).repartition(3)
+    found = whitening.whiten(table, whitening.fit(table)).collect()
+    check_whitening(found, rows)
+
+
+def test_vectors_without_variance_or_rows(spark):
+    for rows in ([], [(1, None)], [(1, [])], [(1, [1.0, 2.0]), (2, [1.0, 2.0])]):
+        table = spark.createDataFrame([(*r, 1, None, None) for r in rows], VECTORS)
+        assert whitening.whiten(table, whitening.fit(table)).collect() == []
+    table = spark.createDataFrame([(1, [1.0, 2.0], 0, None, None), (2, [3.0, 2.0], 0, None, None)], VECTORS)
+    found = sorted((r["vec_id"], r["component"], round(abs(r["whitened"]), 9)) for r in whitening.whiten(table, whitening.fit(table)).collect())
+    assert found == [(1, 1, 1.0), (2, 1, 1.0)]
+
+
+def test_large_entries_stay_exact(spark):
+    rows = [(i, [float(v) * 2.0**30, float(-v) * 2.0**20]) for i, v in enumerate((1, 5, 9, 3))]
+    table = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    found = whitening.whiten(table, whitening.fit(table)).collect()
+    sums = [18 << 38, -18 << 28]
+    for r in found:
+        v = (1, 5, 9, 3)[r["vec_id"]]
+        exact = (4 * (v << 38) - sums[0]) ** 2 + (4 * (-v << 28) - sums[1]) ** 2
+        assert r["deviation"] == (exact if exact < 1 << 63 else None)
+    # Entries beyond 64 bits count as the nearest integer.
+    table = spark.createDataFrame([(1, [1e30]), (2, [-1e30]), (3, [0.0])], "vec_id int, embedding array<double>")
+    assert {r["component"] for r in whitening.whiten(table, whitening.fit(table)).collect()} == {1}
+
+
+def test_registered_whitening(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    check_whitening(queries.op12_whitening(spark, SF_DIR).collect(), rows)
+
+
+# -- language profiles ------------------------------------------------------------------
+
+
+def brute_grams(text):
+    spaced = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())).strip() + " "
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(spaced) - n + 1):
+            g = spaced[i : i + n]
+            if g.strip() and not (n == 3 and g[1] == " "):
+                out[g] += 1
+    return out
+
+
+def as_number(gram):
+    value = 0
+    for c in gram:
+        value = value << 21 | ord(c)
+    return value
+
+
+def brute_top(counts, size):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], as_number(x[0])))[:size]]
+
+
+def brute_predict(docs, size):
+    """(doc_id, text, lang) -> (doc_id, text) -> (language, score)."""
+    totals = {}
+    for doc, text, lang in docs:
+        if lang is not None and text is not None and zlib.crc32(str("" if doc is None else doc).encode()) % 3 != 1:
+            totals.setdefault(lang, Counter()).update(brute_grams(text))
+    ranks = {lang: {g: r for r, g in enumerate(brute_top(c, size))} for lang, c in totals.items()}
+    out = {}
+    for doc, text, _ in docs:
+        own = brute_top(brute_grams(text), size) if text and any(c.isalpha() for c in text.lower()) else []
+        if not own or not ranks:
+            out[doc, text] = ("und", 0.0)
+            continue
+        away = {lang: sum(abs(r - of[g]) if g in of else size for r, g in enumerate(own)) for lang, of in ranks.items()}
+        best = min(away, key=lambda lang: (away[lang], lang))
+        out[doc, text] = (best, 1 - away[best] / (size * len(own)))
+    return out
+
+
+def test_grams_of_odd_texts():
+    for text in ("", " .,! 12", "a", "Ab c", "  x--y\nZ9", "é ß 😀 İstanbul", "語 言 Ωmega", "a" * 500):
+        found = Counter(rank_profiles.grams_of(text).tolist())
+        wanted = {as_number(g): n for g, n in brute_grams(text).items()} if any(c.isalpha() for c in text) else {}
+        assert found == wanted, text
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, score string, rank int"
+
+
+def test_odd_documents_equal_brute_force(spark):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    docs += [(9001, None, "en"), (9002, "", "en"), (9003, "12 .", None), (None, "the words of a text", "en")]
+    docs += [(9004, "lonely 語", "zz"), (9005, "the long " * 30_000, None), (9006, "A", None), docs[0], docs[0]]
+    table = spark.createDataFrame([(*d, None, None, None) for d in docs], DOCS).repartition(3)
+    out = rank_profiles.held_out(F.col("doc_id"))
+    profiles = rank_profiles.fit(table.where(~out), size=50)
+    wanted = brute_predict(docs, 50)
+    found = rank_profiles.predict(table, profiles).join(table.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert len(found) >= len(docs) - 1
+    for row in found:
+        lang, score = wanted[row["doc_id"], row["text"]]
+        assert row["lang_pred"] == lang and row["score"] == pytest.approx(score, abs=1e-12)
+
+
+def test_nothing_to_learn_from(spark):
+    table = spark.createDataFrame([(1, "some text", None, None, None, None)], DOCS)
+    (row,) = rank_profiles.predict(table, rank_profiles.fit(table)).collect()
+    assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+    empty = spark.createDataFrame([], DOCS)
+    assert rank_profiles.predict(empty, rank_profiles.fit(empty)).collect() == []
+
+
+def test_registered_rank_profiles_are_right_on_held_out_documents(spark):
+    found = queries.op13_rank_profiles(spark, "/root/testdata/sf0.01")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = found.join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    judged = [r for r in rows if r["held_out"] and r["lang"] is not None and r["text"] and any(c.isalpha() for c in r["text"])]
+    assert len(judged) > 200
+    assert sum(r["lang_pred"] == r["lang"] for r in judged) / len(judged) >= 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
