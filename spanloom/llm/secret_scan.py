@@ -41,10 +41,11 @@ _WORD = r"(?:(?:[A-Z][a-z]{2,}+){2,4}+|[A-Z]?+[a-z]++|[A-Z]++)[0-9]{0,4}+|[0-9]+
 _PART = rf"[._-]*+(?:{_WORD})(?:[._-]++(?:{_WORD}))*+[._-]*+"
 
 #: Shapes that are no secrets: plain words and compounds, numbers, UUIDs, paths, rulers.
+#: Repeats are possessive, which Java matches in a loop; it recurses for others, a frame a repeat.
 ALLOWED = [
     r"^[A-Za-z]*+$",
     r"^[0-9+/_=-]*+$",
-    r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?$",
+    r"^[A-Za-z]++(?:[-_/][A-Za-z]++)*+[-_/]?+$",
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     rf"^/?+(?:{_PART}/){{2,}}+(?:{_PART})?+$",
 ]
@@ -71,7 +72,8 @@ def top_entropy(text: Column, alphabet: str, window: int = WINDOW) -> Column:
     belong to ``alphabet``; 0 if there is no such stretch."""
     parts = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
     none = F.array_repeat(F.lit(0), len(alphabet) + 1)
-    place = lambda i: F.instr(F.lit(alphabet), F.substring(text, i, 1))
+    # The text is cut into characters once; looking one up by its place would walk there each time.
+    places = F.transform(F.split(text, ""), lambda c: F.when(c != "", F.instr(F.lit(alphabet), c)).otherwise(0))
 
     def moved(acc: Column, came: Column, went: Column) -> Column:
         """Counts and their sum after one character came in and, if any, one went out."""
@@ -94,19 +96,22 @@ def top_entropy(text: Column, alphabet: str, window: int = WINDOW) -> Column:
             F.greatest(acc["best"], entropy).alias("best"),
         )
 
-    def step(acc: Column, i: Column) -> Column:
-        came = place(i)
-        went = F.when(acc["length"] >= window, place(i - window)).otherwise(0)
-        both = F.struct(came.alias("came"), went.alias("went"))
-        emptied = F.struct(
-            F.lit(0).alias("length"), none.alias("counts"), F.lit(0.0).alias("sum"), acc["best"].alias("best")
+    def slid(places: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            came = F.get(places, i)
+            went = F.when(acc["length"] >= window, F.get(places, i - window)).otherwise(0)
+            both = F.struct(came.alias("came"), went.alias("went"))
+            emptied = F.struct(
+                F.lit(0).alias("length"), none.alias("counts"), F.lit(0.0).alias("sum"), acc["best"].alias("best")
+            )
+            return let(both, lambda b: F.when(b["came"] > 0, moved(acc, b["came"], b["went"])).otherwise(emptied))
+
+        start = F.struct(
+            F.lit(0).alias("length"), none.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")
         )
-        return let(both, lambda b: F.when(b["came"] > 0, moved(acc, b["came"], b["went"])).otherwise(emptied))
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step)["best"]
 
-    start = F.struct(
-        F.lit(0).alias("length"), none.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(text)), start, step)["best"]
+    return F.when(F.char_length(text) >= window, let(places, slid)).otherwise(0.0)
 
 
 def entropy_spans(text: Column, classes=None, allowed: list[str] | None = None) -> Column:

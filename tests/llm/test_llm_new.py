@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import queries, rank_profiles, turn_repair, whitening
+from spanloom.llm import queries, rank_profiles, secret_scan, turn_repair, whitening
 
 SF_DIR = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -345,3 +345,27 @@ def test_registered_rank_profiles_are_right_on_held_out_documents(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in judged) / len(judged) >= 0.97
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+
+
+# -- very long candidates of the secret scan --------------------------------------------
+
+
+def test_secrets_in_very_long_strings(spark):
+    rng = random.Random(8)
+    drawn = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+    texts = ["ab-" * 30_000, "Ab/cd" * 30_000, drawn, "word " + drawn[:30] + " " + "ab-" * 30_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan(rows).collect()}
+    assert found == {0: [], 1: [], 2: [(0, 200_000)], 3: [(5, 35)]}
+
+
+def test_sliding_entropy_equals_plain_counts(spark):
+    rng = random.Random(3)
+    name, alphabet, _ = secret_scan.CLASSES[3]
+    texts = ["", "a", "é" * 30, *("".join(rng.choices(alphabet[:k] + "?", k=n)) for k in (2, 9, 60) for n in (19, 20, 21, 90))]
+    shown = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secret_scan.top_entropy(F.col("t"), alphabet))
+    for text, found in shown.collect():
+        windows = [text[i : i + 20] for i in range(len(text) - 19)]
+        fine = [Counter(w).values() for w in windows if set(w) <= set(alphabet)]
+        wanted = max((-sum(c / 20 * np.log2(c / 20) for c in counts) for counts in fine), default=0.0)
+        assert found == pytest.approx(wanted, abs=1e-9), (name, text)
