@@ -2,7 +2,8 @@
 
 A line is the words between two line feeds. A line goes if an earlier line, by document id
 and then line number, has the same words or, from ``near_words`` words on, words within one
-edit (a word put in, left out or replaced). Lines of fewer than ``min_words`` words stay.
+edit (a word put in, left out or replaced). Lines without words, and those of fewer than
+``min_words`` if that is raised, stay.
 
 The neighbourhood of a line is the line itself and all variants with one word left
 out, as hashed keys. Lines of equal length that agree in the variant and its position differ
@@ -10,6 +11,11 @@ in that word alone, so all of them are near each other; a line that equals a var
 a longer one is one word shorter. So every group of equal keys either is a clique or has
 one centre, and an aggregate per key finds each line's earliest neighbour without pairs.
 
+Texts are split into words once; what is kept of a line is its place, its hashes and the keys
+of its halves. The words of the few lines that need comparing are fetched by their places.
+Lines, half keys and variants that hold over a thousandth of their rows are joined apart, by
+a broadcast of the fewer than a thousand of them, so no task gathers one.
+
 Equal lines are one row throughout. Variants are emitted only for lines that can have a
 neighbour: of two lines within one edit one half is untouched, so lines whose halves no
 other line has are left out first, and the rest emit variants of the other half only.
@@ -25,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DecimalType
 
-from spanloom.llm.shared import free_name, let, store, words_of
+from spanloom.llm.shared import free_name, let, spread_join, store, words_of
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 NEAR_WORDS = 10
 FILTER_BITS = 1 << 26
 
@@ -38,29 +44,39 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _OWN_LEFT, _OWN_RIGHT, _LONG_LEFT, _LONG_RIGHT = range(4)
 
 
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, line_no, place, h1, h2, words, line) of all lines that take part.
-
-    ``place`` orders lines: the id times 2**32 plus the number; null ids come first.
-    """
+def _place() -> Column:
+    """Orders lines: the id times 2**32 plus the number; null ids come first."""
     number = F.col("line_no").cast(DecimalType(10, 0))
     doc = F.coalesce(F.col("doc_id").cast(DecimalType(19, 0)), F.lit(str(-(1 << 63) - 1)).cast(DecimalType(19, 0)))
-    rows = docs.select(
+    return (doc * F.lit(1 << 32).cast(DecimalType(10, 0)) + number).cast(_PLACE)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line_no, line) of all lines."""
+    return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
-    shaped = rows.select("doc_id", "text_hash", "line_no", words_of(F.col("line")).alias("words"))
-    kept = shaped.where(F.size("words") >= min_words).withColumn("line", F.array_join("words", " "))
-    return kept.select(
-        "doc_id",
-        "text_hash",
-        "line_no",
-        (doc * F.lit(1 << 32).cast(DecimalType(10, 0)) + number).cast(_PLACE).alias("place"),
-        F.xxhash64("line").alias("h1"),
-        F.xxhash64(F.lit(1), "line").alias("h2"),
-        "words",
-        "line",
+
+
+def _worded(rows: DataFrame) -> DataFrame:
+    """``line`` becomes its words with single spaces between, which h1 and h2 are hashes of."""
+    shaped = rows.withColumn("words", words_of(F.col("line")))
+    return shaped.withColumn("line", F.array_join("words", " ")).select(
+        "*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
+    )
+
+
+def _shaped(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    """(doc_id, text_hash, line_no, h1, h2, n, keys) of all lines that take part, without texts.
+
+    ``keys`` are those of the halves, null for lines that only equal ones can be near to.
+    """
+    rows = _worded(_numbered(docs)).withColumn("n", F.size("words")).where(F.col("n") >= max(1, min_words))
+    keys = F.array(*_half_keys(F.col("words"), F.col("n")))
+    return rows.select(
+        "doc_id", "text_hash", "line_no", "h1", "h2", "n", F.when(F.col("n") >= near_words, keys).alias("keys")
     )
 
 
@@ -154,7 +170,7 @@ def _seen(hashes: DataFrame, bits: int):
 
 
 def _neighbours(
-    docs: DataFrame, distinct: DataFrame, min_words: int, near_words: int, filter_bits: int
+    docs: DataFrame, distinct: DataFrame, filter_bits: int
 ) -> DataFrame:
     """(h1, h2, place): lines with the place of their earliest earlier neighbour."""
 
@@ -162,12 +178,13 @@ def _neighbours(
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    keyed = distinct.where(F.col("n") >= near_words).select("h1", F.posexplode("keys").alias("role", "key"))
+    keyed = distinct.where(F.col("keys").isNotNull()).select("h1", F.posexplode("keys").alias("role", "key"))
     own = F.sum(F.when(F.col("role") <= _OWN_RIGHT, 1).otherwise(0))
     longer = F.sum(F.when(F.col("role") > _OWN_RIGHT, 1).otherwise(0))
     shared = keyed.groupBy("key").agg(own.alias("own"), longer.alias("longer"))
     shared = shared.where("own > 1 or (own > 0 and longer > 0)")
-    met = keyed.join(shared, "key")
+    shared = store(shared.withColumn("rows", F.col("own") + F.col("longer")), "halves")
+    met = spread_join(keyed, shared, ["key"], "rows")
     several, both = F.col("own") > 1, (F.col("own") > 0) & (F.col("longer") > 0)
     role = F.col("role")
     flags = met.groupBy("h1").agg(
@@ -178,8 +195,9 @@ def _neighbours(
         F.max((role <= _OWN_RIGHT) & both).alias("own_whole"),
     )
     wanted = store(flags.join(distinct.select("h1", "h2", "first"), "h1"), "wanted")
-    lined = lines(docs, min_words).select("place", "h1", "h2", "line")
-    texts = lined.where(_seen(wanted.select("h1"), filter_bits)(F.col("h1"))).join(wanted, ["h1", "h2"])
+    here = _numbered(docs).withColumn("place", _place())
+    here = here.where(_seen(wanted.select(F.xxhash64("first").alias("spot")), filter_bits)(F.xxhash64("place")))
+    texts = _worded(here).select("place", "h1", "h2", "line").join(wanted, ["h1", "h2"])
     # Rows that repeat an id and a line share the place of that line.
     texts = store(texts.where(F.col("place") == F.col("first")).drop("place").dropDuplicates(["h1", "h2"]), "lines")
 
@@ -192,7 +210,7 @@ def _neighbours(
         F.min(F.when(F.col("whole"), line)).alias("centre"),
         F.min(F.when(~F.col("whole"), line)).alias("leaf"),
     )
-    both = variants.join(groups.where("size > 1"), ["v", "n", "i"])
+    both = spread_join(variants, store(groups.where("size > 1"), "groups"), ["v", "n", "i"], "size")
     other = F.when(F.col("i") >= 0, F.col("any")).when(F.col("whole"), F.col("leaf")).otherwise(F.col("centre"))
     found = both.select("h1", "h2", "first", other.alias("other")).where(F.col("other.first") < F.col("first"))
     found = found.groupBy("h1", "h2").agg(F.min("other").alias("other"))
@@ -211,22 +229,21 @@ def repeated_lines(
     Only documents that lose a line appear. Rows that repeat an id and a text share their
     places, so neither loses a line to the other, and get one row here.
     """
-    all_lines = lines(docs, min_words)
-    words = F.col("words")
-    keyed = all_lines.select(
-        "place", "h1", "h2", F.size(words).alias("n"), F.array(*_half_keys(words, F.size(words))).alias("k")
-    )
-    keys = [F.min(F.col("k")[i]).alias(f"k{i}") for i in range(4)]
-    distinct = keyed.groupBy("h1", "h2").agg(
-        F.count("*").alias("times"), F.min("place").alias("first"), F.min("n").alias("n"), *keys
-    )
+    all_lines = store(_shaped(docs, min_words, near_words), "shapes").withColumn("place", _place())
+    keys = [F.min(F.col("keys")[i]).alias(f"k{i}") for i in range(4)]
+    distinct = all_lines.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("place").alias("first"), *keys)
     distinct = store(
-        distinct.select("h1", "h2", "times", "first", "n", F.array("k0", "k1", "k2", "k3").alias("keys")), "distinct"
+        distinct.select(
+            "h1", "h2", "times", "first", F.when(F.col("k0").isNotNull(), F.array("k0", "k1", "k2", "k3")).alias("keys")
+        ),
+        "distinct",
     )
-    near = _neighbours(docs, distinct, min_words, near_words, filter_bits)
-    again = distinct.where("times > 1").select("h1", "h2", F.col("first").alias("place"))
-    bounds = again.union(near).groupBy("h1", "h2").agg(F.min("place").alias("earliest"))
-    gone = all_lines.drop("words", "line").join(bounds, ["h1", "h2"]).where(F.col("place") > F.col("earliest"))
+    near = _neighbours(docs, distinct, filter_bits).withColumn("times", F.lit(0).cast("bigint"))
+    again = distinct.where("times > 1").select("h1", "h2", F.col("first").alias("place"), "times")
+    # A line that only has near ones stands once in all.
+    bounds = again.union(near).groupBy("h1", "h2").agg(F.min("place").alias("earliest"), F.max("times").alias("times"))
+    gone = spread_join(all_lines.drop("keys"), store(bounds, "bounds"), ["h1", "h2"], "times")
+    gone = gone.where(F.col("place") > F.col("earliest"))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 

@@ -12,6 +12,7 @@ from spanloom.session import ensure_checkpoint_dir
 
 SPACES = " \t\n\x0b\x0c\r"
 SUM_CHUNK = 256
+ROW_GROUP = 16 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,10 +40,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # A writer holds a whole row group per core, and rows may hold texts.
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], times: str, least: int = 1000) -> DataFrame:
+    """``rows`` joined with ``keyed`` on ``keys`` (no nulls), where a key may hold any share of the rows.
+
+    ``keyed`` has one row per key and in ``times`` no more than the key's rows. Both are read
+    twice, so they should be stored. Keys of over a thousandth of all rows, and over
+    ``least``, number fewer than a thousand: these are broadcast and their rows stay where they are.
+    """
+    total = rows.count()
+    large = F.col(times) > max(least, total // 1000)
+    hot = F.broadcast(keyed.where(large))
+    cold = rows.join(F.broadcast(keyed.where(large).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(keyed.where(~large), keys))
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """Bound what goes to Python at once: rows hold whole texts, so few of them suffice.
 

@@ -74,7 +74,7 @@ def edits(a, b):
     return row[-1]
 
 
-def removed_lines(docs, min_words=5, near_words=10):
+def removed_lines(docs, min_words=1, near_words=10):
     """(doc_id, text) of distinct ids -> doc_id -> numbers of the lines that go."""
     first, places = {}, []
     for doc, text in sorted(docs):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import queries, rank_profiles, secret_scan, turn_repair, whitening
+from spanloom.llm import queries, rank_profiles, secret_scan, shared, turn_repair, whitening
 
 SF_DIR = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -369,3 +369,18 @@ def test_sliding_entropy_equals_plain_counts(spark):
         fine = [Counter(w).values() for w in windows if set(w) <= set(alphabet)]
         wanted = max((-sum(c / 20 * np.log2(c / 20) for c in counts) for counts in fine), default=0.0)
         assert found == pytest.approx(wanted, abs=1e-9), (name, text)
+
+
+# -- joins with hot keys ----------------------------------------------------------------
+
+
+def test_spread_join_equals_a_join(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 1, rng.randrange(40)]), i) for i in range(500)]
+    left = spark.createDataFrame(rows, "k int, v int")
+    sizes = left.groupBy("k").count().where("k % 3 = 1").withColumnRenamed("count", "n")
+    plain = sorted(tuple(r) for r in left.join(sizes, "k").collect())
+    for least in (0, 5, 1000):
+        found = shared.spread_join(left, sizes, ["k"], "n", least=least)
+        assert found.columns == ["k", "v", "n"]
+        assert sorted(tuple(r) for r in found.collect()) == plain
