@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import attributes as at
 from spanloom.functions.predicates import breached
 from spanloom.functions.times import in_range, instant, seconds_between
+from spanloom.operators.metric_facts import counters
 from spanloom.operators.scaling import BROADCAST_ROWS, small_side, with_previous
 
 # Limits of a rule.
@@ -21,21 +22,13 @@ COMPARATORS = ["gt", "lt"]
 WATCHED_NAMES = 1000
 
 
-def resolve_rates(rules: DataFrame, points: DataFrame) -> DataFrame:
+def resolve_rates(rules: DataFrame, facts: DataFrame) -> DataFrame:
     """Add ``rated``: the rule's own flag, else whether its metric is a monotonic sum.
 
-    The newest valued raw point of the metric decides.
+    The metric's newest valued raw point decides, as the kept facts know it.
     """
-    kinds = (
-        points.where(F.col("value").isNotNull())
-        .groupBy("name", "kind", F.coalesce("is_monotonic", F.lit(False)).alias("mono"))
-        .agg(F.max("time").alias("t"))
-    )
-    counter = (F.col("kind") == "sum") & F.col("mono")
-    newest = kinds.groupBy(F.col("name").alias("metric")).agg(
-        F.max_by(counter, F.struct("t", "kind", "mono")).alias("_counter")
-    )
-    return rules.join(newest, "metric", "left").select(
+    known = counters(facts).select(F.col("name").alias("metric"), F.col("counter").alias("_counter"))
+    return rules.join(known, "metric", "left").select(
         *rules.columns,
         (F.coalesce("rate", "_counter", F.lit(False)) & (F.col("agg") != "increase")).alias("rated"),
     )
@@ -78,9 +71,9 @@ def only_watched(points: DataFrame, rules: DataFrame, facts: RuleFacts) -> DataF
     return points.join(rules.select(F.col("metric").alias("name")).distinct(), "name", "left_semi")
 
 
-def active_rules(rules: DataFrame, points: DataFrame) -> DataFrame:
+def active_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
     """Enabled rules with their resolved rate flag, ready to broadcast if few enough."""
-    return small_side(resolve_rates(rules.where("enabled"), points))
+    return small_side(resolve_rates(rules.where("enabled"), facts))
 
 
 def join_rules(points: DataFrame, rules: DataFrame, nested_predicates: bool) -> DataFrame:
@@ -169,16 +162,16 @@ def chosen_aggregate() -> Column:
     )
 
 
-def evaluate_series(rules: DataFrame, points: DataFrame, now: datetime) -> DataFrame:
+def evaluate_series(rules: DataFrame, points: DataFrame, now: datetime, facts: DataFrame) -> DataFrame:
     """Aggregate of each (rule, series) over the rule's look-back ending now.
 
+    ``facts`` is the kept table of ``metric_facts``; points are read from the longest look-back on.
     There is no upper time bound: points dated after now count as well.
     """
     enabled = rules.where("enabled")
-    facts = rule_facts(enabled)
-    points = only_watched(points, enabled, facts)
-    recent = in_range(points, "time", now - timedelta(seconds=facts.longest_secs))
-    paired = join_rules(with_steps(recent), active_rules(rules, points), facts.nested)
+    asked = rule_facts(enabled)
+    recent = in_range(only_watched(points, enabled, asked), "time", now - timedelta(seconds=asked.longest_secs))
+    paired = join_rules(with_steps(recent), active_rules(rules, facts), asked.nested)
     floor_us = F.unix_micros(instant(now)) - F.col("window_secs").cast("bigint") * 1_000_000
     paired = paired.where(F.unix_micros("time") >= floor_us)
     has_previous = F.coalesce(F.unix_micros("prev_time") >= floor_us, F.lit(False))
@@ -192,13 +185,13 @@ def evaluate_series(rules: DataFrame, points: DataFrame, now: datetime) -> DataF
     )
 
 
-def evaluate_rules(rules: DataFrame, points: DataFrame, now: datetime) -> DataFrame:
+def evaluate_rules(rules: DataFrame, points: DataFrame, now: datetime, facts: DataFrame) -> DataFrame:
     """Value, breach and most responsible series of every enabled rule.
 
     The responsible series has the largest (gt) or smallest (lt) aggregate of its own; it
     comes from the same pass over the series as the rule's value.
     """
-    series = evaluate_series(rules, points, now)
+    series = evaluate_series(rules, points, now, facts)
     toward = F.when(F.col("comparator") == "lt", F.col("series_value")).otherwise(-F.col("series_value"))
     culprit = F.min_by("attrs_json", F.struct(toward.alias("x"), "series_key")).alias("attrs_json")
     totals = (

@@ -7,14 +7,14 @@ where look-backs are long and points dense.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.predicates import breached
-from spanloom.functions.times import to_micros
+from spanloom.functions.times import in_range, to_micros
 from spanloom.operators.alerts import (
     active_rules,
     chosen_aggregate,
@@ -38,7 +38,7 @@ def checked_tick(tick_secs: int) -> int:
 
 
 def tick_values(
-    rules: DataFrame, points: DataFrame, first: datetime, last: datetime, tick_secs: int = TICK_SECS
+    rules: DataFrame, points: DataFrame, first: datetime, last: datetime, facts: DataFrame, tick_secs: int = TICK_SECS
 ) -> DataFrame:
     """Aggregate of each enabled rule at each tick from ``first`` to ``last`` that has data.
 
@@ -49,9 +49,11 @@ def tick_values(
     t0, t1 = to_micros(first), to_micros(last)
     top = (t1 - t0) // step
     enabled = rules.where("enabled")
-    facts = rule_facts(enabled)
-    points = only_watched(points, enabled, facts)
-    rows = join_rules(with_steps(points), active_rules(rules, points), facts.nested)
+    asked = rule_facts(enabled)
+    # Nothing older than the first tick's longest look-back counts at any tick.
+    since = first - timedelta(seconds=asked.longest_secs)
+    known = in_range(only_watched(points, enabled, asked), "time", since, last)
+    rows = join_rules(with_steps(known), active_rules(rules, facts), asked.nested)
 
     at_us, before_us = F.unix_micros("time"), F.unix_micros("prev_time")
     look_back = F.col("window_secs").cast("bigint") * 1_000_000
@@ -103,7 +105,7 @@ def tick_values(
 
 
 def backtest(
-    rules: DataFrame, points: DataFrame, first: datetime, last: datetime, tick_secs: int = TICK_SECS
+    rules: DataFrame, points: DataFrame, first: datetime, last: datetime, facts: DataFrame, tick_secs: int = TICK_SECS
 ) -> DataFrame:
     """Events that the rules would have produced: runs of breached ticks with their dwell.
 
@@ -112,7 +114,7 @@ def backtest(
     """
     step_secs = checked_tick(tick_secs)
     top = (to_micros(last) - to_micros(first)) // (step_secs * 1_000_000)
-    values = tick_values(rules, points, first, last, tick_secs)
+    values = tick_values(rules, points, first, last, facts, tick_secs)
     limits = rules.where("enabled").select(
         "rule_id", "comparator", "threshold", F.greatest(F.coalesce("for_secs", F.lit(0)), F.lit(0)).alias("dwell")
     )

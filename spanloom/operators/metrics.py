@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanloom import params
 from spanloom.functions import attributes as at
 from spanloom.functions.times import bucket, in_range, seconds_between
+from spanloom.operators.metric_facts import facts_of, newest_meta
 from spanloom.operators.scaling import small_side
 
 
@@ -118,18 +119,11 @@ def metric_exemplars(
 
 
 def metric_meta(points: DataFrame, rollups: DataFrame, name: str | None = None) -> DataFrame:
-    """Newest kind, monotonicity and unit per metric, from raw points or rollups."""
-    columns = ["name", "kind", "is_monotonic", "unit"]
-    both = (
-        named(points, name)
-        .select(*columns, F.col("time").alias("_t"), F.lit(1).alias("_raw"))
-        .unionByName(named(rollups, name).select(*columns, F.col("bucket").alias("_t"), F.lit(0).alias("_raw")))
-    )
-    # The few combinations per metric first, with fixed-width buffers only.
-    seen = both.groupBy(*columns, "_raw").agg(F.max("_t").alias("_t"))
-    order = F.struct("_t", "_raw", "kind", "is_monotonic", "unit")
-    newest = seen.groupBy("name").agg(F.max_by(F.struct("kind", "is_monotonic", "unit"), order).alias("m"))
-    return newest.select("name", "m.kind", "m.is_monotonic", "m.unit")
+    """Newest kind, monotonicity and unit per metric, from all raw points or rollups.
+
+    It looks through whole tables; reads take the kept facts instead.
+    """
+    return newest_meta(facts_of(named(points, name), named(rollups, name)))
 
 
 def rank_series(points: DataFrame, cap: int | None) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +139,7 @@ def rank_series(points: DataFrame, cap: int | None) -> tuple[DataFrame, DataFram
 
 
 def metric_facet(
-    points: DataFrame,
+    facts: DataFrame,
     rollups: DataFrame,
     now: datetime,
     *,
@@ -159,6 +153,7 @@ def metric_facet(
 ) -> Facet:
     """One line per attribute set: the mean level, or the rate of a monotonic sum.
 
+    ``facts`` is the kept table of ``metric_facts``.
     A series has at most about a thousand output buckets, so the rate window per
     series is small whatever the input.
     """
@@ -169,7 +164,7 @@ def metric_facet(
         .groupBy("name", "attrs_json", t)
         .agg(F.try_divide(F.sum("sum"), F.sum("count")).alias("mean"), F.max("max").alias("level"))
     )
-    meta = metric_meta(points, rollups, name).withColumn(
+    meta = newest_meta(facts, name).withColumn(
         "rated", F.coalesce((F.col("kind") == "sum") & F.col("is_monotonic"), F.lit(False))
     )
     meta = small_side(meta)

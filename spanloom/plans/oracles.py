@@ -443,6 +443,11 @@ FROM (SELECT name, make_timestamp(us) AS t, round(value, 9) AS v, ex_trace AS tr
 LEFT JOIN spans s ON s.trace_id = e.trace_id AND s.span_id = e.span_id""",
     "metric_meta": _with(METRICS)
     + """SELECT name, arg_max(kind, us) AS kind, bool_or(is_monotonic) AS is_monotonic, arg_max(unit, us) AS unit
+FROM points GROUP BY name""",
+    "metric_facts_stream": _with(METRICS)
+    + """SELECT name, arg_max(kind, us) AS kind, bool_or(is_monotonic) AS is_monotonic, arg_max(unit, us) AS unit,
+coalesce(arg_max(kind = 'sum' AND coalesce(is_monotonic, false), us), false) AS counter,
+make_timestamp(max(us)) AS last_time, make_timestamp(max(us)) AS last_valued
 FROM points GROUP BY name""",
     "sql_functions": _with(METRICS)
     + """SELECT make_timestamp(us - us % 86400000000) AS day, series_key, min(counts[1] + 1) AS least_first,

@@ -23,6 +23,7 @@ from spanloom.operators import (
     histogram_reads,
     labels,
     logs,
+    metric_facts,
     metrics,
     retention,
     rollups,
@@ -32,7 +33,7 @@ from spanloom.operators import (
     traces,
 )
 from spanloom.session import configure, ensure_checkpoint_dir
-from spanloom.sources import otlp, storage
+from spanloom.sources import fact_store, otlp, storage
 from spanloom.sources import sample_tables as sample
 from spanloom.streaming import ingest
 
@@ -85,6 +86,19 @@ def _rollups(spark, sf_dir) -> DataFrame:
     return rollups.rollup_points(sample.metrics(spark, sf_dir))
 
 
+_facts_paths: dict[tuple[str, str], str] = {}
+
+
+def _facts(spark, sf_dir) -> DataFrame:
+    """The kept facts of the metric points, folded once per session as an ingest would."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _facts_paths:
+        path = f"{_folder(spark)}/facts"
+        fact_store.keep(metric_facts.facts_of(sample.metrics(spark, sf_dir)), path)
+        _facts_paths[key] = path
+    return fact_store.read(spark, _facts_paths[key])
+
+
 # --- traces and services ---------------------------------------------------
 
 
@@ -350,7 +364,7 @@ def spans_in_window(spark, sf_dir):
 def _facet(spark, sf_dir, name=None, **options):
     now = _event_now(spark, sf_dir)
     return metrics.metric_facet(
-        sample.metrics(spark, sf_dir), _rollups(spark, sf_dir), now, name=name, **ALL_TIME, **options
+        _facts(spark, sf_dir), _rollups(spark, sf_dir), now, name=name, **ALL_TIME, **options
     )
 
 
@@ -437,26 +451,28 @@ def catalog_counter_glyph(spark, sf_dir):
 @query
 def alert_eval(spark, sf_dir):
     now = _event_now(spark, sf_dir)
-    found = alerts.evaluate_rules(sample.rules(spark), sample.metrics(spark, sf_dir), now)
+    found = alerts.evaluate_rules(sample.rules(spark), sample.metrics(spark, sf_dir), now, _facts(spark, sf_dir))
     return found.select("rule_id", "value", "breached", "attributes")
 
 
 @query
 def alert_series(spark, sf_dir):
     now = _event_now(spark, sf_dir)
-    found = alerts.evaluate_series(sample.rules(spark), sample.metrics(spark, sf_dir), now)
+    found = alerts.evaluate_series(sample.rules(spark), sample.metrics(spark, sf_dir), now, _facts(spark, sf_dir))
     return found.select("rule_id", "series_key", "attrs_json", "series_value")
 
 
 @query
 def alert_ticks(spark, sf_dir):
     now = _event_now(spark, sf_dir)
-    return backtest.tick_values(sample.rules(spark), sample.metrics(spark, sf_dir), EPOCH, now, TICK_SECS)
+    points, facts = sample.metrics(spark, sf_dir), _facts(spark, sf_dir)
+    return backtest.tick_values(sample.rules(spark), points, EPOCH, now, facts, TICK_SECS)
 
 
 def _events(spark, sf_dir):
     now = _event_now(spark, sf_dir)
-    return backtest.backtest(sample.rules(spark), sample.metrics(spark, sf_dir), EPOCH, now, TICK_SECS)
+    points, facts = sample.metrics(spark, sf_dir), _facts(spark, sf_dir)
+    return backtest.backtest(sample.rules(spark), points, EPOCH, now, facts, TICK_SECS)
 
 
 @query
@@ -466,16 +482,12 @@ def alert_backtest(spark, sf_dir):
 
 @query
 def alert_list(spark, sf_dir):
-    return alert_views.list_alerts(
-        sample.rules(spark), _events(spark, sf_dir), sample.metrics(spark, sf_dir), _rollups(spark, sf_dir)
-    )
+    return alert_views.list_alerts(sample.rules(spark), _events(spark, sf_dir), _facts(spark, sf_dir))
 
 
 @query
 def alert_events_feed(spark, sf_dir):
-    return alert_views.event_feed(
-        _events(spark, sf_dir), sample.rules(spark), sample.metrics(spark, sf_dir), _rollups(spark, sf_dir)
-    )
+    return alert_views.event_feed(_events(spark, sf_dir), sample.rules(spark), _facts(spark, sf_dir))
 
 
 @query
@@ -485,16 +497,14 @@ def alert_history(spark, sf_dir):
 
 @query
 def alert_firing_count(spark, sf_dir):
-    listed = alert_views.list_alerts(
-        sample.rules(spark), _events(spark, sf_dir), sample.metrics(spark, sf_dir), _rollups(spark, sf_dir)
-    )
+    listed = alert_views.list_alerts(sample.rules(spark), _events(spark, sf_dir), _facts(spark, sf_dir))
     return alert_views.firing_count(listed)
 
 
 def _step(spark, sf_dir):
     """Events open at the last grid tick, advanced by one evaluation at the newest event."""
     now = _event_now(spark, sf_dir)
-    evaluated = alerts.evaluate_rules(sample.rules(spark), sample.metrics(spark, sf_dir), now)
+    evaluated = alerts.evaluate_rules(sample.rules(spark), sample.metrics(spark, sf_dir), now, _facts(spark, sf_dir))
     return alerts.alert_step(evaluated, _events(spark, sf_dir), now)
 
 
@@ -628,6 +638,18 @@ def metric_ingest_stream(spark, sf_dir):
     return _rollup_columns(storage.read_rollups(spark, f"{folder}/out"))
 
 
+@query
+def metric_facts_stream(spark, sf_dir):
+    """The facts that the metric stream keeps, batch after batch, and what reads take from them."""
+    folder = _folder(spark)
+    rows = _as_stream(sample.metrics(spark, sf_dir), folder)
+    paths = (f"{folder}/raw", f"{folder}/out", f"{folder}/c")
+    ingest.start_metric_ingest(rows, *paths, ONCE, 86400.0, facts_path=f"{folder}/facts").awaitTermination()
+    kept = fact_store.read(spark, f"{folder}/facts")
+    times = kept.groupBy("name").agg(F.max("last_time").alias("last_time"), F.max("last_valued").alias("last_valued"))
+    return metric_facts.newest_meta(kept).join(metric_facts.counters(kept), "name").join(times, "name")
+
+
 @query
 def retention_sweep(spark, sf_dir):
     """The four tables written, swept and read back; figures as in ``retention_prune``."""

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanloom.operators.alerts import alert_step, evaluate_rules, notifications
 from spanloom.operators.backtest import TICK_SECS, checked_tick
+from spanloom.operators.rule_admin import cascade_events
 from spanloom.schemas import EVENTS
 
 TRANSITIONS = (
@@ -25,18 +26,19 @@ def _folder(path: str, part: str, tick: int) -> str:
 
 
 def run_tick(
-    spark: SparkSession, rules: DataFrame, points: DataFrame, path: str, tick: int, now: datetime
+    spark: SparkSession, rules: DataFrame, points: DataFrame, facts: DataFrame, path: str, tick: int, now: datetime
 ) -> None:
     """One evaluation of all rules. Reads the open events of the tick before, writes this tick's.
 
+    Events of rules that are gone go with them, without a notification.
     Every output folder belongs to its tick and is replaced when the tick runs again.
     """
     if tick > 0:
-        before = spark.read.schema(EVENTS).parquet(_folder(path, "open", tick - 1))
+        before = cascade_events(spark.read.schema(EVENTS).parquet(_folder(path, "open", tick - 1)), rules)
     else:
         before = spark.createDataFrame([], EVENTS)
     # Written once: points may arrive meanwhile, and all three outputs must agree.
-    evaluate_rules(rules, points, now).write.mode("overwrite").parquet(_folder(path, "evaluated", tick))
+    evaluate_rules(rules, points, now, facts).write.mode("overwrite").parquet(_folder(path, "evaluated", tick))
     evaluated = spark.read.parquet(_folder(path, "evaluated", tick))
     events, transitions = alert_step(evaluated, before, now)
     events.where("resolved_at IS NULL").write.mode("overwrite").parquet(_folder(path, "open", tick))
@@ -54,6 +56,7 @@ def start_alert_loop(
     spark: SparkSession,
     load_rules: Callable[[], DataFrame],
     load_points: Callable[[], DataFrame],
+    load_facts: Callable[[], DataFrame],
     path: str,
     checkpoint: str,
     tick_secs: int = TICK_SECS,
@@ -63,7 +66,7 @@ def start_alert_loop(
     timer = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def tick(_: DataFrame, batch_id: int) -> None:
-        run_tick(spark, load_rules(), load_points(), path, batch_id, clock())
+        run_tick(spark, load_rules(), load_points(), load_facts(), path, batch_id, clock())
 
     pace = {"processingTime": f"{checked_tick(tick_secs)} seconds"}
     return timer.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(**pace).start()

@@ -5,12 +5,17 @@ import pytest
 from builders import NOW, ago, points, rollups, rule, rules
 from pyspark.sql import functions as F
 
-from spanloom.operators import alert_views, backtest, rule_admin
-from spanloom.operators.alerts import alert_step, evaluate_rules, notifications
+from spanloom.operators import alert_views, alerts, backtest, rule_admin
+from spanloom.operators.alerts import alert_step, notifications
+from spanloom.operators.metric_facts import facts_of
 from spanloom.schemas import EVENTS
 from spanloom.sources.rules import InvalidRules, normalize_rules, read_rules
 
 
+def evaluate_rules(declared, pts, now):
+    return alerts.evaluate_rules(declared, pts, now, facts_of(pts))
+
+
 def values(spark, pts, *overs):
     """Value and breach of one rule per set of options, all evaluated together."""
     declared = rules(spark, *[rule(i, **over) for i, over in enumerate(overs)])
@@ -191,7 +196,7 @@ def test_backtest_equals_repeated_steps(spark):
         closed = history.where("resolved_at is not null").collect()
         after, _ = alert_step(evaluate_rules(declared, known, now), history, now)
         history = spark.createDataFrame(closed + after.collect(), EVENTS)
-    found = backtest.backtest(declared, df, start, start + timedelta(seconds=60 * ticks), 60)
+    found = backtest.backtest(declared, df, start, start + timedelta(seconds=60 * ticks), facts_of(df), 60)
     assert sorted(map(str, found.collect())) == sorted(map(str, history.collect()))
     assert found.count() > 4
 
@@ -207,13 +212,13 @@ def test_views(spark):
     events = spark.createDataFrame(rows, EVENTS)
     pts = points(spark, [dict(kind="gauge", unit="s")])
     rolled = rollups(spark, [dict(bucket=NOW, name="h", kind="histogram", unit="By", sum=1.0)])
-    listed = alert_views.list_alerts(declared, events, pts, rolled)
+    listed = alert_views.list_alerts(declared, events, facts_of(pts, rolled))
     assert {r["name"]: (r["firing"], r["kind"], r["unit"]) for r in listed.collect()} == {
         "a": (False, "histogram", "By"), "b": (True, "gauge", "s"), "c": (True, "gauge", "s"),
     }
     assert [r["name"] for r in alert_views.rules_by_urgency(listed).collect()] == ["b", "c", "a"]
     assert alert_views.firing_count(listed).first()["firing"] == 1
-    feed = alert_views.event_feed(events, declared, pts, rolled)
+    feed = alert_views.event_feed(events, declared, facts_of(pts, rolled))
     assert [(r["rule_name"], r["value"]) for r in feed.collect()] == [("c", 7.0), ("b", 9.0), ("b", 8.0)]
     history = {r["rule_id"]: (r["recent_fires"], r["open_since"]) for r in alert_views.rule_history(events, NOW).collect()}
     assert history == {1: (1, ago(days=1)), 3: (1, ago(hours=2))}

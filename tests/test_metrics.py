@@ -5,6 +5,7 @@ from builders import NOW, ago, points, rollups
 from pyspark.sql import functions as F
 
 from spanloom.operators import catalog, histogram_reads, labels, metrics
+from spanloom.operators.metric_facts import facts_of
 from spanloom.operators.rollups import as_rollup_rows, merge_rollups, rollup_points
 
 
@@ -83,7 +84,7 @@ def test_facet_rate(spark):
                      sum=None if level is None else float(level))
             )
     empty = points(spark, [dict(name="other")])
-    facet = metrics.metric_facet(empty, rollups(spark, rows), NOW, name="m")
+    facet = metrics.metric_facet(facts_of(empty, rollups(spark, rows)), rollups(spark, rows), NOW, name="m")
     lines = {}
     for r in facet.points.orderBy("t").collect():
         lines.setdefault(r["attrs_json"], []).append(r["v"])
@@ -97,10 +98,10 @@ def test_facet_rate(spark):
 def test_facet_cap_and_null_kind(spark):
     rows = [dict(bucket=ago(minutes=5 * i), kind=None, attrs={"s": str(s)}, sum=1.0) for s in range(5) for i in range(s + 1)]
     empty = points(spark, [dict(name="other")])
-    facet = metrics.metric_facet(empty, rollups(spark, rows), NOW, name="m", cap=2)
+    facet = metrics.metric_facet(facts_of(empty, rollups(spark, rows)), rollups(spark, rows), NOW, name="m", cap=2)
     assert facet.summary.first()["truncated"] == 3 and facet.summary.first()["rated"] is False
     assert {r["attrs_json"] for r in facet.points.collect()} == {'{"s": "4"}', '{"s": "3"}'}
-    assert metrics.metric_facet(empty, rollups(spark, rows), NOW, name="absent").points.count() == 0
+    assert metrics.metric_facet(facts_of(empty, rollups(spark, rows)), rollups(spark, rows), NOW, name="absent").points.count() == 0
 
 
 def test_histogram_series(spark):

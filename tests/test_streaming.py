@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from spanloom import schemas
 from spanloom.functions.predicates import breached
-from spanloom.operators.alerts import alert_step
+from spanloom.operators.alerts import alert_step, evaluate_rules
+from spanloom.operators.metric_facts import counters, facts_of, newest_meta
 from spanloom.operators.rollups import rollup_points
 from spanloom.schemas import EVENTS
-from spanloom.sources import otlp, storage
+from spanloom.sources import fact_store, otlp, storage
 from spanloom.streaming import alerting, ingest
 
 ONCE = {"availableNow": True}
@@ -137,8 +138,62 @@ def test_tick_replay(spark, tmp_path):
     for i, level in enumerate((90, 95, 5)):
         now = NOW + timedelta(seconds=400 * i)
         for _ in range(2):
-            alerting.run_tick(spark, declared, points(spark, [dict(value=level, time=now)]), path, i, now)
+            seen = points(spark, [dict(value=level, time=now)])
+            alerting.run_tick(spark, declared, seen, facts_of(seen), path, i, now)
     events = alerting.read_events(spark, path, 2).collect()
     assert [tuple(e) for e in events] == [(1, 90.0, NOW, NOW, NOW + timedelta(seconds=800))]
     sent = spark.read.json(f"{path}/notifications").collect()
     assert sorted(json.loads(r["payload"])["state"] for r in sent) == ["firing", "resolved"]
+
+
+def test_events_of_removed_rules_go(spark, tmp_path):
+    path, high = str(tmp_path / "alerts"), points(spark, [dict(value=90)])
+    both = rules(spark, rule(1), rule(2))
+    alerting.run_tick(spark, both, high, facts_of(high), path, 0, NOW)
+    assert alerting.read_events(spark, path, 0).count() == 2
+    later = NOW + timedelta(seconds=30)
+    alerting.run_tick(spark, both.where("rule_id = 2"), high, facts_of(high), path, 1, later)
+    assert [(r["rule_id"], r["resolved_at"]) for r in alerting.read_events(spark, path, 1).collect()] == [(2, None)]
+    sent = spark.read.json(f"{path}/notifications/tick=1").collect()
+    assert sent == []
+
+
+def test_metric_facts_are_kept_batch_by_batch(spark, tmp_path):
+    batches = [
+        [dict(time=ago(minutes=9), kind="gauge", unit="s"), dict(name="c", time=ago(minutes=9), kind="sum", mono=True)],
+        [dict(time=ago(minutes=2), kind="sum", mono=True, unit="1", value=None), dict(name="c", time=ago(days=9), kind="gauge")],
+        [dict(name="new", time=ago(minutes=1), kind="histogram", unit="By")],
+    ]
+    source, path, check = (str(tmp_path / n) for n in ("in", "facts", "c"))
+    for rows in batches:
+        points(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        rows_in = stream(spark, source, points(spark, rows).schema)
+        ingest.start_metric_ingest(
+            rows_in, str(tmp_path / "raw"), str(tmp_path / "out"), check, ONCE, facts_path=path
+        ).awaitTermination()
+    kept = fact_store.read(spark, path)
+    everything = points(spark, [r for rows in batches for r in rows])
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, facts_of(everything).collect()), key=str)
+    meta = {r["name"]: (r["kind"], r["unit"]) for r in newest_meta(kept).collect()}
+    assert meta == {"m": ("sum", "1"), "c": ("sum", None), "new": ("histogram", "By")}
+    # The newest point of m has no value, so its newest valued one decides.
+    assert {r["name"]: r["counter"] for r in counters(kept).collect()} == {"m": False, "c": True, "new": False}
+    # The same batch again, and a version that was never finished, change nothing.
+    fact_store.keep(facts_of(points(spark, batches[0])), path)
+    assert {tuple(r) for r in fact_store.read(spark, path).collect()} == {tuple(r) for r in facts_of(everything).collect()}
+    (tmp_path / "facts" / "version=99").mkdir()
+    assert fact_store.read(spark, path).count() == facts_of(everything).count()
+    finished = [p for p in (tmp_path / "facts").iterdir() if (p / "_SUCCESS").exists()]
+    assert len(finished) == fact_store.KEEP_VERSIONS
+    assert fact_store.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_alert_scans_have_a_time_bound(spark, tmp_path):
+    """Neither kinds nor rates of metrics are looked up in the points."""
+    points(spark, [dict(value=90)]).write.parquet(str(tmp_path / "points"))
+    stored = spark.read.parquet(str(tmp_path / "points"))
+    fact_store.keep(facts_of(stored), str(tmp_path / "facts"))
+    found = evaluate_rules(rules(spark, rule()), stored, NOW, fact_store.read(spark, str(tmp_path / "facts")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "value" in line]
+    assert scans and all("GreaterThanOrEqual(time" in line for line in scans)
