@@ -1,9 +1,14 @@
 """Span trees of many traces at once.
 
-A trace may be as large as the table, so nothing here gathers a trace in one place.
-Values travel along parent links by pointer doubling: in round k every span knows its
-ancestor 2^k steps up, so a tree of depth d takes log2(d) rounds of joins. Each round
-ends in a table in shared storage, which keeps the plan short and survives lost executors.
+Traces of up to ``LARGE_TRACE`` spans are dealt to tasks whole: one shuffle, after which a task
+walks many trees together on arrays, by pointer doubling.
+
+A larger trace may be as large as the table, so it is never gathered. It is contracted in
+rounds (``_contract``): leaves fold into their parents, and of a chain every span whose hash
+is less than its neighbours' is cut out, its child linked to its parent. What is left shrinks
+by a third at least per round, by far more for wide trees; each round writes what is left
+and the spans that went. Once a trace's rest is small enough a task solves it as above, and the
+rounds are undone in reverse, each looking up only what later rounds left.
 
 Span ids are unique within a trace (see ``dedupe_spans``). Spans on a parent cycle have
 no root; they are left out, as nothing reaches them from a root.
@@ -11,138 +16,311 @@ no root; they are left out, as nothing reaches them from a root.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from spanloom.functions.predicates import ERROR_STATUS
-from spanloom.operators.scaling import with_running_sum
+from spanloom.operators.scaling import small_side, with_running_sum
 from spanloom.session import written
 
 KEY = ["trace_id", "span_id"]
-# Rounds after which the largest trace is measured, to tell deep trees from cycles.
-FREE_ROUNDS = 8
+# Spans of a trace that one task may hold, and rows a task works on at once.
+LARGE_TRACE = 100_000
+CHUNK_ROWS = 200_000
 SIBLING_CHUNK_MICROS = 1_000_000
 MIN_WIDTH_PERCENT = 0.4
 
 
-def link_tree(spans: DataFrame) -> DataFrame:
-    """Skeleton of the tree: the parent only when it is present, times in microseconds."""
-    skeleton = spans.select(
+# -- trees in a task ---------------------------------------------------------
+
+
+class _Forest:
+    """Trees on arrays: ``parent`` holds row numbers, -1 for a root."""
+
+    def __init__(self, traces: np.ndarray, spans: np.ndarray, parents: np.ndarray):
+        """``traces`` are numbers; ids are strings, a missing or absent parent makes a root."""
+        n = len(traces)
+        codes, _ = pd.factorize(np.concatenate([spans, parents]))
+        width = codes.max(initial=0) + 2
+        own, wanted = traces * width + codes[:n], traces * width + codes[n:]
+        order = np.argsort(own, kind="stable")
+        at = np.searchsorted(own[order], wanted)
+        found = (codes[n:] >= 0) & (at < n)
+        found[found] = own[order][at[found]] == wanted[found]
+        self.parent = np.full(n, -1)
+        self.parent[found] = order[at[found]]
+        steps = (self.parent >= 0).astype(np.int64)
+        self.depth, self.rooted = self._down(steps, np.add, 0)
+
+    def _hops(self) -> Iterator[np.ndarray]:
+        """The ancestor 1, 2, 4, ... steps up, while any tree has one; cycles end the walk too."""
+        up, rounds = self.parent, 0
+        while (up >= 0).any() and 2**rounds <= 2 * len(up):
+            yield up
+            up, rounds = np.where(up >= 0, up[up], -1), rounds + 1
+        self._last = up
+
+    def _down(self, values: np.ndarray, fold, neutral) -> tuple[np.ndarray, np.ndarray]:
+        for up in self._hops():
+            values = fold(values, np.where(up >= 0, values[up], neutral))
+        return values, self._last < 0
+
+    def down(self, values: np.ndarray, fold, neutral) -> np.ndarray:
+        """Fold of the values from the root to each row."""
+        return self._down(values, fold, neutral)[0]
+
+    def up(self, values: np.ndarray, fold) -> np.ndarray:
+        """Fold of the values of each row and all its descendants."""
+        values = values.copy()
+        for up in self._hops():
+            there = up >= 0
+            before = values[there]
+            fold.at(values, up[there], before)
+        return values
+
+
+def _trace_chunks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Whole traces of sorted batches, several at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        trace = batch.column("trace_id")
+        if size >= rows and trace[0] != held[-1].column("trace_id")[-1]:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        elif size >= rows:
+            names = trace.to_numpy(zero_copy_only=False)
+            cut = int(np.argmax(names != names[0])) if (names != names[0]).any() else 0
+            if cut:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                batch, held, size = batch.slice(cut), [], 0
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _per_chunk(rows: DataFrame, order: list[str], solve, schema: str, chunk_rows: int) -> DataFrame:
+    """``solve`` over chunks of whole traces, dealt by trace; it gets columns and gives columns."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _trace_chunks(batches, chunk_rows):
+            data = {name: chunk.column(name).to_numpy() for name in chunk.column_names}
+            data["_trace"] = pd.factorize(data["trace_id"])[0].astype(np.int64)
+            found = solve(data)
+            columns = [pa.array(found[f.name], type=f.type, from_pandas=True) for f in arrow]
+            yield from pa.Table.from_arrays(columns, schema=arrow).to_batches(max_chunksize=50_000)
+
+    return rows.repartition("trace_id").sortWithinPartitions("trace_id", *order).mapInArrow(work, schema)
+
+
+_ANALYZED = (
+    "trace_id string, span_id string, parent string, start_us bigint, end_us bigint, depth bigint, position bigint, "
+    "subtree_size bigint, subtree_end_us bigint, skewed boolean, on_critical_path boolean"
+)
+
+
+def _analyze_chunk(data: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What ``analyze_trees`` gives, for rows sorted by trace, start and span id."""
+    trace = data["_trace"]
+    skewed = np.zeros(trace.max() + 1, dtype=bool)
+    skewed[trace[data["end_us"] < data["start_us"]]] = True
+    whole = _Forest(trace, data["span_id"], data["parent"])
+    kept = np.flatnonzero(whole.rooted)
+    data = {name: column[kept] for name, column in data.items()}
+    trace, n = data["_trace"], len(kept)
+    forest = _Forest(trace, data["span_id"], data["parent"])
+    parent, rows = forest.parent, np.arange(n)
+    size = forest.up(np.ones(n, dtype=np.int64), np.add)
+    end = forest.up(data["end_us"], np.maximum)
+
+    # Rows are in sibling order, so sums over a stable sort by parent are those of earlier siblings.
+    group = np.where(parent >= 0, parent, n + trace)
+    order = np.argsort(group, kind="stable")
+    upto = np.cumsum(size[order])
+    first = np.r_[True, group[order][1:] != group[order][:-1]] if n else np.zeros(0, dtype=bool)
+    before = np.repeat((upto - size[order])[first], np.diff(np.r_[np.flatnonzero(first), n]))
+    earlier = np.empty(n, dtype=np.int64)
+    earlier[order] = upto - size[order] - before
+    position = forest.down(earlier + (parent >= 0), np.add, 0)
+
+    # A parent's child that ends last, the first of them on a tie, carries the path on.
+    order = np.lexsort((rows, -end, group))
+    chosen = np.ones(n, dtype=bool)
+    chosen[order] = np.r_[True, group[order][1:] != group[order][:-1]] if n else chosen[order]
+    path = forest.down((chosen | (parent < 0)).astype(np.int8), np.minimum, 1)
+    return {
+        **{name: data[name] for name in ("trace_id", "span_id", "start_us", "end_us")},
+        "parent": np.where(parent >= 0, data["parent"], None),
+        "depth": forest.depth,
+        "position": position,
+        "subtree_size": size,
+        "subtree_end_us": end,
+        "skewed": skewed[trace],
+        "on_critical_path": (path == 1) & ~skewed[trace],
+    }
+
+
+def _by_size(rows: DataFrame, large: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of traces that a task may hold, rows of larger ones or None); ``rows`` is stored."""
+    big = written(rows.groupBy("trace_id").count().where(F.col("count") > large).select("trace_id"), "large")
+    if big.isEmpty():
+        return rows, None
+    big = small_side(big)
+    return rows.join(big, "trace_id", "left_anti"), rows.join(big, "trace_id", "left_semi")
+
+
+# -- trees over many tasks ---------------------------------------------------
+
+
+def _skeleton(spans: DataFrame) -> DataFrame:
+    return spans.select(
         *KEY,
         "parent_span_id",
         F.unix_micros("start_time").alias("start_us"),
         F.unix_micros("end_time").alias("end_us"),
     )
-    present = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_present"))
+
+
+def _linked(skeleton: DataFrame) -> DataFrame:
+    present = skeleton.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_present"))
     linked = skeleton.join(present, ["trace_id", "parent_span_id"], "left")
-    return linked.select(
-        *KEY, F.when(F.col("_present"), F.col("parent_span_id")).alias("parent"), "start_us", "end_us"
-    )
+    parent = F.when(F.col("_present"), F.col("parent_span_id")).alias("parent")
+    return linked.select(*[parent if c == "parent_span_id" else c for c in skeleton.columns])
+
+
+def link_tree(spans: DataFrame) -> DataFrame:
+    """Skeleton of the tree: the parent only when it is present, times in microseconds."""
+    return _linked(_skeleton(spans)).select(*KEY, "parent", "start_us", "end_us")
 
 
 def _saved(df: DataFrame) -> DataFrame:
     return written(df, "tree")
 
 
-def _rounds(start: DataFrame, advance):
-    """Saved states, one per round, until no pointer (``ptr``) is left or only cycles are.
+_FOLDS = {
+    "sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)), np.add, 0),
+    "max": (F.max, F.greatest, np.maximum, None),
+    "min": (F.min, F.least, np.minimum, np.iinfo(np.int64).max),
+}
 
-    ``advance`` gets the states so far and gives the rows of the next one.
-    """
-    states, limit = [start], None
-    while not states[-1].where(F.col("ptr").isNotNull()).isEmpty():
-        rounds = len(states) - 1
-        if rounds >= FREE_ROUNDS and limit is None:
-            limit = start.groupBy("trace_id").count().agg(F.max("count")).first()[0]
-        if limit is not None and 2**rounds > limit:
-            break
-        states.append(_saved(advance(states)))
-    return states
-
-
-def subtree_aggregate(
-    tree: DataFrame, sums: list[str] = (), maxima: list[str] = (), keep: list[str] = ()
-) -> DataFrame:
-    """Sum or maximum of each column over a span and all its descendants.
 
-    In round k every span adds what the spans exactly 2^k below have gathered; those
-    are grouped by ancestor first, so wide fan-outs combine before the shuffle. The
-    tree must be saved; columns in ``keep`` ride along.
-    """
-    values = [*sums, *maxima, *keep]
-
-    def advance(state: DataFrame) -> DataFrame:
-        below = (
-            state.where(F.col("ptr").isNotNull())
-            .groupBy("trace_id", F.col("ptr").alias("span_id"))
-            .agg(
-                *[F.sum(c).alias(f"_{c}") for c in sums],
-                *[F.max(c).alias(f"_{c}") for c in maxima],
-            )
-        )
-        grown = state.join(below, KEY, "left").select(
-            *KEY,
-            "ptr",
-            *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums],
-            *[F.greatest(c, f"_{c}").alias(c) for c in maxima],
-            *keep,
-        )
-        hop = state.select("trace_id", F.col("span_id").alias("ptr"), F.col("ptr").alias("_next"))
-        return grown.join(hop, ["trace_id", "ptr"], "left").select(
-            *KEY, F.col("_next").alias("ptr"), *values
-        )
+def _grown(values: dict[str, str], prefix: str) -> dict[str, Column]:
+    """Each column folded with its namesake behind ``prefix``, which may be NULL."""
+    return {c: _FOLDS[how][1](F.col(c), F.col(f"{prefix}{c}")) for c, how in values.items()}
 
-    start = tree.select(*KEY, F.col("parent").alias("ptr"), *values)
-    return _rounds(start, lambda states: advance(states[-1]))[-1].select(*KEY, *values)
 
+def _contract_once(state: DataFrame, number: int, ups: dict[str, str], downs: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """One round: (leaves that went, the other spans with ``_out`` for those cut out of a chain)."""
+    columns = [*KEY, "ptr", *ups, *downs]
+    linked = F.col("ptr").isNotNull()
+    parents = state.where(linked).select("trace_id", F.col("ptr").alias("span_id")).distinct()
+    flagged = state.join(parents.withColumn("_inner", F.lit(True)), KEY, "left")
+    leaf = F.col("_inner").isNull()
+    raked = _saved(flagged.where(leaf).select(columns))
+    below = flagged.where(linked).groupBy("trace_id", F.col("ptr").alias("span_id"))
+    below = below.agg(
+        F.count_if("_inner").alias("_kids"),
+        F.min(F.when(F.col("_inner"), F.col("span_id"))).alias("_only"),
+        *[_FOLDS[how][0](F.when(leaf, F.col(c))).alias(f"_b_{c}") for c, how in ups.items()],
+    )
+    inner = flagged.where("_inner").join(below, KEY).withColumns(_grown(ups, "_b_"))
+    rank = lambda c: F.xxhash64(F.lit(number), c)
+    least = (rank("span_id") < rank("_only")) & (rank("span_id") < rank("ptr"))
+    marked = inner.select(*columns, "_only", (linked & (F.col("_kids") == 1) & least).alias("_out"))
+
+    # What a span that is cut out tells its child (a new parent, its own weight) and its parent.
+    out = marked.where("_out")
+    nothing = lambda names, prefix: [F.lit(None).cast("bigint").alias(f"{prefix}{c}") for c in names]
+    to_child = out.select(
+        "trace_id", F.col("_only").alias("span_id"), F.col("ptr").alias("_new"),
+        *[F.col(c).alias(f"_m_{c}") for c in downs], *nothing(ups, "_m_"),
+    )
+    to_parent = out.select(
+        "trace_id", F.col("ptr").alias("span_id"), F.lit(None).cast("string").alias("_new"),
+        *nothing(downs, "_m_"), *[F.col(c).alias(f"_m_{c}") for c in ups],
+    )
+    told = to_child.unionByName(to_parent).groupBy(*KEY)
+    told = told.agg(F.max("_new").alias("_new"), *[_FOLDS[how][0](f"_m_{c}").alias(f"_m_{c}") for c, how in {**ups, **downs}.items()])
+    rest = marked.join(told, KEY, "left").withColumns(_grown({**ups, **downs}, "_m_"))
+    rest = rest.withColumn("ptr", F.when(F.col("_out"), F.col("ptr")).otherwise(F.coalesce("_new", "ptr")))
+    return raked, _saved(rest.select(*columns, "_only", "_out"))
 
-def path_aggregate(tree: DataFrame, sums: list[str] = (), minima: list[str] = ()) -> DataFrame:
-    """Sum or minimum of each column from a span up to its root; spans on a cycle drop out.
 
-    A span whose pointer is gone is finished: it is written once, in the round that
-    finished it, and later rounds only look it up.
+def _contract(
+    tree: DataFrame, ups: dict[str, str], downs: dict[str, str], large: int, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Each column of ``ups`` folded over a span and its descendants, of ``downs`` from its root on.
+
+    The columns are bigints, the folds ``sum``, ``max`` or ``min``. Spans on or below a cycle
+    drop out if there are ``downs``.
     """
-    values = [*sums, *minima]
-
-    def finished(states: list[DataFrame]) -> DataFrame:
-        out = states[0].where(F.col("ptr").isNull())
-        for state in states[1:]:
-            out = out.unionByName(state.where(F.col("ptr").isNull()))
-        return out
-
-    def advance(states: list[DataFrame]) -> DataFrame:
-        live = states[-1].where(F.col("ptr").isNotNull())
-        hop = live.unionByName(finished(states)).select(
-            "trace_id",
-            F.col("span_id").alias("ptr"),
-            F.col("ptr").alias("_next"),
-            *[F.col(c).alias(f"_{c}") for c in values],
-        )
-        return live.join(hop, ["trace_id", "ptr"], "left").select(
-            *KEY,
-            F.col("_next").alias("ptr"),
-            *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums],
-            *[F.least(c, f"_{c}").alias(c) for c in minima],
+    values = [*ups, *downs]
+    state = _saved(tree.select(*KEY, F.col("parent").alias("ptr"), *values))
+    rounds: list[tuple[DataFrame, DataFrame]] = []
+    while (state.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0) > large:
+        raked, rest = _contract_once(state, len(rounds), ups, downs)
+        if raked.isEmpty() and rest.where("_out").isEmpty():
+            break  # What is left are cycles, each cut down to one span.
+        rounds.append((raked, rest))
+        state = rest.where("NOT _out").drop("_only", "_out")
+
+    def solve(data: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        forest = _Forest(data["_trace"], data["span_id"], data["ptr"])
+        found = {c: forest.up(data[c], _FOLDS[how][2]) for c, how in ups.items()}
+        found |= {c: forest.down(data[c], *_FOLDS[how][2:]) for c, how in downs.items()}
+        kept = forest.rooted if downs else np.ones(len(forest.rooted), dtype=bool)
+        return {name: column[kept] for name, column in {**data, **found}.items()}
+
+    schema = "trace_id string, span_id string, " + ", ".join(f"{c} bigint" for c in values)
+    finished = [_saved(_per_chunk(state, [], solve, schema, chunk_rows))]
+    for raked, rest in reversed(rounds):
+        later = reduce(DataFrame.unionByName, finished)
+        cut = rest.where("_out").drop("_out")
+        if ups:
+            child = later.select("trace_id", F.col("span_id").alias("_only"), *[F.col(c).alias(f"_l_{c}") for c in ups])
+            cut = cut.join(child, ["trace_id", "_only"]).withColumns(_grown(ups, "_l_"))
+        parent = lambda of: of.select(
+            "trace_id", F.col("span_id").alias("ptr"), F.lit(True).alias("_known"), *[F.col(c).alias(f"_p_{c}") for c in downs]
         )
+        if downs:
+            cut = cut.join(parent(later), ["trace_id", "ptr"]).withColumns(_grown(downs, "_p_"))
+        cut = _saved(cut.select(*KEY, *values))
+        if downs:
+            found = raked.join(parent(later.unionByName(cut)), ["trace_id", "ptr"], "left")
+            found = found.where("ptr IS NULL OR _known")
+            raked = _saved(found.withColumns(_grown(downs, "_p_")).select(*KEY, *values))
+        finished += [cut, raked.select(*KEY, *values)]
+    return reduce(DataFrame.unionByName, finished)
 
-    start = _saved(tree.select(*KEY, F.col("parent").alias("ptr"), *values))
-    return finished(_rounds(start, advance)).select(*KEY, *values)
 
+def subtree_aggregate(tree: DataFrame, sums: list[str] = (), maxima: list[str] = (), large: int = LARGE_TRACE) -> DataFrame:
+    """Sum or maximum of each bigint column over a span and all its descendants."""
+    return _contract(tree, {**dict.fromkeys(sums, "sum"), **dict.fromkeys(maxima, "max")}, {}, large)
 
-def analyze_trees(spans: DataFrame) -> DataFrame:
-    """Depth, depth-first position, subtree end and critical path of every span.
 
-    Siblings go by start time, then span id. The critical path follows, from each
-    root, the child whose subtree ends last (the first such child on a tie); a trace
-    with a span that ends before it starts is skewed and has no path.
-    """
-    tree = _saved(link_tree(spans))
-    nodes = subtree_aggregate(
-        tree.withColumns({"subtree_size": F.lit(1).cast("bigint"), "subtree_end_us": F.col("end_us")}),
-        sums=["subtree_size"],
-        maxima=["subtree_end_us"],
-        keep=["parent", "start_us", "end_us"],
-    )
+def path_aggregate(tree: DataFrame, sums: list[str] = (), minima: list[str] = (), large: int = LARGE_TRACE) -> DataFrame:
+    """Sum or minimum of each bigint column from a span up to its root; spans on a cycle drop out."""
+    return _contract(tree, {}, {**dict.fromkeys(sums, "sum"), **dict.fromkeys(minima, "min")}, large)
+
+
+def _analyze_large(skeleton: DataFrame, large: int) -> DataFrame:
+    """``analyze_trees`` for traces that no task may hold."""
+    tree = _saved(_linked(skeleton))
+    sized = tree.withColumns({"subtree_size": F.lit(1).cast("bigint"), "subtree_end_us": F.col("end_us")})
+    folded = subtree_aggregate(sized, sums=["subtree_size"], maxima=["subtree_end_us"], large=large)
+    nodes = _saved(tree.join(folded, KEY))
 
     placed = with_running_sum(
         nodes.withColumn("_under", F.coalesce("parent", F.lit(""))),
@@ -164,9 +342,9 @@ def analyze_trees(spans: DataFrame) -> DataFrame:
         "parent",
         (F.col("_earlier") + inner).alias("position"),
         inner.alias("depth"),
-        F.when(F.col("parent").isNull(), 1).otherwise(F.coalesce("_chosen", F.lit(0))).alias("_on"),
+        F.when(F.col("parent").isNull(), 1).otherwise(F.coalesce("_chosen", F.lit(0))).cast("bigint").alias("_on"),
     )
-    walked = path_aggregate(steps, sums=["position", "depth"], minima=["_on"])
+    walked = path_aggregate(steps, sums=["position", "depth"], minima=["_on"], large=large)
 
     skewed = tree.where("end_us < start_us").select("trace_id", F.lit(True).alias("skewed")).distinct()
     return (
@@ -187,6 +365,21 @@ def analyze_trees(spans: DataFrame) -> DataFrame:
     )
 
 
+def analyze_trees(spans: DataFrame, large: int = LARGE_TRACE) -> DataFrame:
+    """Depth, depth-first position, subtree end and critical path of every span.
+
+    Siblings go by start time, then span id. The critical path follows, from each
+    root, the child whose subtree ends last (the first such child on a tie); a trace
+    with a span that ends before it starts is skewed and has no path.
+    """
+    skeleton = _saved(_skeleton(spans).withColumnRenamed("parent_span_id", "parent"))
+    small, big = _by_size(skeleton, large)
+    found = _per_chunk(small, ["start_us", "span_id"], _analyze_chunk, _ANALYZED, CHUNK_ROWS)
+    if big is None:
+        return found
+    return found.unionByName(_analyze_large(big.withColumnRenamed("parent", "parent_span_id"), large))
+
+
 def waterfall_order(trees: DataFrame) -> DataFrame:
     return trees.select(*KEY, "depth", "position").orderBy("trace_id", "position")
 
@@ -211,8 +404,25 @@ def error_spans(trees: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def filter_with_ancestors(spans: DataFrame, text: str = "", errors_only: bool = False) -> DataFrame:
-    """Spans that match a text and/or are errors, plus all their ancestors."""
+def _visible_chunk(data: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Matches and their ancestors: a frontier walks up and stops where another one was."""
+    forest = _Forest(data["_trace"], data["span_id"], data["parent_span_id"])
+    seen = data["matched"] == 1
+    frontier = np.flatnonzero(seen)
+    while len(frontier):
+        up = forest.parent[frontier]
+        frontier = np.unique(up[(up >= 0) & ~seen[up]])
+        seen[frontier] = True
+    return {"trace_id": data["trace_id"][seen], "span_id": data["span_id"][seen], "matched": data["matched"][seen] == 1}
+
+
+def filter_with_ancestors(
+    spans: DataFrame, text: str = "", errors_only: bool = False, large: int = LARGE_TRACE
+) -> DataFrame:
+    """Spans that match a text and/or are errors, plus all their ancestors.
+
+    Only traces with a match are looked at further.
+    """
     wanted = text.strip().lower()
     hit = F.lit(True)
     if wanted:
@@ -221,10 +431,14 @@ def filter_with_ancestors(spans: DataFrame, text: str = "", errors_only: bool =
         )
     if errors_only:
         hit = hit & F.coalesce(F.col("status_code") == ERROR_STATUS, F.lit(False))
-    matches = spans.select(*KEY, hit.cast("int").alias("matched"))
-    tree = _saved(link_tree(spans).join(matches, KEY))
-    seen = subtree_aggregate(tree.withColumn("visible", F.col("matched")), maxima=["visible"])
-    return seen.where("visible = 1").join(matches, KEY).select(*KEY, (F.col("matched") == 1).alias("matched"))
+    rows = _saved(spans.select(*KEY, "parent_span_id", hit.cast("bigint").alias("matched")))
+    small, big = _by_size(rows.join(rows.where("matched = 1").select("trace_id").distinct(), "trace_id", "left_semi"), large)
+    found = _per_chunk(small, [], _visible_chunk, "trace_id string, span_id string, matched boolean", CHUNK_ROWS)
+    if big is None:
+        return found
+    tree = _saved(_linked(big).withColumn("visible", F.col("matched")))
+    seen = subtree_aggregate(tree, maxima=["visible"], large=large).where("visible = 1").select(*KEY)
+    return found.unionByName(tree.join(seen, KEY, "left_semi").select(*KEY, (F.col("matched") == 1).alias("matched")))
 
 
 def bar_geometry(spans: DataFrame) -> DataFrame:
