@@ -590,3 +590,39 @@ make_timestamp(start_us + dur_us) AS end_time, round(dur_us / 1000.0::DOUBLE, 9)
     + """SELECT make_timestamp(us) AS time, trace_id, service, severity_number, body,
 '{"service.name": "' || service || '"}' AS attrs_json FROM logs""",
 }
+
+ORACLES["span_copies_stream"] = ORACLES["span_ingest_stream"]
+
+ORACLES["otlp_nested"] = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(n_chars, 0) AS n, coalesce(lang, '') AS lang,
+         '[' || n_chars + 1 || CASE WHEN doc_id % 3 > 0 THEN ', ' || n_chars + 2 ELSE '' END
+             || CASE WHEN doc_id % 3 > 1 THEN ', ' || n_chars + 3 ELSE '' END || ']' AS listed
+  FROM documents)
+SELECT make_timestamp({EPOCH_US} + doc_id * 1000000) AS time, 'none' AS service, CAST(n AS VARCHAR) AS body,
+       '{{"raw": "' || lower(hex(encode(CAST(n AS VARCHAR)))) || '", '
+       || CASE WHEN doc_id % 2 = 0 THEN '"deep": {{"lang": "' || lang || '", "tags": ' || listed || '}}, ' ELSE '' END
+       || '"even": ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END
+       || ', "half": ' || CAST(n / 2 + 0.25::DOUBLE AS VARCHAR)
+       || CASE WHEN doc_id % 2 = 0 THEN ', "list": ' || listed ELSE '' END || '}}' AS attrs_json,
+       2 * count(*) AS records
+FROM docs GROUP BY ALL"""
+
+ORACLES["otlp_metrics_all"] = (
+    _with(METRICS)
+    + f"""SELECT make_timestamp(us) AS time, service, 'seen' AS name, 'sum' AS kind, CAST(cnt AS DOUBLE) AS value,
+CAST(NULL AS BIGINT) AS count, '1' AS unit, true AS is_monotonic, CAST(NULL AS VARCHAR) AS bucket_bounds,
+CAST(NULL AS VARCHAR) AS bucket_counts, '{{"type": "' || type || '", "service.name": "' || service || '"}}' AS attrs_json
+FROM points WHERE name = 'event.size'
+UNION ALL
+SELECT make_timestamp(us), service, 'sizes', 'histogram', round(value, 9), cnt, '1', NULL, {_TEXT_BOUNDS},
+array_to_string(counts, ','), '{{"type": "' || type || '", "service.name": "' || service || '"}}'
+FROM points WHERE name = 'event.size'"""
+)
+
+ORACLES["otlp_rejects"] = """
+SELECT reason, missing, count(*) AS records
+FROM (SELECT CASE WHEN l_partkey % 11 = 0 THEN 'decode' WHEN l_tax >= 0.06 THEN 'insert' ELSE 'stored' END AS reason,
+             CASE WHEN l_partkey % 11 <> 0 AND l_tax >= 0.06 THEN 'name' ELSE '' END AS missing
+      FROM lineitem)
+GROUP BY ALL"""

@@ -618,6 +618,19 @@ def span_ingest_stream(spark, sf_dir):
     )
 
 
+@query
+def span_copies_stream(spark, sf_dir):
+    """All spans, then all of them again with other start days, by another stream: nothing is stored twice."""
+    folder = _folder(spark)
+    rows = sample.arriving_spans(spark, sf_dir)
+    later = F.col("start_time") + F.expr("INTERVAL 3 DAYS")
+    for k, part in enumerate((rows, rows.withColumn("start_time", later))):
+        source = _as_stream(part, f"{folder}/{k}")
+        ingest.start_span_ingest(source, f"{folder}/out", f"{folder}/c{k}", sample.ARRIVAL, ONCE).awaitTermination()
+    stored = storage.read_table(spark, f"{folder}/out", schemas.SPANS)
+    return stored.groupBy("trace_id").agg(F.count("*").alias("spans"), F.count_distinct("span_id").alias("distinct_spans"))
+
+
 @query
 def log_ingest_stream(spark, sf_dir):
     folder = _folder(spark)
@@ -689,6 +702,13 @@ def _request(df: DataFrame, top: str, scope: str, resource, item: str, record) -
     return df.select(F.to_json(F.struct(F.array(group).alias(top))).alias("value"))
 
 
+def _received(lines: DataFrame, signal: str) -> DataFrame:
+    """The requests as an exporter leaves them, in text files, read and parsed."""
+    folder = f"{_folder(lines.sparkSession)}/requests"
+    lines.write.text(folder)
+    return otlp.read_requests(lines.sparkSession, folder, signal)
+
+
 def _nanos(time: str, extra=0):
     return ((F.unix_micros(time) + extra) * 1000).cast("string")
 
@@ -714,7 +734,7 @@ def otlp_metrics(spark, sf_dir):
     metric = F.struct(F.lit("event.value").alias("name"), F.lit("ms").alias("unit"), gauge.alias("gauge"))
     resource = _kv("service.name", "stringValue", F.col("event_type"))
     lines = _request(events, "resourceMetrics", "scopeMetrics", resource, "metrics", metric)
-    flat = otlp.flatten_metrics(otlp.parse_requests(lines, "metrics"))
+    flat = otlp.flatten_metrics(_received(lines, "metrics"))
     return flat.select("time", "service", "name", "kind", "value", "unit", "exemplar_trace_id", "attrs_json", "series_key")
 
 
@@ -734,7 +754,7 @@ def otlp_traces(spark, sf_dir):
     )
     resource = _kv("k8s.deployment.name", "stringValue", F.coalesce("service", F.lit("")))
     lines = _request(rows, "resourceSpans", "scopeSpans", resource, "spans", span)
-    flat = otlp.flatten_traces(otlp.parse_requests(lines, "traces"), default_service="fallback")
+    flat = otlp.flatten_traces(_received(lines, "traces"), default_service="fallback")
     return flat.select(
         "trace_id", "span_id", "parent_span_id", "service", "name", "kind", "start_time", "end_time", "duration_ms",
         "status_code", "attrs_json",
@@ -753,5 +773,117 @@ def otlp_logs(spark, sf_dir):
     )
     resource = _kv("service.name", "stringValue", F.col("service"))
     lines = _request(rows, "resourceLogs", "scopeLogs", resource, "logRecords", record)
-    flat = otlp.flatten_logs(otlp.parse_requests(lines, "logs"))
+    flat = otlp.flatten_logs(_received(lines, "logs"))
     return flat.select("time", "trace_id", "service", "severity_number", "body", "attrs_json")
+
+
+@query
+def otlp_nested(spark, sf_dir):
+    """Log records whose attributes hold lists, nested lists, booleans, bytes and doubles, two scopes a resource."""
+    rows = sample.table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    number = F.col("n").cast("string")
+    item = lambda field, value: F.struct(value.alias(field))
+    values = F.transform(
+        F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), lambda i: item("intValue", (F.col("n") + i).cast("string"))
+    )
+    listed = item("values", values)
+    inner = F.struct(F.lit("tags").alias("key"), item("arrayValue", listed).alias("value"))
+    plain = F.struct(F.lit("lang").alias("key"), item("stringValue", F.coalesce("lang", F.lit(""))).alias("value"))
+    # The nested lists are put into the line as text, for a column has one type for all of them.
+    deep = F.concat(
+        F.lit('{"kvlistValue":{"values":['), F.to_json(inner), F.lit(","), F.to_json(plain), F.lit("]}}")
+    )
+    kinds = [
+        ("deep", deep),
+        ("list", F.to_json(item("arrayValue", listed))),
+        ("even", F.to_json(item("boolValue", F.col("doc_id") % 2 == 0))),
+        ("half", F.to_json(item("doubleValue", F.col("n") / 2 + 0.25))),
+        ("raw", F.to_json(item("bytesValue", F.base64(F.encode(number, "UTF-8"))))),
+    ]
+    pairs = [F.concat(F.lit(f'{{"key":"{key}","value":'), text, F.lit("}")) for key, text in kinds]
+    # Every second record has no nested value, so both ways of flattening are taken.
+    attributes = F.concat_ws(",", *[F.when((F.col("doc_id") % 2 == 0) | (i > 1), pair) for i, pair in enumerate(pairs)])
+    record = F.concat(
+        F.lit('{"timeUnixNano":"'), (F.col("doc_id") * 1_000_000_000 + sample.EPOCH_US * 1000).cast("string"),
+        F.lit('","body":{"intValue":"'), number, F.lit('"},"attributes":['), attributes, F.lit("]}"),
+    )
+    scope = F.concat(F.lit('{"logRecords":['), record, F.lit("]}"))
+    line = F.concat(F.lit('{"resourceLogs":[{"scopeLogs":['), scope, F.lit(","), scope, F.lit("]}]}"))
+    flat = otlp.flatten_logs(_received(rows.select(line.alias("value")), "logs"), default_service="none")
+    return flat.select("time", "service", "body", "attrs_json").groupBy("time", "service", "body", "attrs_json").agg(
+        F.count("*").alias("records")
+    )
+
+
+@query
+def otlp_metrics_all(spark, sf_dir):
+    """Sums, gauges without a value and histograms as requests, all three kinds in one metric list."""
+    hourly = sample.histogram_points(spark, sf_dir).select(
+        "time", "service", "value", "count", "bucket_bounds", "bucket_counts", F.get_json_object("attrs_json", "$.type").alias("type")
+    )
+    attributes = F.array(_kv("type", "stringValue", F.col("type")))
+    time = _nanos("time").alias("timeUnixNano")
+    total = F.struct(
+        F.lit(True).alias("isMonotonic"),
+        F.array(F.struct(time, F.col("count").cast("string").alias("asInt"), attributes.alias("attributes"))).alias("dataPoints"),
+    )
+    shape = F.struct(
+        F.array(
+            F.struct(
+                time,
+                F.col("count").cast("string").alias("count"),
+                F.col("value").alias("sum"),
+                F.col("bucket_bounds").alias("explicitBounds"),
+                F.transform("bucket_counts", lambda c: c.cast("string")).alias("bucketCounts"),
+                attributes.alias("attributes"),
+            )
+        ).alias("dataPoints")
+    )
+    empty = F.struct(F.array(F.struct(time, attributes.alias("attributes"))).alias("dataPoints"))
+    none = F.lit(None)
+    metric = lambda name, gauge, total, shape: F.struct(
+        F.lit(name).alias("name"), F.lit("1").alias("unit"), gauge.alias("gauge"), total.alias("sum"), shape.alias("histogram")
+    )
+    nothing = [F.when(F.lit(False), x) for x in (empty, total, shape)]
+    metrics_of = F.array(
+        metric("level", empty, nothing[1], nothing[2]),
+        metric("seen", nothing[0], total, nothing[2]),
+        metric("sizes", nothing[0], nothing[1], shape),
+    )
+    group = F.struct(
+        F.struct(F.array(_kv("service.name", "stringValue", F.col("service"))).alias("attributes")).alias("resource"),
+        F.array(F.struct(metrics_of.alias("metrics"))).alias("scopeMetrics"),
+    )
+    lines = hourly.select(F.to_json(F.struct(F.array(group).alias("resourceMetrics"))).alias("value"))
+    flat = otlp.flatten_metrics(_received(lines, "metrics"))
+    return flat.select(
+        "time", "service", "name", "kind", "value", "count", "unit", "is_monotonic", "bucket_bounds", "bucket_counts", "attrs_json"
+    )
+
+
+@query
+def otlp_rejects(spark, sf_dir):
+    """Trace lines of which some do not decode and some rows lack what a stored row needs."""
+    rows = sample.arriving_spans(spark, sf_dir)
+    span = F.struct(
+        F.col("trace_id").alias("traceId"),
+        F.col("span_id").alias("spanId"),
+        "name",
+        _nanos("start_time").alias("startTimeUnixNano"),
+        _nanos("end_time").alias("endTimeUnixNano"),
+    )
+    service = _kv("service.name", "stringValue", F.lit("s"))
+    broken = F.col("l_partkey") % 11 == 0
+    whole, cut = (
+        _request(rows.where(part), "resourceSpans", "scopeSpans", service, "spans", span) for part in (~broken, broken)
+    )
+    cut = cut.select(F.left("value", F.length("value") - 3).alias("value"))
+    requests = _received(whole.unionByName(cut), "traces")
+    flat = otlp.flatten_traces(requests).withColumn("name", F.nullif("name", F.lit("GET /checkout")))
+    valid, rejected = otlp.split_valid(flat, "spans")
+    parts = [
+        otlp.rejected_requests(requests).select("reason", F.lit("").alias("missing")),
+        rejected.select("reason", "missing"),
+        valid.select(F.lit("stored").alias("reason"), F.lit("").alias("missing")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("reason", "missing").agg(F.count("*").alias("records"))

@@ -172,20 +172,29 @@ def _nested_raw(value: Column) -> Column:
     )
 
 
-def with_attributes(df: DataFrame, key_values: str, out: str) -> DataFrame:
+def _last_of_each_key(pairs: Column) -> Column:
+    """Key-values without those that a later one of the same key replaces."""
+    keys = F.transform(pairs, lambda p: p["key"])
+    places = F.map_from_entries(
+        F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.size(keys) - F.array_position(F.reverse(keys), k)))
+    )
+    last = F.filter(pairs, lambda p, i: places[p["key"]] == i)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(last)
+
+
+def with_attributes(df: DataFrame, key_values: str, out: str, nested_values: bool) -> DataFrame:
     """A map of JSON fragments from a list of key-values.
 
     Pairs without a value are skipped and the last of equal keys wins. The texts of nested
-    values go through Python, for other rows as empty lists.
+    values, where rows may hold any, go through Python.
     """
     pairs = F.coalesce(F.col(key_values), F.array().cast(KEY_VALUES))
     valued = F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
     df = df.withColumn("_pairs", valued)
-    last_only = F.filter(
-        "_pairs",
-        lambda p, i: ~F.exists(F.slice("_pairs", i + 2, F.size("_pairs")), lambda later: later["key"] == p["key"]),
-    )
-    df = df.withColumn("_pairs", last_only)
+    df = df.withColumn("_pairs", _last_of_each_key(F.col("_pairs")))
+    if not nested_values:
+        scalars = F.transform("_pairs", lambda p: F.struct(p["key"].alias("key"), _scalar_fragment(p["value"]).alias("value")))
+        return df.withColumn(out, F.map_from_entries(scalars)).drop("_pairs")
     nested = F.filter("_pairs", lambda p: _is_nested(p["value"]))
     df = df.withColumn("_nested", _nested_fragments(F.transform(nested, lambda p: _nested_raw(p["value"]))))
     flat = F.filter("_pairs", lambda p: ~_is_nested(p["value"]))
@@ -196,16 +205,26 @@ def with_attributes(df: DataFrame, key_values: str, out: str) -> DataFrame:
     return df.withColumn(out, F.map_concat(scalars, others)).drop("_pairs", "_nested")
 
 
-def _with_resource(requests: DataFrame, groups: str, default_service: str | None) -> DataFrame:
+def _per_line(requests: DataFrame, flatten) -> DataFrame:
+    """``flatten(requests, nested_values)`` for lines that may hold nested values and for the others.
+
+    The line's text tells, before it is parsed: only lines that name an array or a list of
+    key-values meet Python, the rest stays in the JVM.
+    """
+    nested = F.col("raw").contains("arrayValue") | F.col("raw").contains("kvlistValue")
+    return flatten(requests.where(~nested), False).unionByName(flatten(requests.where(nested), True))
+
+
+def _with_resource(requests: DataFrame, groups: str, default_service: str | None, nested_values: bool) -> DataFrame:
     """One row per resource group, with its attribute map and service."""
     per_group = requests.select(F.explode(_decoded(groups)).alias("g"))
     per_group = per_group.select("g", F.col("g.resource.attributes").alias("_resource_kv"))
-    per_group = with_attributes(per_group, "_resource_kv", "_resource").drop("_resource_kv")
+    per_group = with_attributes(per_group, "_resource_kv", "_resource", nested_values).drop("_resource_kv")
     return per_group.withColumn("service", at.resolve_service(F.col("_resource"), default_service))
 
 
-def _with_merged(df: DataFrame, key_values: str) -> DataFrame:
-    df = with_attributes(df, key_values, "_own")
+def _with_merged(df: DataFrame, key_values: str, nested_values: bool) -> DataFrame:
+    df = with_attributes(df, key_values, "_own", nested_values)
     df = df.withColumn("attributes", at.merge(F.col("_resource"), F.col("_own")))
     return df.withColumn("attrs_json", at.canonical_json(F.col("attributes"))).drop("_own")
 
@@ -220,11 +239,15 @@ def _optional_id(column: str) -> Column:
 
 def flatten_traces(requests: DataFrame, default_service: str | None = None, received: Column | None = None) -> DataFrame:
     received = F.current_timestamp() if received is None else received
-    groups = _with_resource(requests, "resourceSpans", default_service)
+    return _per_line(requests, lambda lines, nested: _flatten_traces(lines, default_service, received, nested))
+
+
+def _flatten_traces(requests: DataFrame, default_service: str | None, received: Column, nested_values: bool) -> DataFrame:
+    groups = _with_resource(requests, "resourceSpans", default_service, nested_values)
     spans = groups.select("_resource", "service", F.explode("g.scopeSpans").alias("sc")).select(
         "_resource", "service", F.explode("sc.spans").alias("s")
     )
-    spans = _with_merged(spans.withColumn("_kv", F.col("s.attributes")), "_kv")
+    spans = _with_merged(spans.withColumn("_kv", F.col("s.attributes")), "_kv", nested_values)
     has_status = F.col("s.status").isNotNull()
     return spans.select(
         _id("s.traceId").alias("trace_id"),
@@ -246,17 +269,21 @@ def flatten_traces(requests: DataFrame, default_service: str | None = None, rece
 
 def flatten_logs(requests: DataFrame, default_service: str | None = None, received: Column | None = None) -> DataFrame:
     received = F.current_timestamp() if received is None else received
-    groups = _with_resource(requests, "resourceLogs", default_service)
+    return _per_line(requests, lambda lines, nested: _flatten_logs(lines, default_service, received, nested))
+
+
+def _flatten_logs(requests: DataFrame, default_service: str | None, received: Column, nested_values: bool) -> DataFrame:
+    groups = _with_resource(requests, "resourceLogs", default_service, nested_values)
     records = groups.select("_resource", "service", F.explode("g.scopeLogs").alias("sc")).select(
         "_resource", "service", F.explode("sc.logRecords").alias("r")
     )
-    records = _with_merged(records.withColumn("_kv", F.col("r.attributes")), "_kv")
+    records = _with_merged(records.withColumn("_kv", F.col("r.attributes")), "_kv", nested_values)
     body = F.col("r.body")
-    records = records.withColumn(
-        "_body",
-        _nested_fragments(F.when(_is_nested(body), F.array(_nested_raw(body))).otherwise(F.array().cast("array<string>"))),
-    )
-    text = F.coalesce(body["stringValue"], F.get("_body", F.lit(0)), _scalar_fragment(body))
+    text = F.coalesce(body["stringValue"], _scalar_fragment(body))
+    if nested_values:
+        texts = F.when(_is_nested(body), F.array(_nested_raw(body))).otherwise(F.array().cast("array<string>"))
+        records = records.withColumn("_body", _nested_fragments(texts))
+        text = F.coalesce(body["stringValue"], F.get("_body", F.lit(0)), _scalar_fragment(body))
     own_time = F.col("r.timeUnixNano")
     nanos = F.when(F.coalesce(own_time, F.lit("0")) != "0", own_time).otherwise(F.col("r.observedTimeUnixNano"))
     return records.select(
@@ -279,7 +306,11 @@ def flatten_metrics(requests: DataFrame, default_service: str | None = None, rec
     All three kinds become one list of points per metric, so the input is read once.
     """
     received = F.current_timestamp() if received is None else received
-    groups = _with_resource(requests, "resourceMetrics", default_service)
+    return _per_line(requests, lambda lines, nested: _flatten_metrics(lines, default_service, received, nested))
+
+
+def _flatten_metrics(requests: DataFrame, default_service: str | None, received: Column, nested_values: bool) -> DataFrame:
+    groups = _with_resource(requests, "resourceMetrics", default_service, nested_values)
     metrics = groups.select("_resource", "service", F.explode("g.scopeMetrics").alias("sc")).select(
         "_resource", "service", F.explode("sc.metrics").alias("m")
     )
@@ -327,7 +358,7 @@ def flatten_metrics(requests: DataFrame, default_service: str | None = None, rec
         F.nullif("m.unit", F.lit("")).alias("unit"),
         F.explode(F.flatten(present)).alias("p"),
     ).where((F.col("p.kind") == "histogram") | F.col("p.value").isNotNull())
-    points = _with_merged(points.withColumn("_kv", F.col("p.kv")), "_kv")
+    points = _with_merged(points.withColumn("_kv", F.col("p.kv")), "_kv", nested_values)
     exemplar = F.get(F.filter("p.exemplars", lambda e: F.coalesce(e["traceId"], F.lit("")) != ""), F.lit(0))
     points = points.withColumn("_ex", exemplar)
     return points.select(

@@ -1,6 +1,7 @@
 import json
 from datetime import timedelta
 
+import pytest
 from builders import NOW, ago, points, rule, rules, span, spans
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from spanloom.operators.alerts import alert_step, evaluate_rules
 from spanloom.operators.metric_facts import counters, facts_of, newest_meta
 from spanloom.operators.rollups import rollup_points
 from spanloom.schemas import EVENTS
-from spanloom.sources import fact_store, otlp, storage
+from spanloom.sources import fact_store, key_index, otlp, storage
 from spanloom.streaming import alerting, ingest
 
 ONCE = {"availableNow": True}
@@ -197,3 +198,60 @@ def test_alert_scans_have_a_time_bound(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line and "value" in line]
     assert scans and all("GreaterThanOrEqual(time" in line for line in scans)
+
+
+def complete(df):
+    return df.withColumns({"status_message": F.lit(None).cast("string"), "ingested_at": F.lit(NOW), "kind": F.lit(1)})
+
+
+def ingested(spark, source, out, check, rows):
+    df = complete(spans(spark, rows))
+    df.coalesce(1).write.mode("append").parquet(source)
+    ingest.start_span_ingest(stream(spark, source, df.schema), out, check, trigger=ONCE).awaitTermination()
+    return sorted((r["span_id"], r["start_time"]) for r in storage.read_table(spark, out, schemas.SPANS).collect())
+
+
+def test_a_copy_on_another_day_is_stored_once(spark, tmp_path):
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "c"))
+    first = [span("t", "1", start=ago(days=1)), span("t", "2", start=ago(days=40))]
+    assert len(ingested(spark, source, out, check, first)) == 2
+    moved = [span("t", "1", start=ago(days=3)), span("t", "2", start=ago(hours=1)), span("t", "3", start=ago(days=3))]
+    found = ingested(spark, source, out, check, moved)
+    assert found == [("1", ago(days=1)), ("2", ago(days=40)), ("3", ago(days=3))]
+    # A new checkpoint starts from batch zero again: nothing is replaced, nothing stored twice.
+    again = [span("t", "3", start=ago(days=1)), span("t", "4", start=ago(days=1))]
+    found = ingested(spark, str(tmp_path / "in2"), out, str(tmp_path / "c2"), again)
+    assert [s for s, _ in found] == ["1", "2", "3", "4"]
+    assert storage.run_base(spark, out, check) == 0 and storage.run_base(spark, out, str(tmp_path / "c2")) == storage.RUN_BATCHES
+
+
+def test_a_table_without_an_index_gets_one(spark, tmp_path):
+    out = str(tmp_path / "out")
+    storage.append(complete(spans(spark, [span("t", "1", start=ago(days=9))])), "spans", out)
+    found = ingested(spark, str(tmp_path / "in"), out, str(tmp_path / "c"), [span("t", "1"), span("t", "2")])
+    assert [s for s, _ in found] == ["1", "2"]
+    with pytest.raises(ValueError):
+        storage.append(complete(spans(spark, [span("t", "5")])), "spans", out)
+
+
+def test_only_hit_buckets_of_the_key_index_are_read(spark, tmp_path):
+    path, keys = str(tmp_path / "t"), ["trace_id", "span_id"]
+    rows = spark.range(5000).select(F.lit("t").alias("trace_id"), F.col("id").cast("string").alias("span_id"))
+    key_index.add(rows.where("id < 2000"), path, keys, 0)
+    key_index.add(rows.where("id >= 2000 and id < 3000"), path, keys, 1)
+    new = rows.where("id >= 3000 and id < 3400")
+    # Twelve bits a key let few new keys through; without the filters every bucket would be hit.
+    assert len(key_index.hit_buckets(new, path, keys, 2)) < key_index.BUCKETS / 3
+    two = rows.where("id in (5, 2500)")
+    buckets = key_index.hit_buckets(two, path, keys, 2)
+    assert 1 <= len(buckets) <= 2
+    known = key_index.stored(two, path, keys, 2)
+    assert two.join(known, keys, "left_semi").count() == 2
+    assert known.count() < 3000 / 8
+    # Entries of the asking batch and of later ones do not count.
+    assert two.join(key_index.stored(two, path, keys, 1), keys, "left_semi").count() == 1
+    assert key_index.stored(rows.where("id = 4000"), path, keys, 0) is None
+    for n in (1, 64, 777):
+        every = rows.where(F.col("id") < n)
+        key_index.add(every, f"{path}{n}", keys, 0)
+        assert every.join(key_index.stored(every, f"{path}{n}", keys, 1), keys, "left_anti").count() == 0
