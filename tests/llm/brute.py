@@ -65,6 +65,22 @@ def components(prints, threshold=2):
     return [find(i) for i in range(len(prints))]
 
 
+def similar_components(texts, shingle=5, least=0.8):
+    """Index -> least index reachable by pairs of Jaccard similarity ``least`` of word shingles."""
+    sets = []
+    for text in texts:
+        w = tuple(words(low(text)))
+        n = min(shingle, len(w))
+        sets.append({w[i : i + n] for i in range(len(w) - n + 1)} if w else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]):
+                small, large = sorted((root[i], root[j]))
+                root = [small if r == large else r for r in root]
+    return root
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -439,7 +439,7 @@ def test_pipeline_equals_brute_force(spark, documents):
             assert state == {i: t for i, t in expected.items() if brute.words(t)}
         elif number == 1:
             ids = sorted(before)
-            roots = brute.components([brute.fingerprint(before[i]) for i in ids])
+            roots = brute.similar_components([before[i] for i in ids])
             assert state == {i: before[i] for i in {ids[r] for r in roots}}
         elif number == 6:
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]

@@ -6,11 +6,12 @@ import re
 import zlib
 from collections import Counter
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import queries, rank_profiles, secret_scan, shared, turn_repair, whitening
+from spanloom.llm import queries, rank_profiles, secret_scan, shared, similar, turn_repair, whitening
 
 SF_DIR = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -384,3 +385,46 @@ def test_spread_join_equals_a_join(spark):
         found = shared.spread_join(left, sizes, ["k"], "n", least=least)
         assert found.columns == ["k", "v", "n"]
         assert sorted(tuple(r) for r in found.collect()) == plain
+
+
+# -- large groups in the near-dedup stage -----------------------------------------------
+
+
+def crowded_docs():
+    """300 texts that share two thirds, and 150 near copies of which each changes the one before."""
+    rng = random.Random(23)
+    fresh = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passage = fresh(100)
+    docs = [(i, " ".join(passage + fresh(45))) for i in range(300)]
+    # Some of them have a near copy of their own.
+    docs += [(1000 + i, docs[i][1] + " " + " ".join(fresh(4))) for i in range(0, 300, 30)]
+    chain = fresh(120)
+    for i in range(150):
+        chain[rng.randrange(120)] = fresh(1)[0]
+        docs.append((2000 + i, " ".join(chain)))
+    hub = fresh(120)
+    for i in range(120):
+        own = list(hub)
+        for at in rng.sample(range(120), 2):
+            own[at] = fresh(1)[0]
+        docs.append((3000 + i, " ".join(own)))
+    rng.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("crowd", [64, 8])
+def test_crowded_groups_equal_brute_force(spark, crowd):
+    docs = sorted(crowded_docs())
+    roots = brute.similar_components([t for _, t in docs])
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = {r["doc_id"] for r in similar.representatives(rows, crowd=crowd).collect()}
+    assert found == {docs[r][0] for r in roots}
+
+
+def test_few_texts_of_a_shared_passage_are_compared(spark):
+    """The prefixes leave out the pairs that only share the passage."""
+    rows = spark.createDataFrame([(i, t) for i, t in crowded_docs() if i < 2000], "node bigint, text string")
+    prefixes = similar._prefixes(rows, 5, 0.8)
+    pairs = {tuple(r) for r in similar._pairs(prefixes, F.lit(True)).collect()}
+    assert {(i, 1000 + i) for i in range(0, 300, 30)} <= pairs
+    assert len(pairs) < 30
