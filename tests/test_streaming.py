@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom import schemas
 from spanloom.functions.predicates import breached
+from spanloom.operators import traces
 from spanloom.operators.alerts import alert_step, evaluate_rules
 from spanloom.operators.metric_facts import counters, facts_of, newest_meta
 from spanloom.operators.rollups import rollup_points
@@ -255,3 +256,34 @@ def test_only_hit_buckets_of_the_key_index_are_read(spark, tmp_path):
         every = rows.where(F.col("id") < n)
         key_index.add(every, f"{path}{n}", keys, 0)
         assert every.join(key_index.stored(every, f"{path}{n}", keys, 1), keys, "left_anti").count() == 0
+
+
+def scanned_rows(df):
+    """Rows that the file scans of an executed plan gave."""
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        if name == "FileSourceScanExec":
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        plan += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_a_trace_look_up_skips_files_without_the_trace(spark, tmp_path):
+    """Ids lie apart in every file's range, so only the Bloom filters can tell the files apart."""
+    out = str(tmp_path / "spans")
+    rows = complete(spans(spark, [span(f"{i * 7919 % 1000:03d}", "1", start=ago(seconds=i)) for i in range(400)]))
+    for k in range(8):
+        mine = F.pmod(F.xxhash64("trace_id"), F.lit(8)) == k
+        storage.append_batch(rows.where(mine).coalesce(1), "spans", out, k)
+    table = storage.read_table(spark, out, schemas.SPANS)
+    found = traces.trace_spans(table, "919")
+    assert found.count() == 1
+    assert table.count() == 400
+    assert scanned_rows(found) < 400 / 3
+    assert scanned_rows(traces.trace_spans(table, "no such trace")) < 400 / 3
