@@ -626,3 +626,48 @@ FROM (SELECT CASE WHEN l_partkey % 11 = 0 THEN 'decode' WHEN l_tax >= 0.06 THEN
              CASE WHEN l_partkey % 11 <> 0 AND l_tax >= 0.06 THEN 'name' ELSE '' END AS missing
       FROM lineitem)
 GROUP BY ALL"""
+
+ORACLES["otlp_sniffed"] = (
+    _with(LOGS)
+    + """SELECT service, severity_number, count(*) AS records, CAST(sum(length(body)) AS BIGINT) AS chars,
+make_timestamp(max(us)) AS newest FROM logs GROUP BY 1, 2"""
+)
+
+ORACLES["rule_problems"] = """
+SELECT * FROM (
+  SELECT c_name AS name,
+         CASE WHEN c_custkey % 5 = 0 THEN 'name and metric are required'
+              WHEN c_custkey % 7 = 0 THEN 'comparator must be gt or lt'
+              WHEN c_custkey % 11 = 0 THEN 'threshold is required'
+              WHEN c_custkey % 13 = 0 THEN 'unknown aggregate'
+              WHEN c_custkey % 17 = 0 THEN 'window_secs must be at least 1'
+              WHEN c_custkey % 19 = 0 THEN 'for_secs must be at least 1' END AS problem
+  FROM customer) WHERE problem IS NOT NULL"""
+
+ORACLES["rules_normal"] = """
+SELECT c_name AS name, CASE WHEN c_custkey % 2 <> 0 THEN c_mktsegment END AS service, round(c_acctbal, 9) AS threshold,
+       CASE WHEN c_custkey % 3 = 0 THEN 'max' ELSE 'avg' END AS agg,
+       CASE WHEN c_custkey % 4 = 0 THEN 60 ELSE 300 END AS window_secs, c_custkey % 5 <> 0 AS enabled,
+       CASE WHEN c_custkey % 2 = 0 THEN '"' || c_mktsegment || '"' END AS segment,
+       CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) END AS n, c_custkey % 2 = 0 AS has_match
+FROM customer"""
+
+ORACLES["rule_names"] = """
+SELECT max(s_suppkey) AS rule_id, 'r' || s_suppkey % 7 AS name, round(arg_max(s_acctbal, s_suppkey), 9) AS threshold
+FROM supplier GROUP BY s_suppkey % 7"""
+
+ORACLES["alert_urgency"] = f"SELECT rule_id, name, firing FROM ({ORACLES['alert_list']})"
+
+ORACLES["alert_notifications"] = f"""
+SELECT rule_id, rule, metric, service, state, comparator, value, threshold, attributes IS NOT NULL AS has_attributes
+FROM ({ORACLES["alert_step_transitions"]})"""
+
+ORACLES["results_json"] = ORACLES["service_edges"]
+
+ORACLES["sweep_stall"] = f"""
+WITH sweeps AS (
+  SELECT o_orderdate AS done, bool_or(o_orderstatus <> 'F') AS fine, max(o_orderkey) AS n FROM orders GROUP BY 1),
+newest AS (SELECT max(done) AS last_success, arg_max(n, done) AS last_rows FROM sweeps WHERE fine)
+SELECT last_success, last_rows, {EPOCH_US} // 1000000 - epoch_us(last_success) // 1000000 AS age_secs,
+       {EPOCH_US} // 1000000 - epoch_us(last_success) // 1000000 > 86400 AS stalled
+FROM newest"""

@@ -34,6 +34,7 @@ from spanloom.operators import (
 )
 from spanloom.session import configure, ensure_checkpoint_dir
 from spanloom.sources import fact_store, otlp, storage
+from spanloom.sources import rules as rules_source
 from spanloom.sources import sample_tables as sample
 from spanloom.streaming import ingest
 
@@ -887,3 +888,116 @@ def otlp_rejects(spark, sf_dir):
         valid.select(F.lit("stored").alias("reason"), F.lit("").alias("missing")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("reason", "missing").agg(F.count("*").alias("records"))
+
+
+@query
+def otlp_sniffed(spark, sf_dir):
+    """Log requests in files that only their first bytes tell to be compressed, read beside plain ones."""
+    rows = sample.logs(spark, sf_dir)
+    record = F.struct(
+        _nanos("time").alias("timeUnixNano"),
+        F.col("severity_number").alias("severityNumber"),
+        F.struct(F.col("body").alias("stringValue")).alias("body"),
+    )
+    resource = _kv("service.name", "stringValue", F.col("service"))
+    folder = _folder(spark)
+    for packed, compression in ((True, "gzip"), (False, "none")):
+        part = rows.where((F.crc32("service") % 2 == 0) == packed).repartition(8)
+        lines = _request(part, "resourceLogs", "scopeLogs", resource, "logRecords", record)
+        lines.write.option("compression", compression).text(f"{folder}/packed={packed}")
+    flat = otlp.flatten_logs(otlp.read_sniffed_requests(spark, f"{folder}/packed=*", "logs"))
+    return flat.groupBy("service", "severity_number").agg(
+        F.count("*").alias("records"), F.sum(F.char_length("body")).alias("chars"), F.max("time").alias("newest")
+    )
+
+
+# --- rules, notifications and results as files -------------------------------
+
+
+@query
+def rule_problems(spark, sf_dir):
+    """What is wrong with declared rules, one of them per customer."""
+    declared = sample.table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"),
+        F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise("account.balance").alias("metric"),
+        F.when(F.col("c_custkey") % 7 == 0, "ge").otherwise("lt").alias("comparator"),
+        F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal")).alias("threshold"),
+        F.when(F.col("c_custkey") % 13 == 0, "median").alias("agg"),
+        F.when(F.col("c_custkey") % 17 == 0, 0).alias("window_secs"),
+        F.when(F.col("c_custkey") % 19 == 0, -5).alias("for_secs"),
+    )
+    return rules_source.problems(declared)
+
+
+@query
+def rules_normal(spark, sf_dir):
+    """Declared rules with their defaults and predicates filled in."""
+    key = F.col("c_custkey")
+    match = F.concat(F.lit('{"segment":"'), F.col("c_mktsegment"), F.lit('","n":'), key.cast("string"), F.lit("}"))
+    declared = sample.table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"),
+        F.lit("account.balance").alias("metric"),
+        F.when(key % 2 == 0, "").otherwise(F.col("c_mktsegment")).alias("service"),
+        F.lit("lt").alias("comparator"),
+        F.col("c_acctbal").alias("threshold"),
+        F.when(key % 3 == 0, "max").alias("agg"),
+        F.when(key % 4 == 0, 60).alias("window_secs"),
+        F.when(key % 5 == 0, False).alias("enabled"),
+        F.when(key % 2 == 0, match).when(key % 3 == 0, "{}").alias("match"),
+        F.lit(None).cast("string").alias("exclude"),
+        F.lit(None).cast("boolean").alias("rate"),
+        F.lit(None).cast("int").alias("for_secs"),
+    )
+    normal = rules_source.normalize_rules(declared)
+    wanted = F.col("match_attrs")
+    return normal.select(
+        "name", "service", "threshold", "agg", "window_secs", "enabled",
+        wanted["segment"].alias("segment"), wanted["n"].alias("n"), wanted.isNotNull().alias("has_match"),
+    )
+
+
+@query
+def rule_names(spark, sf_dir):
+    """One rule per name: the one with the highest id."""
+    rows = _stored_rules(spark, sf_dir).withColumn("name", F.concat(F.lit("r"), (F.col("rule_id") % 7).cast("string")))
+    return rule_admin.unique_by_name(rows).select("rule_id", "name", "threshold")
+
+
+@query
+def alert_urgency(spark, sf_dir):
+    listed = alert_views.list_alerts(sample.rules(spark), _events(spark, sf_dir), _facts(spark, sf_dir))
+    return alert_views.rules_by_urgency(listed).select("rule_id", "name", "firing")
+
+
+@query
+def alert_notifications(spark, sf_dir):
+    """The documents sent for the transitions of one evaluation, read again field by field."""
+    sent = alerts.notifications(_step(spark, sf_dir)[1])
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return sent.select(
+        "rule_id",
+        *[field(name).alias(name) for name in ("rule", "metric", "service", "state", "comparator")],
+        *[field(name).cast("double").alias(name) for name in ("value", "threshold")],
+        F.col("payload").contains('"attributes":').alias("has_attributes"),
+    )
+
+
+@query
+def results_json(spark, sf_dir):
+    """A result table written as JSON lines and read again."""
+    result = services.service_edges(sample.spans(spark, sf_dir), _span_now(spark, sf_dir), start=EPOCH)
+    folder = f"{_folder(spark)}/results"
+    storage.write_json(result, folder)
+    return spark.read.schema(result.schema).json(folder)
+
+
+@query
+def sweep_stall(spark, sf_dir):
+    """Orders as a log of sweeps, of which those marked F failed: is the last success too old?"""
+    log = sample.table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("timestamp").alias("finished_at"),
+        (F.col("o_orderstatus") != "F").alias("ok"),
+        F.col("o_orderkey").alias("rows"),
+    )
+    log = log.groupBy("finished_at").agg(F.bool_or("ok").alias("ok"), F.max("rows").alias("rows"))
+    return retention.stalled(log, EPOCH, EPOCH, 86400)
