@@ -671,3 +671,14 @@ newest AS (SELECT max(done) AS last_success, arg_max(n, done) AS last_rows FROM
 SELECT last_success, last_rows, {EPOCH_US} // 1000000 - epoch_us(last_success) // 1000000 AS age_secs,
        {EPOCH_US} // 1000000 - epoch_us(last_success) // 1000000 > 86400 AS stalled
 FROM newest"""
+
+_FINE_GRID = """
+grid AS (
+  SELECT i AS tick, (SELECT now_us FROM ev_now) - 172800000000 + i * 30000000 AS at_us FROM range(0, 5761) g(i)),
+"""
+
+ORACLES["alert_ticks_fine"] = (
+    _with(METRICS, RULES, _FINE_GRID + _evaluation("tk", "grid", "p.us <= t.at_us"))
+    + f"""SELECT CAST(rule_id AS BIGINT) AS rule_id, tick, make_timestamp(at_us) AS at, round({_AGG}, 9) AS value
+FROM tk_v GROUP BY rule_id, agg, cmp, threshold, dwell, tick, at_us"""
+)

@@ -470,6 +470,14 @@ def alert_ticks(spark, sf_dir):
     return backtest.tick_values(sample.rules(spark), points, EPOCH, now, facts, TICK_SECS)
 
 
+@query
+def alert_ticks_fine(spark, sf_dir):
+    """Every 30 seconds of the last two days; the rules look back for up to a day."""
+    now = _event_now(spark, sf_dir)
+    points, facts = sample.metrics(spark, sf_dir), _facts(spark, sf_dir)
+    return backtest.tick_values(sample.rules(spark), points, now - timedelta(days=2), now, facts)
+
+
 def _events(spark, sf_dir):
     now = _event_now(spark, sf_dir)
     points, facts = sample.metrics(spark, sf_dir), _facts(spark, sf_dir)

@@ -270,3 +270,16 @@ def test_bad_rule_rejects_all(spark, bad):
     rows = [[{**good, **over}.get(f.split()[0]) for f in schema.split(", ")] for over in ({}, bad)]
     with pytest.raises(InvalidRules):
         normalize_rules(spark.createDataFrame(rows, schema))
+
+
+def test_runs_fall_into_few_blocks(spark):
+    top = 300
+    runs = [(lo, hi) for lo in range(0, top + 1, 7) for hi in range(lo, top + 1, 5)] + [(0, top), (top, top), (1, 2), (0, 0)]
+    rows = spark.createDataFrame(runs, "lo bigint, hi bigint")
+    for lo, hi, blocks in rows.select("lo", "hi", backtest.tick_blocks(F.col("lo"), F.col("hi"), top)).collect():
+        covered = sorted(t for b in blocks for t in range(b["first"], b["last"] + 1))
+        assert covered == list(range(lo, hi + 1))
+        assert len(blocks) <= 2 * (hi - lo + 1).bit_length()
+        for b in blocks:
+            size = b["last"] - b["first"] + 1
+            assert size & (size - 1) == 0 and b["first"] % size == 0
