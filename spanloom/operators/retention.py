@@ -33,9 +33,9 @@ class Target(NamedTuple):
 class SweepError(RuntimeError):
     """Some table failed; the others were swept."""
 
-    def __init__(self, failed: list[str], pruned: dict[str, int]):
-        super().__init__("retention incomplete; failed tables: " + ", ".join(failed))
-        self.failed, self.pruned = failed, pruned
+    def __init__(self, causes: dict[str, Exception], pruned: dict[str, int]):
+        super().__init__("retention incomplete; failed tables: " + "; ".join(f"{t} ({e})" for t, e in causes.items()))
+        self.failed, self.causes, self.pruned = list(causes), causes, pruned
 
 
 def loop_enabled(days: int) -> bool:
@@ -147,16 +147,16 @@ def sweep(
     windows: Windows = Windows(),
 ) -> dict[str, int]:
     """Sweep every table; one failing table does not stop the others, but fails the sweep."""
-    pruned, failed = {}, []
+    pruned, causes = {}, {}
     for target in targets(now, days, raw_hours, windows):
         if target.table not in paths:
             continue
         try:
             pruned[target.table] = sweep_table(spark, paths[target.table], target.column, target.cutoff)
-        except Exception:  # noqa: BLE001 - reported below, after the other tables
-            failed.append(target.table)
-    if failed:
-        raise SweepError(failed, pruned)
+        except Exception as error:  # noqa: BLE001 - reported below, after the other tables
+            causes[target.table] = error
+    if causes:
+        raise SweepError(causes, pruned) from next(iter(causes.values()))
     return pruned
 
 
