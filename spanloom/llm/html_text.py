@@ -2,15 +2,23 @@
 
 A page becomes blocks of visible text. Those in an article or main element are its main
 text; scripts, forms and parts marked as navigation, adverts, notices or comments are
-not. What is left undecided is mostly the body of pages that mark neither, and there the
-host decides: the token streams of its pages are concatenated and sorted by suffix, up to
-the length of a long repeat, and every stretch that repeats on another page of the host is
-boilerplate. Parts that were marked as such on any page count as pages there too. Covered
-tokens go, and the unique runs stay.
-
-Pages meet by host. A host with more pages than ``shard_pages`` is dealt into shards by page
-id, each with a stream of its own, so no host is one task's load. The table of such hosts
-is broadcast: by construction it has fewer than ``MAX_HOSTS`` rows.
+not; other blocks are open. Then the host decides: the token streams of its pages, marked
+parts too, are concatenated and sorted by suffix, up to the length of a long repeat.
+
+* A stretch of ``long`` tokens on a ``share`` of the host's different pages, two at least, is
+  boilerplate. It goes from open blocks, which count where a page marks no main text.
+* A main block goes as a whole if such stretches cover it that stand on ``main_share`` of the
+  different pages, four at least. A line that some articles share stays, and so does an
+  article of nothing but such blocks.
+
+Pages of equal blocks are one page in these counts, however many copies there are.
+
+Pages meet by host. A host with more rows than ``shard_pages`` is dealt into shards by the
+hash of its blocks, so no host is one task's load, and the shards give the same result as
+one stream would: a stretch on a share of all pages is on that share of some shard's pages.
+So each shard proposes what is frequent in it, all shards count all proposals of the host,
+and the sums decide. The table of such hosts is broadcast: by construction it has fewer
+than ``MAX_HOSTS`` rows.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +38,10 @@ from pyspark.sql import functions as F
 SHARD_PAGES = 256
 MAX_HOSTS = 1_000_000
 LONG = 8  # tokens of a long repeat
+SHARE = 0.2  # of a host's different pages, from which a repeat is boilerplate
+MAIN_SHARE = 0.5
+MAIN_LEAST = 4
+SEEN = 100_000  # pages whose copies a task leaves out before the shuffle
 
 # -- parsing ----------------------------------------------------------------------------
 
@@ -152,132 +165,265 @@ def _names(attributes: str) -> str:
 # -- suffix array of a host -------------------------------------------------------------
 
 
-def covered(streams: list[list[str]], long: int = LONG) -> list[np.ndarray]:
-    """Per stream, which tokens lie in a stretch of ``long`` or more tokens that occurs in
-    another stream too.
+def ranked(streams: list[list[str]], long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, owner, start): for each token of the concatenated streams the rank of its suffix
+    by the first ``long`` tokens, and its stream; for each stream its first place.
 
-    Prefix doubling sorts the suffixes of the concatenated streams by their first 1, 2,
-    4, ... tokens until they are sorted by ``long`` tokens; suffixes of equal rank then share
-    that many. Separators between streams are unique, so no stretch crosses one.
+    Prefix doubling sorts by the first 1, 2, 4, ... tokens; suffixes of equal rank then share
+    ``long``. Each stream ends in a separator of its own, so no shared stretch crosses one.
     """
     numbers: dict[str, int] = {}
-    parts, owner = [], []
-    for k, stream in enumerate(streams):
-        parts.append([numbers.setdefault(t, len(numbers)) for t in stream])
-        owner += [k] * (len(stream) + 1)
+    parts = [[numbers.setdefault(t, len(numbers)) for t in stream] for stream in streams]
+    lengths = np.array([len(p) + 1 for p in parts], dtype=np.int64)
     flat: list[int] = []
     for k, part in enumerate(parts):
         flat += part
         flat.append(len(numbers) + k)
-    owners = np.array(owner, dtype=np.int64)
     rank = np.array(flat, dtype=np.int64)
     size, n = 1, len(rank)
     while size < long:
         step = min(size, long - size)
         after = np.full(n, -1, dtype=np.int64)
-        after[: n - step] = rank[step:]
+        after[: max(n - step, 0)] = rank[step:]
         order = np.lexsort((after, rank))
         new = np.ones(n, dtype=np.int64)
         new[1:] = (np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0)
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(new) - 1
         size += step
-    # A rank repeats across pages if its least and greatest owners differ.
-    low = np.full(n, n, dtype=np.int64)
-    high = np.full(n, -1, dtype=np.int64)
-    np.minimum.at(low, rank, owners)
-    np.maximum.at(high, rank, owners)
-    starts = np.flatnonzero(low[rank] != high[rank])
-    edges = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, np.minimum(starts + long, n), -1)
-    hit = np.cumsum(edges[:-1]) > 0
-    stops = np.cumsum([len(p) + 1 for p in parts])
-    return [hit[stop - len(p) - 1 : stop - 1] for p, stop in zip(parts, stops.tolist(), strict=True)]
-
-
-def host_texts(pages: list[tuple[list[str], list[str], list[str]]], long: int = LONG) -> list[str]:
-    """Main texts of the pages of one host or shard, blocks joined by two line feeds."""
-    tokens = [[block.split(" ") for block in opened + marked] for _, opened, marked in pages]
-    hits = covered([[t for block in page for t in block] for page in tokens], long)
+    return rank, np.repeat(np.arange(len(parts)), lengths), np.cumsum(lengths) - lengths
+
+
+def owners_of(rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Per rank the number of different streams that hold it."""
+    if not len(rank):
+        return np.zeros(0, dtype=np.int64)
+    count = int(owner.max()) + 1
+    return np.bincount(np.unique(rank * count + owner) // count, minlength=int(rank.max()) + 1)
+
+
+def stretches(starts: np.ndarray, long: int) -> np.ndarray:
+    """Which places lie within ``long`` places from a start."""
+    edges = np.zeros(len(starts) + 1, dtype=np.int64)
+    at = np.flatnonzero(starts)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, np.minimum(at + long, len(starts)), -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def covered(streams: list[list[str]], long: int = LONG, least: int = 2) -> list[np.ndarray]:
+    """Per stream, which tokens lie in a stretch of ``long`` or more tokens that occurs in
+    ``least`` streams or more."""
+    rank, owner, start = ranked(streams, long)
+    hit = stretches(owners_of(rank, owner)[rank] >= least, long) if len(rank) else np.zeros(0, dtype=bool)
+    return [hit[at : at + len(s)] for s, at in zip(streams, start.tolist(), strict=True)]
+
+
+def needed(pages: int, share: float = SHARE, main_share: float = MAIN_SHARE) -> tuple[int, int]:
+    """How many of a host's different pages make a stretch boilerplate in open and in main blocks."""
+    return max(2, int(np.ceil(share * pages))), max(MAIN_LEAST, int(np.ceil(main_share * pages)))
+
+
+Page = tuple[list[str], list[str], list[str]]
+
+
+def _stream(page: Page) -> list[str]:
+    return [t for part in page for block in part for t in block.split(" ")]
+
+
+def _kept(page: Page, in_open: list[bool], in_main: list[bool]) -> str:
+    """The text of a page, given for each of its tokens whether it is boilerplate."""
+    main, opened, _ = page
+    kept, at = [], 0
+    for block in main:
+        size = block.count(" ") + 1
+        if not all(in_main[at : at + size]):
+            kept.append(block)
+        at += size
+    if main and not kept:
+        kept = list(main)
+    if not main:
+        for block in opened:
+            tokens = block.split(" ")
+            run = [t for t, gone in zip(tokens, in_open[at : at + len(tokens)], strict=True) if not gone]
+            at += len(tokens)
+            if run:
+                kept.append(" ".join(run))
+    return "\n\n".join(kept)
+
+
+def _texts_of(pages: list[Page], rank: np.ndarray, start: np.ndarray, for_open: np.ndarray, for_main: np.ndarray, long: int) -> list[str]:
+    """Texts of pages, given which ranks are boilerplate in open and in main blocks."""
+    if not pages:
+        return []
+    hits = [stretches(flags[rank], long).tolist() for flags in (for_open, for_main)]
+    stops = np.append(start[1:], len(rank)).tolist()
+    return [
+        _kept(page, hits[0][a : b - 1], hits[1][a : b - 1])
+        for page, a, b in zip(pages, start.tolist(), stops, strict=False)
+    ]
+
+
+def host_texts(pages: list[Page], long: int = LONG, share: float = SHARE, main_share: float = MAIN_SHARE) -> list[str]:
+    """Main texts of the different pages of one host, blocks joined by two line feeds."""
+    rank, owner, start = ranked([_stream(p) for p in pages], long)
+    count = owners_of(rank, owner)
+    least, main_least = needed(len(pages), share, main_share)
+    return _texts_of(pages, rank, start, count >= least, count >= main_least, long)
+
+
+def proposals(pages: list[Page], long: int = LONG, share: float = SHARE) -> list[str]:
+    """Stretches of ``long`` tokens that are on a ``share`` of a shard's different pages; all
+    stretches where that share is less than two pages."""
+    streams = [_stream(p) for p in pages]
+    rank, owner, start = ranked(streams, long)
+    count = owners_of(rank, owner)
+    frequent = count >= share * len(pages) if share * len(pages) >= 2 else count >= 1
+    places = np.flatnonzero(frequent[rank])
+    _, first = np.unique(rank[places], return_index=True)
     out = []
-    for (main, opened, _), page, hit in zip(pages, tokens, hits, strict=True):
-        kept, at = list(main), 0
-        if not main:
-            for block in page[: len(opened)]:
-                flags = hit[at : at + len(block)]
-                at += len(block)
-                run = [t for t, gone in zip(block, flags.tolist(), strict=True) if not gone]
-                if run:
-                    kept.append(" ".join(run))
-        out.append("\n\n".join(kept))
+    for place in places[first].tolist():
+        stream = streams[owner[place]]
+        at = place - int(start[owner[place]])
+        if at + long <= len(stream):
+            out.append(" ".join(stream[at : at + long]))
     return out
 
 
+def counted(pages: list[Page], grams: list[str], long: int = LONG) -> list[int]:
+    """On how many of the pages each of the different stretches is."""
+    rank, owner, start = ranked([_stream(p) for p in pages] + [g.split(" ") for g in grams], long)
+    count = owners_of(rank, owner)
+    return (count[rank[start[len(pages) :]]] - 1).tolist()
+
+
+def shard_texts(pages: list[Page], grams: list[str], for_main: list[bool], long: int = LONG) -> list[str]:
+    """Texts of the pages, given the host's boilerplate and which of it counts in main blocks."""
+    rank, _, start = ranked([_stream(p) for p in pages] + [g.split(" ") for g in grams], long)
+    heads = rank[start[len(pages) :]]
+    flags = np.zeros((2, int(rank.max()) + 1 if len(rank) else 0), dtype=bool)
+    flags[0, heads] = True
+    flags[1, heads[np.array(for_main, dtype=bool)]] = True
+    return _texts_of(pages, rank, start, flags[0], flags[1], long)
+
+
 # -- tables -----------------------------------------------------------------------------
 
+_ROW = "page_id bigint, url string, host string, digest binary"
+_DISTINCT = "host string, shards int, digest binary, packed binary"
+_TEXTS = "host string, digest binary, text string"
+
+
+def _content(page: str | None) -> bytes:
+    return json.dumps(blocks(page), ensure_ascii=False).encode("utf-8", "surrogatepass")
+
+
+def _identify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = [xxhash.xxh3_128_digest(_content(p)) for p in batch.column("html").to_pylist()]
+        columns = [batch.column(n) for n in ("page_id", "url", "host")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary())], ["page_id", "url", "host", "digest"])
+
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages' blocks, without most copies of pages that the task has met."""
     pack = zstandard.ZstdCompressor(level=3).compress
+    seen: set[tuple[str, bytes]] = set()
     for batch in batches:
-        packed = [pack(json.dumps(blocks(p), ensure_ascii=False).encode("utf-8", "surrogatepass")) for p in batch.column("html").to_pylist()]
-        columns = [batch.column(n) for n in ("page_id", "url", "host")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], ["page_id", "url", "host", "packed"])
-
-
-def _extractor(long: int):
-    def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        key, ids, urls, pages = None, [], [], []
-        out: tuple[list, list, list] = ([], [], [])
-
-        def done() -> None:
-            out[0].extend(ids)
-            out[1].extend(urls)
-            out[2].extend(host_texts(pages, long))
-            ids.clear(), urls.clear(), pages.clear()
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (row["host"], row["shard"]) != key:
-                    if pages:
-                        done()
-                    key = (row["host"], row["shard"])
-                ids.append(row["page_id"])
-                urls.append(row["url"])
-                pages.append(json.loads(unpack(row["packed"])))
-            if out[0]:
-                yield _texts(out)
-                out = ([], [], [])
-        if pages:
-            done()
-        if out[0]:
-            yield _texts(out)
-
-    return extract
-
-
-def _texts(out: tuple[list, list, list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["page_id", "url", "text"])
-
-
-def main_texts(pages: DataFrame, long: int = LONG, shard_pages: int = SHARD_PAGES) -> DataFrame:
+        rows: list[tuple] = []
+        columns = (batch.column(n).to_pylist() for n in ("host", "shards", "html"))
+        for host, shards, page in zip(*columns, strict=True):
+            content = _content(page)
+            digest = xxhash.xxh3_128_digest(content)
+            if (host, digest) in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add((host, digest))
+            rows.append((host, shards, digest, pack(content)))
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+        arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, ["host", "shards", "digest", "packed"])
+
+
+def _pages(table: pa.Table) -> list[Page]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [json.loads(unpack(p)) for p in table.column("packed").to_pylist()]
+
+
+def _text_table(table: pa.Table, texts: list[str]) -> pa.Table:
+    return pa.table({"host": table.column("host"), "digest": table.column("digest"), "text": pa.array(texts, pa.string())})
+
+
+def main_texts(
+    pages: DataFrame,
+    long: int = LONG,
+    shard_pages: int = SHARD_PAGES,
+    share: float = SHARE,
+    main_share: float = MAIN_SHARE,
+) -> DataFrame:
     """page_id, url and text (empty if none) for every row of ``pages``.
 
     Null html is empty; pages without a url, or with one that names no host, count as pages
-    of one host; repeated rows appear again, and count as pages of their own.
+    of one host; repeated rows appear again and get equal texts. ``shard_pages`` has no
+    influence on results.
     """
     host = F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host.alias("host"), "html")
-    total = pages.count()
-    least = max(shard_pages, total // MAX_HOSTS)
+    least = max(shard_pages, pages.count() // MAX_HOSTS)
     large = rows.groupBy("host").count().where(F.col("count") > least)
     shards = F.broadcast(large.select("host", F.ceil(F.col("count") / least).cast("int").alias("shards")))
-    parsed = rows.mapInArrow(_parse, "page_id bigint, url string, host string, packed binary")
-    dealt = parsed.join(shards, "host", "left").withColumn(
-        "shard", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("shards")), F.lit(0)).cast("int")
+
+    def distinct(found: DataFrame) -> DataFrame:
+        one = found.select("host", "shards", "html").mapInArrow(_parse, _DISTINCT)
+        dealt = one.withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("shards")).cast("int"))
+        return dealt.repartition("host", "shard").dropDuplicates(["host", "shard", "digest"])
+
+    small = distinct(rows.join(shards, "host", "left_anti").withColumn("shards", F.lit(1)))
+    whole = small.groupby("host", "shard").applyInArrow(
+        lambda t: _text_table(t, host_texts(_pages(t), long, share, main_share)), _TEXTS
+    )
+    dealt = distinct(rows.join(shards, "host"))
+    texts = whole.union(_sharded(dealt, shards, long, share, main_share))
+    ids = rows.select("page_id", "url", "host", "html").mapInArrow(_identify, _ROW)
+    return ids.join(texts, ["host", "digest"], "left").select("page_id", "url", "text")
+
+
+def _sharded(dealt: DataFrame, shards: DataFrame, long: int, share: float, main_share: float) -> DataFrame:
+    """host, digest and text of the pages of hosts that are dealt into shards."""
+
+    def propose(table: pa.Table) -> pa.Table:
+        grams = proposals(_pages(table), long, share)
+        names = pa.array([table.column("host")[0].as_py()] * (len(grams) + 1), pa.string())
+        counts = pa.array([0] * len(grams) + [table.num_rows], pa.int64())
+        return pa.table({"host": names, "gram": pa.array([*grams, None], pa.string()), "n": counts})
+
+    def count(table: pa.Table, asked: pa.Table) -> pa.Table:
+        grams = asked.column("gram").to_pylist() if table.num_rows else []
+        found = counted(_pages(table), grams, long) if grams else []
+        rows = [(g, n) for g, n in zip(grams, found, strict=True) if n]
+        names = pa.array([table.column("host")[0].as_py()] * len(rows) if rows else [], pa.string())
+        columns = pa.array([g for g, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())
+        return pa.table({"host": names, "gram": columns[0], "n": columns[1]})
+
+    def apply(table: pa.Table, known: pa.Table) -> pa.Table:
+        grams, for_main = known.column("gram").to_pylist(), known.column("for_main").to_pylist()
+        return _text_table(table, shard_texts(_pages(table), grams, for_main, long) if table.num_rows else [])
+
+    def everywhere(found: DataFrame) -> DataFrame:
+        spread = found.join(shards, "host").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        return spread.drop("shards")
+
+    def beside(found: DataFrame):
+        return dealt.groupby("host", "shard").cogroup(everywhere(found).groupby("host", "shard"))
+
+    said = dealt.groupby("host", "shard").applyInArrow(propose, "host string, gram string, n bigint")
+    sizes = said.where(F.col("gram").isNull()).groupBy("host").agg(F.sum("n").alias("pages"))
+    grams = said.where(F.col("gram").isNotNull()).select("host", "gram").distinct()
+    sums = beside(grams).applyInArrow(count, "host string, gram string, n bigint").groupBy("host", "gram").agg(F.sum("n").alias("n"))
+    known = (
+        sums.join(sizes, "host")
+        .where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.lit(share) * F.col("pages"))))
+        .select("host", "gram", (F.col("n") >= F.greatest(F.lit(MAIN_LEAST), F.ceil(F.lit(main_share) * F.col("pages")))).alias("for_main"))
     )
-    grouped = dealt.select("page_id", "url", "host", "shard", "packed").repartition("host", "shard")
-    ordered = grouped.sortWithinPartitions("host", "shard")
-    return ordered.mapInArrow(_extractor(long), "page_id bigint, url string, text string")
+    return beside(known).applyInArrow(apply, _TEXTS)

@@ -1,5 +1,6 @@
 """Operators over whole corpora: near-duplicates, repeated lines, tokens, pages, the pipeline."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -374,11 +375,62 @@ def test_pages_of_a_host(spark):
         assert len(rows) == len(pages)
         by_id = {r["page_id"]: r["text"] for r in rows}
         assert by_id[10] == menu and by_id[11] == by_id[12] == "" and by_id[None] == "a b" and by_id[13] == menu
-        if shard_pages == 256:
-            assert all(by_id[i] == f"{i} unique words of this" for i in range(6))
+        assert all(by_id[i] == f"{i} unique words of this" for i in range(6))
     assert html_text.main_texts(df.where("false")).count() == 0
 
 
+def test_host_repeats_are_the_same_for_every_shard_size(spark):
+    notice = "we use small files on your machine to make things better"
+    quote = "to be or not to be that is the question here"
+    plea = "please support the work of this site by a gift today"
+    rows = []
+    for i in range(40):
+        own = " ".join(f"w{i}x{j}" for j in range(12))
+        extra = f"<p>{quote}</p>" if i in (3, 17) else ""
+        asked = f"<p>{plea}</p>" if i < 25 else ""
+        kind = "article" if i % 2 else "div"
+        seen = f"<p>{notice}</p>" if i % 3 == 0 else ""
+        rows.append((i, "http://h.example/p", f"<{kind}><p>{own}</p>{extra}{asked}{seen}</{kind}>"))
+    alone = "the same fifty words " * 12
+    rows += [(100 + i, f"http://c.example/{i}", f"<p>{alone}</p>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    results = [
+        {r["page_id"]: r["text"] for r in html_text.main_texts(df, shard_pages=size).collect()} for size in (256, 40, 16, 7, 4, 1)
+    ]
+    assert all(r == results[0] for r in results[1:])
+    texts = results[0]
+    assert all(texts[100 + i] == alone.strip() for i in range(30))  # copies are no repeats
+    for i in range(40):
+        assert texts[i].startswith(f"w{i}x0 ")
+        assert plea not in texts[i]  # on over half of all pages
+        assert (notice in texts[i]) == (i % 3 == 0 and i % 2 == 1)  # on a third: cut from open blocks alone
+        assert (quote in texts[i]) == (i in (3, 17))  # on two of 40
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_shards_of_a_host_equal_brute_force(seed):
+    rng = random.Random(seed)
+    pages = []
+    for _ in range(rng.randint(3, 40)):
+        page = [[" ".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 2))] for _ in range(3)]
+        if page not in pages:
+            pages.append(page)
+    long, share = 4, rng.choice([0.1, 0.3])
+    streams = [[t for part in p for b in part for t in b.split(" ")] for p in pages]
+    on = collections.Counter(g for s in streams for g in {" ".join(s[i : i + long]) for i in range(len(s) - long + 1)})
+    least, main_least = html_text.needed(len(pages), share, 0.5)
+    size = rng.randint(1, 9)
+    shards = [pages[i : i + size] for i in range(0, len(pages), size)]
+    asked = sorted({g for s in shards for g in html_text.proposals(s, long, share)})
+    sums = [sum(n) for n in zip(*(html_text.counted(s, asked, long) for s in shards), strict=True)]
+    known = {g: n for g, n in zip(asked, sums, strict=True) if n >= least}
+    assert known == {g: n for g, n in on.items() if n >= least}
+    grams = list(known)
+    for_main = [known[g] >= main_least for g in grams]
+    parts = [t for s in shards for t in html_text.shard_texts(s, grams, for_main, long)]
+    assert parts == html_text.host_texts(pages, long, share, 0.5)
+
+
 # -- registered queries and the pipeline -------------------------------------------------
 
 
