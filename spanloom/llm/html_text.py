@@ -311,7 +311,7 @@ def shard_texts(pages: list[Page], grams: list[str], for_main: list[bool], long:
 
 _ROW = "page_id bigint, url string, host string, digest binary"
 _DISTINCT = "host string, shards int, digest binary, packed binary"
-_TEXTS = "host string, digest binary, text string"
+_TEXTS = "host string, digest binary, text binary"
 
 
 def _content(page: str | None) -> bytes:
@@ -352,7 +352,16 @@ def _pages(table: pa.Table) -> list[Page]:
 
 
 def _text_table(table: pa.Table, texts: list[str]) -> pa.Table:
-    return pa.table({"host": table.column("host"), "digest": table.column("digest"), "text": pa.array(texts, pa.string())})
+    pack = zstandard.ZstdCompressor(level=3).compress
+    packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+    return pa.table({"host": table.column("host"), "digest": table.column("digest"), "text": packed})
+
+
+def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts = pa.array([unpack(t).decode("utf-8", "replace") for t in batch.column("text").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], ["page_id", "url", "text"])
 
 
 def main_texts(
@@ -386,7 +395,8 @@ def main_texts(
     dealt = distinct(rows.join(shards, "host"))
     texts = whole.union(_sharded(dealt, shards, long, share, main_share))
     ids = rows.select("page_id", "url", "host", "html").mapInArrow(_identify, _ROW)
-    return ids.join(texts, ["host", "digest"], "left").select("page_id", "url", "text")
+    joined = ids.join(texts, ["host", "digest"]).select("page_id", "url", "text")
+    return joined.mapInArrow(_unpack, "page_id bigint, url string, text string")
 
 
 def _sharded(dealt: DataFrame, shards: DataFrame, long: int, share: float, main_share: float) -> DataFrame:
