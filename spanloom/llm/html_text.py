@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_PAGES = 256
@@ -404,14 +404,15 @@ def _sharded(dealt: DataFrame, shards: DataFrame, long: int, share: float, main_
 
     def propose(table: pa.Table) -> pa.Table:
         grams = proposals(_pages(table), long, share)
-        names = pa.array([table.column("host")[0].as_py()] * (len(grams) + 1), pa.string())
-        counts = pa.array([0] * len(grams) + [table.num_rows], pa.int64())
-        return pa.table({"host": names, "gram": pa.array([*grams, None], pa.string()), "n": counts})
+        names = pa.array([table.column("host")[0].as_py()] * len(grams), pa.string())
+        return pa.table({"host": names, "gram": pa.array(grams, pa.string())})
 
     def count(table: pa.Table, asked: pa.Table) -> pa.Table:
         grams = asked.column("gram").to_pylist() if table.num_rows else []
         found = counted(_pages(table), grams, long) if grams else []
         rows = [(g, n) for g, n in zip(grams, found, strict=True) if n]
+        if table.num_rows:
+            rows.append((None, table.num_rows))  # all pages of the shard
         names = pa.array([table.column("host")[0].as_py()] * len(rows) if rows else [], pa.string())
         columns = pa.array([g for g, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())
         return pa.table({"host": names, "gram": columns[0], "n": columns[1]})
@@ -427,13 +428,13 @@ def _sharded(dealt: DataFrame, shards: DataFrame, long: int, share: float, main_
     def beside(found: DataFrame):
         return dealt.groupby("host", "shard").cogroup(everywhere(found).groupby("host", "shard"))
 
-    said = dealt.groupby("host", "shard").applyInArrow(propose, "host string, gram string, n bigint")
-    sizes = said.where(F.col("gram").isNull()).groupBy("host").agg(F.sum("n").alias("pages"))
-    grams = said.where(F.col("gram").isNotNull()).select("host", "gram").distinct()
+    grams = dealt.groupby("host", "shard").applyInArrow(propose, "host string, gram string").distinct()
     sums = beside(grams).applyInArrow(count, "host string, gram string, n bigint").groupBy("host", "gram").agg(F.sum("n").alias("n"))
+    pages = F.max(F.when(F.col("gram").isNull(), F.col("n"))).over(Window.partitionBy("host"))
+    least, main_least = F.ceil(F.lit(share) * F.col("pages")), F.ceil(F.lit(main_share) * F.col("pages"))
     known = (
-        sums.join(sizes, "host")
-        .where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.lit(share) * F.col("pages"))))
-        .select("host", "gram", (F.col("n") >= F.greatest(F.lit(MAIN_LEAST), F.ceil(F.lit(main_share) * F.col("pages")))).alias("for_main"))
+        sums.withColumn("pages", pages)
+        .where(F.col("gram").isNotNull() & (F.col("n") >= F.greatest(F.lit(2), least)))
+        .select("host", "gram", (F.col("n") >= F.greatest(F.lit(MAIN_LEAST), main_least)).alias("for_main"))
     )
     return beside(known).applyInArrow(apply, _TEXTS)
