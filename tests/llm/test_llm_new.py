@@ -425,6 +425,37 @@ def test_few_texts_of_a_shared_passage_are_compared(spark):
     """The prefixes leave out the pairs that only share the passage."""
     rows = spark.createDataFrame([(i, t) for i, t in crowded_docs() if i < 2000], "node bigint, text string")
     prefixes = similar._prefixes(rows, 5, 0.8)
-    pairs = {tuple(r) for r in similar._pairs(prefixes, F.lit(True)).collect()}
+    pairs = {tuple(r) for r in similar._pairs(prefixes, similar._reach(0.8)).collect()}
     assert {(i, 1000 + i) for i in range(0, 300, 30)} <= pairs
     assert len(pairs) < 30
+
+
+def edited_docs():
+    """250 random edits of one template: most pairs at a similarity of 0.5 to 0.7, few near."""
+    rng = random.Random(31)
+    template = [f"t{rng.randrange(10**6)}" for _ in range(200)]
+    docs = []
+    for i in range(250):
+        own = list(template)
+        for at in rng.sample(range(200), rng.choice([2, 4, 6, 8])):
+            own[at] = f"e{rng.randrange(10**6)}"
+        if i % 5 == 0:
+            own = own[: rng.randrange(185, 200)]
+        docs.append((i, " ".join(own)))
+    return docs
+
+
+@pytest.mark.parametrize("crowd", [64, 4])
+def test_unlike_edits_of_a_template_lose_no_link(spark, crowd):
+    docs = edited_docs()
+    sets = [similar.shingles(t) for _, t in docs]
+    near = [(i, j) for i in range(250) for j in range(i) if similar.similarity(sets[i], sets[j]) >= 0.8]
+    assert 100 < len(near) < 250 * 249 // 2 // 2
+    rows = spark.createDataFrame(docs, "node bigint, text string")
+    # Whatever is near meets by its ranks, without fingerprints.
+    met = similar._meeting(similar._prefixes(rows, 5, 0.8))
+    pairs = {tuple(r) for r in similar._pairs(met, similar._reach(0.8)).collect()}
+    assert {(j, i) for i, j in near} <= pairs
+    roots = brute.similar_components([t for _, t in docs])
+    out = similar.representatives(rows.withColumnRenamed("node", "doc_id"), crowd=crowd)
+    assert {r["doc_id"] for r in out.collect()} == {docs[r][0] for r in roots}
