@@ -1,5 +1,6 @@
 import json
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from builders import NOW, ago, points, rule, rules, span, spans
@@ -287,3 +288,17 @@ def test_a_trace_look_up_skips_files_without_the_trace(spark, tmp_path):
     assert table.count() == 400
     assert scanned_rows(found) < 400 / 3
     assert scanned_rows(traces.trace_spans(table, "no such trace")) < 400 / 3
+
+
+def test_files_of_a_batch_grow_with_days_and_not_with_tasks(spark, tmp_path):
+    rows = [span("t", str(i), start=ago(days=i % 40)) for i in range(400)]
+    df = complete(spans(spark, rows)).repartition(16)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.coalesce(1).write.parquet(source)
+    ingest.start_span_ingest(stream(spark, source, df.schema), out, str(tmp_path / "c"), trigger=ONCE).awaitTermination()
+    storage.append_batch(df, "spans", str(tmp_path / "plain"), 0)
+    for path in (out, str(tmp_path / "plain")):
+        stored = storage.read_table(spark, path, schemas.SPANS)
+        assert stored.count() == 400 and len(stored.inputFiles()) <= 40 + 4
+        # A file of ten rows has a small Bloom filter.
+        assert max(f.stat().st_size for f in Path(path).glob("date=*/*/*.parquet")) < 20_000
