@@ -43,13 +43,23 @@ def _object(*pairs: tuple[str, Column]) -> list[Column]:
     return [F.create_map(*flat).alias("attributes"), text.alias("attrs_json")]
 
 
-def arriving_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One span per line item: orders are traces; keys repeat and some parents are missing."""
-    n = F.col("l_linenumber")
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items under the names of span keys and of arrival: orders are traces; keys repeat."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("trace_id"),
+        F.col("l_linenumber").alias("span_id"),
+        F.col("l_shipdate").cast("timestamp").alias("ingested_at"),
+        *ARRIVAL[1:],
+    )
+
+
+def _as_spans(arrivals: DataFrame) -> DataFrame:
+    """One span per row, derived row by row; some parents are missing."""
+    n = F.col("span_id")
     parent = n - 1 - F.pmod(F.col("l_suppkey"), F.lit(2))
     start_us = (
         F.lit(EPOCH_US)
-        + F.col("l_orderkey") * 60_000_000
+        + F.col("trace_id") * 60_000_000
         + (n - 1).cast("bigint") * 20_000
         + F.pmod(F.col("l_partkey"), F.lit(1000)) * 10
     )
@@ -59,8 +69,8 @@ def arriving_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("l_tax") < 0.03, "GET /items").when(F.col("l_tax") < 0.06, "POST /cart").otherwise("GET /checkout")
     status = F.when(F.col("l_discount") >= 0.1, 2).when(F.col("l_tax") >= 0.05, 1).otherwise(0)
     method = F.when(F.col("l_quantity") > 25, '"POST"').otherwise('"GET"')
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("trace_id"),
+    return arrivals.select(
+        F.col("trace_id").cast("string").alias("trace_id"),
         n.cast("string").alias("span_id"),
         F.when(parent >= 1, parent.cast("string")).alias("parent_span_id"),
         F.when(F.col("l_quantity") > 1, F.concat(area, tier)).alias("service"),
@@ -72,13 +82,19 @@ def arriving_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status_code"),
         F.lit(None).cast("string").alias("status_message"),
         *_object(("part", F.col("l_partkey").cast("string")), ("http.method", method)),
-        F.col("l_shipdate").cast("timestamp").alias("ingested_at"),
+        "ingested_at",
         *ARRIVAL[1:],
     )
 
 
+def arriving_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One span per line item."""
+    return _as_spans(_arrivals(spark, sf_dir))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe_spans(arriving_spans(spark, sf_dir), ARRIVAL).drop(*ARRIVAL[1:])
+    """The first span of each key. The texts of a span are made after its shuffle, from the narrower line item."""
+    return _as_spans(dedupe_spans(_arrivals(spark, sf_dir), ARRIVAL)).drop(*ARRIVAL[1:])
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
