@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import json
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -76,22 +78,87 @@ def stream_requests(spark: SparkSession, path: str, signal: str) -> DataFrame:
     return parse_requests(spark.readStream.text(path), signal)
 
 
-@F.pandas_udf(StringType())
-def _inflate(content: pd.Series) -> pd.Series:
-    def text(data: bytes) -> str:
-        return (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace")
-
-    return content.map(text)
+# Bytes of a file in one row (Python gets up to 10,000 rows at a time), bytes inflated at
+# once, and bytes of lines that are passed on together.
+PIECE = 8 << 10
+INFLATED = 256 << 10
+LINES = 4 << 20
+
+
+class _Body:
+    """Bytes of one file, piece by piece, to complete lines; gzip is told by the first two bytes."""
+
+    def __init__(self):
+        self.rest, self.packed, self.inflate = [], None, None
+
+    def _plain(self, piece: bytes, last: bool) -> Iterator[bytes]:
+        """The piece inflated, at most ``INFLATED`` bytes at once."""
+        if self.packed is None:
+            self.packed = piece[:2] == b"\x1f\x8b"
+        if not self.packed:
+            yield piece
+            return
+        while piece or (last and self.inflate is not None):
+            if self.inflate is None:
+                # Members follow each other; zeros may lie between them.
+                piece = piece.lstrip(b"\0")
+                if not piece:
+                    return
+                self.inflate = zlib.decompressobj(16 + zlib.MAX_WBITS)
+            out = self.inflate.decompress(piece, INFLATED)
+            if out:
+                yield out
+            if self.inflate.eof:
+                piece, self.inflate = self.inflate.unused_data, None
+            else:
+                piece = self.inflate.unconsumed_tail
+                if not piece and not out:
+                    if last:
+                        raise EOFError("a compressed file ends before its end marker")
+                    return
+
+    def lines(self, piece: bytes, last: bool) -> Iterator[bytes]:
+        for data in self._plain(piece, last):
+            first, *others = data.split(b"\n")
+            self.rest.append(first)
+            for line in others:
+                yield b"".join(self.rest).removesuffix(b"\r")
+                self.rest = [line]
+        if last:
+            yield b"".join(self.rest)
+
+
+def _lines_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(last, piece) rows in file order -> lines; one file's piece and its unfinished line are in memory."""
+    body, ready, size = _Body(), [], 0
+    for batch in batches:
+        for last, piece in zip(batch.column("last").to_pylist(), batch.column("piece"), strict=True):
+            for line in body.lines(piece.as_py(), last):
+                if line:
+                    ready.append(line.decode("utf-8", "replace"))
+                    size += len(line)
+                if size >= LINES:
+                    yield pa.RecordBatch.from_arrays([pa.array(ready, pa.string())], ["value"])
+                    ready, size = [], 0
+            if last:
+                body = _Body()
+    yield pa.RecordBatch.from_arrays([pa.array(ready, pa.string())], ["value"])
 
 
 def read_sniffed_requests(spark: SparkSession, path: str, signal: str) -> DataFrame:
     """Like :func:`read_requests` for files whose compression shows only in their first bytes.
 
-    Each file is one request body, or several lines of them.
+    Each file is one request body, or several lines of them. Python gets a file in pieces,
+    inflates them as they come and holds a piece and a line at a time; a task's JVM
+    holds the file as it is stored, which Spark limits to 2 GB.
     """
     files = spark.read.format("binaryFile").load(path)
-    lines = files.select(F.explode(F.split(_inflate("content"), "\r?\n")).alias("value"))
-    return parse_requests(lines.where(F.length("value") > 0), signal)
+    size = F.length("content")
+    at = F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(PIECE))).alias("at")
+    pieces = files.select("content", at).select(
+        (F.col("at") + PIECE >= size).alias("last"), F.substring("content", F.col("at") + 1, F.lit(PIECE)).alias("piece")
+    )
+    return parse_requests(pieces.mapInArrow(_lines_of, "value string"), signal)
 
 
 def rejected_requests(requests: DataFrame) -> DataFrame:
