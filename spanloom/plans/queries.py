@@ -44,6 +44,10 @@ REGISTRY: dict[str, Query] = {}
 EPOCH = datetime(2024, 1, 1)
 TICK_SECS = 3600
 ALL_TIME = {"start": EPOCH}
+# Requests in a file; a gzip file is read by one task.
+FILE_LINES = 250_000
+# Requests in a file of whole texts that is read as one body.
+BODY_LINES = 10_000
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -712,9 +716,9 @@ def _request(df: DataFrame, top: str, scope: str, resource, item: str, record) -
 
 
 def _received(lines: DataFrame, signal: str) -> DataFrame:
-    """The requests as an exporter leaves them, in text files, read and parsed."""
+    """The requests as an exporter leaves them, in compressed text files of bounded length, read and parsed."""
     folder = f"{_folder(lines.sparkSession)}/requests"
-    lines.write.text(folder)
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).text(folder)
     return otlp.read_requests(lines.sparkSession, folder, signal)
 
 
@@ -912,7 +916,8 @@ def otlp_sniffed(spark, sf_dir):
     for packed, compression in ((True, "gzip"), (False, "none")):
         part = rows.where((F.crc32("service") % 2 == 0) == packed).repartition(8)
         lines = _request(part, "resourceLogs", "scopeLogs", resource, "logRecords", record)
-        lines.write.option("compression", compression).text(f"{folder}/packed={packed}")
+        writer = lines.write.option("compression", compression).option("maxRecordsPerFile", BODY_LINES)
+        writer.text(f"{folder}/packed={packed}")
     flat = otlp.flatten_logs(otlp.read_sniffed_requests(spark, f"{folder}/packed=*", "logs"))
     return flat.groupBy("service", "severity_number").agg(
         F.count("*").alias("records"), F.sum(F.char_length("body")).alias("chars"), F.max("time").alias("newest")

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.sources import otlp
+from spanloom.plans import queries
+from spanloom.sources import otlp, sample_tables
 
 
 def s(text):
@@ -155,3 +156,50 @@ def test_split_valid(spark):
 def test_empty_requests(spark, signal):
     flatten = {"traces": otlp.flatten_traces, "logs": otlp.flatten_logs, "metrics": otlp.flatten_metrics}[signal]
     assert flatten(parse(spark, signal, "{}", {"resourceSpans": [], "resourceLogs": [{}], "resourceMetrics": [{}]})).count() == 0
+
+
+def test_sniffed_files_come_in_pieces(spark, tmp_path, monkeypatch):
+    """Lines, members and line ends across pieces; the JVM cuts at ``PIECE`` bytes, the inflater at ``INFLATED``."""
+    rows = [json.dumps(traces(kv(k=s("x" * (i % 900))), [{"traceId": str(i), "spanId": "1"}]), ensure_ascii=False) for i in range(300)]
+    text = "\r\n".join(rows[:150]) + "\n\n" + "\n".join(rows[150:])
+    data = text.encode()
+    members = gzip.compress(data[:30_001]) + b"\0" * 9_000 + gzip.compress(data[30_001:]) + b"\0\0"
+    for name, content in (("plain", data), ("packed", members), ("empty", b""), ("bare", gzip.compress(b""))):
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(otlp, "PIECE", 1_000)
+    found = otlp.read_sniffed_requests(spark, str(tmp_path), "traces")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert sorted(r["raw"] for r in found.collect()) == sorted(rows * 2)
+
+
+def test_sniffed_pieces_are_inflated_in_bounds():
+    packed = gzip.compress(b"a" * 20_000_000 + b"\n\xff")
+    body = otlp._Body()
+    parts = list(body._plain(packed, True))
+    assert max(map(len, parts)) <= otlp.INFLATED and sum(map(len, parts)) == 20_000_002
+    with pytest.raises(EOFError):
+        list(otlp._Body().lines(packed[:-9], True))
+
+
+def test_spans_of_the_tables_are_narrow_in_the_shuffle(spark, tmp_path):
+    row = (1, 1, 3, 4, 5.0, 6.0, 0.1, 0.02, "A", "O", "2024-01-02")
+    names = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double"
+    kinds = f"{names}, l_discount double, l_tax double, l_returnflag string, l_linestatus string, day string"
+    other = (1, 1, 2, 4, 5.0, 6.0, 0.1, 0.02, "A", "O", "2024-01-02")
+    items = spark.createDataFrame([row, other], kinds).withColumn("l_shipdate", F.to_timestamp_ntz("day")).drop("day")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    kept = sample_tables.spans(spark, str(tmp_path))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    shuffled = plan.split("Exchange hashpartitioning")[1]
+    assert "GET /items" not in shuffled and "GET /items" in plan  # made above the shuffle
+    found = kept.first()
+    assert (found["trace_id"], found["span_id"], found["attrs_json"]) == ("1", "1", '{"part": 2, "http.method": "GET"}')
+
+
+def test_requests_of_the_tables_are_stored_compressed_in_files_of_bounded_length(spark, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_LINES", 40)
+    lines = spark.range(100).coalesce(1).select(F.lit(json.dumps({"resourceSpans": []})).alias("value"))
+    requests = queries._received(lines, "traces")
+    assert requests.count() == 100
+    assert len(requests.inputFiles()) == 3 and all(name.endswith(".gz") for name in requests.inputFiles())
