@@ -42,6 +42,7 @@ SHARE = 0.2  # of a host's different pages, from which a repeat is boilerplate
 MAIN_SHARE = 0.5
 MAIN_LEAST = 4
 SEEN = 100_000  # pages whose copies a task leaves out before the shuffle
+LEVEL = 7  # of compression of what is shuffled
 
 # -- parsing ----------------------------------------------------------------------------
 
@@ -327,7 +328,7 @@ def _identify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pages' blocks, without most copies of pages that the task has met."""
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
     seen: set[tuple[str, bytes]] = set()
     for batch in batches:
         rows: list[tuple] = []
@@ -352,7 +353,7 @@ def _pages(table: pa.Table) -> list[Page]:
 
 
 def _text_table(table: pa.Table, texts: list[str]) -> pa.Table:
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
     packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
     return pa.table({"host": table.column("host"), "digest": table.column("digest"), "text": packed})
 
