@@ -42,7 +42,7 @@ SHARE = 0.2  # of a host's different pages, from which a repeat is boilerplate
 MAIN_SHARE = 0.5
 MAIN_LEAST = 4
 SEEN = 100_000  # pages whose copies a task leaves out before the shuffle
-LEVEL = 7  # of compression of what is shuffled
+LEVEL = 5  # of compression of what is shuffled
 
 # -- parsing ----------------------------------------------------------------------------
 
