@@ -159,7 +159,8 @@ def links(
     home = store(replicas(prints, code, 0), "homes")
     full = home.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor")
     few = home.join(full, "anchor", "left_anti").withColumnRenamed("fp", "resident")
-    met = few.join(replicas(prints, code, threshold), "anchor")
+    # Spark sizes what Python or a generator has multiplied like its input, and would broadcast it.
+    met = few.join(replicas(prints, code, threshold).hint("merge"), "anchor")
     near = met.where((F.col("fp") != F.col("resident")) & (_distance("fp", "resident") <= threshold))
 
     many = home.join(full, "anchor", "left_semi").select("fp")
@@ -169,7 +170,7 @@ def links(
         other = points.groupBy("point").agg(F.min("fp").alias("resident"))
     else:
         other = points.withColumnRenamed("fp", "resident")
-    tied = points.join(other, "point").where(
+    tied = points.join(other.hint("merge"), "point").where(
         (F.col("fp") != F.col("resident")) & (_distance("fp", "resident") <= threshold)
     )
     return near.select(F.col("fp").alias("a"), F.col("resident").alias("b")).union(tied.select("fp", "resident"))

@@ -101,6 +101,21 @@ def test_links_of_a_crowd(spark, threshold):
         assert len(set(zip(found, wanted, strict=True))) == len(set(found)) == len(set(wanted))
 
 
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_multiplied_fingerprints_are_not_broadcast(spark, threshold):
+    """Sixty anchors or points a fingerprint: Spark's own size of them is that of the fingerprints."""
+    prints = spark.createDataFrame([(i * 7919,) for i in range(50)], "fp bigint")
+    plan = simhash.links(prints, threshold)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    sent, within = [], None
+    for line in plan:
+        within = None if within is not None and depth(line) <= within else within
+        within = depth(line) if within is None and "BroadcastExchange" in line else within
+        sent += [line] if within is not None else []
+    assert any("MapInPandas" in line for line in plan) and any("Generate" in line for line in plan)
+    assert not [line for line in sent if "MapInPandas" in line or "Generate" in line]
+
+
 def test_components(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(0, 60)]
