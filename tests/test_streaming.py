@@ -302,3 +302,51 @@ def test_files_of_a_batch_grow_with_days_and_not_with_tasks(spark, tmp_path):
         assert stored.count() == 400 and len(stored.inputFiles()) <= 40 + 4
         # A file of ten rows has a small Bloom filter.
         assert max(f.stat().st_size for f in Path(path).glob("date=*/*/*.parquet")) < 20_000
+
+
+def shuffles_left(spark):
+    """Numbers of the shuffles that have files."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {int(name.split("_")[1]) for name in names if name.startswith("shuffle_")}
+
+
+def test_span_ingest_leaves_no_shuffles_and_no_rows_aside(spark, tmp_path):
+    """A long stream's disk is that of its table and of one batch."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = complete(spans(spark, [span("t", str(i % 30), start=ago(days=i % 7)) for i in range(60)]))
+    files(df, source, 3)
+    rows = stream(spark, source, df.schema)
+    before = shuffles_left(spark)
+    ingest.start_span_ingest(rows, out, str(tmp_path / "c"), trigger=ONCE).awaitTermination()
+    assert not shuffles_left(spark) - before
+    assert not list(Path(out).glob("_aside/*"))
+    assert storage.read_table(spark, out, schemas.SPANS).count() == 30
+
+
+def test_narrow_rows_are_made_spans_when_they_are_stored(spark, tmp_path):
+    """Keys may be numbers; they are those of the texts that are stored."""
+    out = str(tmp_path / "out")
+    wide = complete(spans(spark, [span("1", str(i), start=ago(days=i)) for i in range(4)]))
+    narrow = wide.select(F.col("trace_id").cast("long"), F.col("span_id").cast("int"), "service", "start_time", "ingested_at")
+    others = wide.drop(*narrow.columns).limit(1).collect()[0].asDict()
+    kinds = {f.name: f.dataType for f in wide.schema.fields}
+
+    def made(rows):
+        filled = {k: F.create_map().cast(kinds[k]) if k == "attributes" else F.lit(v).cast(kinds[k]) for k, v in others.items()}
+        return rows.withColumns({"trace_id": F.col("trace_id").cast("string"), "span_id": F.col("span_id").cast("string"), **filled})
+
+    for name, rows, make in (
+        ("texts", wide.where("span_id < 2"), None),
+        ("numbers", narrow.union(narrow.withColumn("start_time", F.lit(NOW))).withColumn("ingested_at", F.col("start_time")), made),
+        ("again", narrow, made),
+    ):
+        source = str(tmp_path / name)
+        rows.coalesce(1).write.parquet(source)
+        paths = (out, str(tmp_path / f"c-{name}"))
+        ingest.start_span_ingest(stream(spark, source, rows.schema), *paths, trigger=ONCE, made=make).awaitTermination()
+    stored = storage.read_table(spark, out, schemas.SPANS)
+    found = sorted((r["trace_id"], r["span_id"], r["start_time"], r["service"]) for r in stored.collect())
+    assert found == sorted((r["trace_id"], r["span_id"], r["start_time"], r["service"]) for r in wide.collect())
+    with_days = stored.select("date", F.to_date("start_time").alias("day")).collect()
+    assert all(r["date"] == r["day"] for r in with_days)
