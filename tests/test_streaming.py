@@ -2,6 +2,7 @@ import json
 from datetime import timedelta
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from builders import NOW, ago, points, rule, rules, span, spans
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from spanloom.operators import traces
 from spanloom.operators.alerts import alert_step, evaluate_rules
 from spanloom.operators.metric_facts import counters, facts_of, newest_meta
 from spanloom.operators.rollups import rollup_points
+from spanloom.plans import queries
 from spanloom.schemas import EVENTS
 from spanloom.sources import fact_store, key_index, otlp, storage
 from spanloom.streaming import alerting, ingest
@@ -324,6 +326,28 @@ def test_span_ingest_leaves_no_shuffles_and_no_rows_aside(spark, tmp_path):
     assert storage.read_table(spark, out, schemas.SPANS).count() == 30
 
 
+def test_stored_keys_are_compared_once_a_batch(spark, tmp_path, monkeypatch):
+    """Writes to the table's folder don't make Spark look for the stored keys again."""
+    seen, real = spark.sparkContext.accumulator(0), key_index.stored
+
+    def counting(*args):
+        known = real(*args)
+
+        def pass_on(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        return None if known is None else known.mapInPandas(pass_on, known.schema)
+
+    monkeypatch.setattr(key_index, "stored", counting)
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "c"))
+    ingested(spark, source, out, check, [span("t", str(i)) for i in range(5)])
+    found = ingested(spark, source, out, check, [span("t", str(i)) for i in range(3, 9)])
+    assert [s for s, _ in found] == [str(i) for i in range(9)]
+    assert 2 <= seen.value <= 5
+
+
 def test_narrow_rows_are_made_spans_when_they_are_stored(spark, tmp_path):
     """Keys may be numbers; they are those of the texts that are stored."""
     out = str(tmp_path / "out")
@@ -350,3 +374,12 @@ def test_narrow_rows_are_made_spans_when_they_are_stored(spark, tmp_path):
     assert found == sorted((r["trace_id"], r["span_id"], r["start_time"], r["service"]) for r in wide.collect())
     with_days = stored.select("date", F.to_date("start_time").alias("day")).collect()
     assert all(r["date"] == r["day"] for r in with_days)
+
+
+def test_stream_input_comes_in_row_groups(spark, tmp_path, monkeypatch):
+    """A batch of few files is many tasks' load."""
+    monkeypatch.setattr(storage, "ASIDE_GROUP", 1 << 16, raising=False)
+    df = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1)
+    queries._as_stream(df, str(tmp_path))
+    [file] = (tmp_path / "in").glob("*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 4
